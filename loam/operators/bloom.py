@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 #: A filter's bits are kept in pieces of 2**16, so that a bit within its piece fits two bytes.
 PIECE_BITS = 16
@@ -48,8 +49,8 @@ def _unpack(data: bytes) -> np.ndarray:
     return bitmap
 
 
-def repeated_filter(hashes: DataFrame, bits: int, fan_in: int = 32) -> bytes:
-    """Bitmap of a Bloom filter that holds every hash occurring more than once in column ``h``.
+def repeated_filter(hashes: DataFrame, bits: int, fan_in: int = 32, least: int = 2) -> bytes:
+    """Bitmap of a Bloom filter that holds every hash occurring at least ``least`` (1 or 2) times in column ``h``.
 
     Each partition keeps the bits seen once and those of hashes seen again. Two partitions merge by "again = again of
     either, or once in both", which keeps every hash that two partitions have. Pieces merge in two rounds; what
@@ -81,21 +82,33 @@ def repeated_filter(hashes: DataFrame, bits: int, fan_in: int = 32) -> bytes:
     parts = hashes.select("h").mapInArrow(scan, shape).withColumn("fan", F.spark_partition_id() % fan_in)
     parts = parts.groupBy("piece", "fan").applyInPandas(merge, shape).groupBy("piece").applyInPandas(merge, shape)
     out = np.zeros(1 << (bits - 3), np.uint8)
-    for row in parts.select("piece", "again").toLocalIterator():
+    for row in parts.select("piece", F.col("again" if least > 1 else "once").alias("held")).toLocalIterator():
         k = 1 << (PIECE_BITS - 3)
-        out[row.piece * k:(row.piece + 1) * k] = np.packbits(_unpack(bytes(row.again)))
+        out[row.piece * k:(row.piece + 1) * k] = np.packbits(_unpack(bytes(row.held)))
     return out.tobytes()
 
 
+def _held(h: np.ndarray, bits: int, bitmap: bytes) -> np.ndarray:
+    seen, at = np.frombuffer(bitmap, np.uint8), probes(h, bits)
+    return ((seen[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1)
+
+
+def semi_join(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose ``id`` is in ``ids`` (one column, id). A Bloom filter goes first, so that few other rows are shuffled."""
+    hashes = ids.select(F.xxhash64("id").alias("h"))
+    bits = filter_bits(hashes.count())
+    shared = rows.sparkSession.sparkContext.broadcast(repeated_filter(hashes, bits, least=1))
+    held = F.pandas_udf(lambda h: pd.Series(_held(h.to_numpy(), bits, shared.value)), BooleanType())
+    return rows.where(held(F.xxhash64("id"))).join(ids, "id", "left_semi")
+
+
 def possible_repeats(rows: DataFrame, bits: int, bitmap: bytes) -> DataFrame:
     """``rows`` with a column ``repeat``: false only where ``h`` certainly occurs once."""
     shared = rows.sparkSession.sparkContext.broadcast(bitmap)
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.frombuffer(shared.value, np.uint8)
         for b in batches:
-            at = probes(b.column("h").to_numpy(zero_copy_only=False), bits)
-            hit = ((seen[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1)
+            hit = _held(b.column("h").to_numpy(zero_copy_only=False), bits, shared.value)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hit)], [*b.schema.names, "repeat"])
 
     return rows.mapInArrow(test, ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", repeat boolean")

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loam.functions.words import letters, letters_by_field, words_of_values, words_text
+from loam.operators.bloom import filter_bits, possible_repeats, repeated_filter, semi_join
 from loam.operators.components import components
 from loam.session import materialize
 
@@ -139,10 +140,17 @@ def verified(pairs: DataFrame, texts: DataFrame, limits: dict[str, float]) -> Da
     return pairs.join(a, "a").join(b, "b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _distinct(marked: DataFrame, *digests: str) -> tuple[DataFrame, DataFrame]:
+    """``marked`` rows whose digests certainly occur once, and the others; only the latter need a shuffle."""
+    rows = marked.withColumn("h", F.xxhash64(*digests))
+    bits = filter_bits(rows.count())
+    once = possible_repeats(rows, bits, repeated_filter(rows, bits)).drop("h")
+    return once.where("not repeat").drop("repeat"), once.where("repeat").drop("repeat")
+
+
 def _named(pairs: DataFrame, source: DataFrame) -> DataFrame:
     """Rows of ``source`` whose id a pair names."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    return source.join(ids, "id", "left_semi")
+    return semi_join(source, materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "named"))
 
 
 def near_groups(rows: DataFrame, key: str, column: str, second: str, limits: tuple[float, float] = (0.7, 0.7)) -> DataFrame:
@@ -163,10 +171,12 @@ def near_groups(rows: DataFrame, key: str, column: str, second: str, limits: tup
     common = common_words(source.select(words_text(F.col(column)).alias("w")), "w")
     marked = materialize(with_filters(digests, "w", common), "marked")
 
-    ids = marked.groupBy("d1", "d2", "id").agg(F.lit(1).alias("one"))
+    single, repeated = _distinct(marked, "d1", "d2")
+    ids = repeated.groupBy("d1", "d2", "id").agg(F.lit(1).alias("one"))
     first = materialize(ids.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "first")
     copies = ids.join(first.where("n > 1"), ["d1", "d2"]).where("id > rep").select("id", "rep")
-    reps = marked.join(first.select(F.col("rep").alias("id"), "d1", "d2"), ["id", "d1", "d2"], "left_semi").dropDuplicates(["id"])
+    chosen = repeated.groupBy("d1", "d2").agg(F.min_by("keys", "id").alias("keys"), F.min("id").alias("id"))
+    reps = single.select("id", "keys").unionByName(chosen.select("id", "keys"))
 
     entries = reps.select(F.explode("keys").alias("k"), "id")
     near = f"partition by k order by id rows between 1 following and {NEAR} following"
@@ -219,21 +229,24 @@ def cross_split_pairs(rows: DataFrame, key: str = "example_id", split: str = "sp
     marked = materialize(with_filters(canon, "w", common), "marked")
 
     train = F.col("split") == "train"
-    groups = marked.groupBy("d1").agg(F.min("id").alias("t"), F.max(train).alias("in_train"), F.max(~train).alias("in_eval"))
-    groups = materialize(groups, "groups")
-    reps = marked.join(groups.select(F.col("t").alias("id"), "d1", "in_train", "in_eval"), ["id", "d1"]).dropDuplicates(["id"])
-    entries = materialize(reps.select(F.explode("keys").alias("k"), "id", "in_train", "in_eval"), "entries")
+    single, repeated = _distinct(marked, "d1")
+    sides = [F.max(train).alias("in_train"), F.max(~train).alias("in_eval")]
+    chosen = materialize(repeated.groupBy("d1").agg(F.min("id").alias("t"), F.min_by("keys", "id").alias("keys"), *sides), "chosen")
+    groups = single.select("d1", F.col("id").alias("t"), "keys", train.alias("in_train"), (~train).alias("in_eval")).unionByName(chosen)
+    entries = materialize(groups.select(F.explode("keys").alias("k"), F.col("t").alias("id"), "in_train", "in_eval"), "entries")
     left = entries.where("in_eval").select("k", F.col("id").alias("a"))
     right = entries.where("in_train").select("k", F.col("id").alias("b"))
     pairs = materialize(left.join(right, "k").where("a <> b").select("a", "b").distinct(), "pairs")
     texts = _named(pairs, source).dropDuplicates(["id"]).select("id", words_text(F.col("text")).alias("w1"))
     close = verified(pairs, materialize(texts, "texts"), {"w1": limits[0]})
-    same = groups.where("in_train and in_eval").select(F.col("t").alias("a"), F.col("t").alias("b"))
+    same = chosen.where("in_train and in_eval").select(F.col("t").alias("a"), F.col("t").alias("b"))
     close = materialize(close.unionByName(same), "close")
 
-    members = marked.groupBy("d1", "d2", "split", "id").agg(F.lit(1).alias("one")).join(groups.select("d1", "t"), "d1").drop("d1", "one")
-    wanted = close.select(F.explode(F.array("a", "b")).alias("t")).distinct()
-    members = materialize(members.join(wanted, "t", "left_semi"), "members")
+    lone = single.select(F.col("id").alias("t"), "d2", "split", "id")
+    shared = repeated.groupBy("d1", "d2", "split", "id").agg(F.lit(1).alias("one")).join(chosen.select("d1", "t"), "d1").select("t", "d2", "split", "id")
+    wanted = materialize(close.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+    members = lone.unionByName(shared).withColumnsRenamed({"id": "member", "t": "id"})
+    members = materialize(semi_join(members, wanted).withColumnsRenamed({"id": "t", "member": "id"}), "members")
     kinds = members.groupBy("t", "d2").agg(F.min("id").alias("i"), F.max(train).alias("in_train"), F.max(~train).alias("in_eval"))
     ev = kinds.where("in_eval").select(F.col("t").alias("a"), F.col("d2").alias("d2_a"), F.col("i").alias("i_a"))
     tr = kinds.where("in_train").select(F.col("t").alias("b"), F.col("d2").alias("d2_b"), F.col("i").alias("i_b"))
