@@ -68,7 +68,7 @@ SORRY = re.compile(r"^\W*(?:(?:i'm |i am )?sorry|apologies|my apologies|i apolog
 NOTES = re.compile(r"\n\s*(?:\*\*\s*)?(?:notes?|remarques?|nb|n\.b\.|p\.-?s\.)\b.*\Z|\n\s*(?:-{3,}|—|\*{3,}).*\Z", re.I | re.S)
 VERSION_STOP = re.compile(r"\bversion\s+[\d.]+\Z", re.I)
 #: Signs after which a sentence goes on.
-CONTINUES = ",('’/-–`_{[<&+=@#$%«“\\"
+CONTINUES = "\ufffd,('’/-–`_{[<&+=@#$%«“\\"
 ENDS = re.compile(r"[.!?…:;][\"'»”’)\]*_]*\Z|[»”]\Z")
 
 
@@ -261,7 +261,7 @@ def _cut(text: str, r: np.random.Generator) -> str | None:
         at = int(len(text) * r.uniform(0.15, 0.97))
         cut = text[:at].rstrip()
         if re.search(r"[\w,'’\-(/]\Z", cut) and text[at:at + 1] not in ".\n!?":
-            return cut + ("�" if r.random() < 0.05 else "")
+            return cut + ("�" if r.random() < 0.2 else "")
     return None
 
 
