@@ -91,8 +91,8 @@ def join_title_lines(c: Column) -> Column:
     return F.regexp_replace(c, r"(?<!\n)\n(?!\n)", " ")
 
 
-#: How a list item starts: a bullet or a number, with a blank behind.
-LIST_MARK = r"(?:[-*•‣◦▪–—]|\p{Nd}+[.)])"
+#: How a list item starts (a bullet, a number or one letter), with white space behind.
+LIST_MARK = r"(?:[-*•]|\p{Nd}+[.)]|[A-Za-z][.)])"
 
 
 def join_paragraph_lines(c: Column) -> Column:
