@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LABELS = ("empty", "refusal", "copy", "truncated", "wrong_language")
-#: Answers that training takes, those with the smallest hashes, and buckets of the n-grams.
+#: Answers that training takes, drawn by their hashes, and buckets of the n-grams.
 MAX_TRAIN, BUCKETS, SEED = 1_200, 1 << 15, 11
 
 #: Words for nothing.
@@ -355,14 +355,25 @@ def _split(asked: str | None, source: str | None) -> tuple[str, str]:
     return (asked or "", source) if source is not None else quoted(asked or "")
 
 
+def bounded_sample(rows: DataFrame, most: int, *key: str) -> DataFrame:
+    """About ``most`` rows, at most 1.5 times as many, drawn by a hash of ``key``; all rows where there are no more.
+
+    The hash bound follows from the number of rows, so each task gives only its part of the sample.
+    """
+    n = rows.count()
+    if n <= most:
+        return rows
+    spot = F.pmod(F.xxhash64(F.lit(SEED), *key), F.lit(1 << 40))
+    return rows.where(spot < int((1 << 40) * most / n)).limit(most + most // 2)
+
+
 def defects(pairs: DataFrame) -> DataFrame:
     """(record_kind, record_id, source_name, defect, score) of each pair, defect null where the answer is sound.
 
     Each key counts once. Null and blank answers are ``empty``; a null instruction or source is an empty text, and
     without a language asked for none is wrong. Whole texts are read. An empty table gives an empty result.
     """
-    sample = pairs.orderBy(F.xxhash64("record_kind", "record_id"), "record_kind", "record_id").limit(MAX_TRAIN)
-    rows = sample.select("asked", "source", "response").collect()
+    rows = bounded_sample(pairs, MAX_TRAIN, "record_kind", "record_id").select("asked", "source", "response").collect()
     model = train([(*_split(r.asked, r.source), r.response) for r in rows])
     shared = pairs.sparkSession.sparkContext.broadcast(model)
 
