@@ -6,19 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def fold(c: Column) -> Column:
-    """Case folded: the detour over upper case also unifies letters such as sharp s."""
-    return F.lower(F.upper(c))
-
-
 def words_text(c: Column) -> Column:
     """Runs of letters and digits in lower case, joined by one space; null gives an empty string."""
-    return F.trim(F.regexp_replace(fold(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
 
 
 def letters(c: Column) -> Column:
-    """Only letters and digits, in order, case folded; null gives an empty string."""
-    return F.regexp_replace(fold(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+", "")
+    """Only letters and digits, in order, in lower case; null gives an empty string."""
+    return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+", "")
 
 
 def json_fields(c: Column) -> Column:

@@ -2,12 +2,13 @@
 
 Similarity of two texts is the number of words in common, counted with repeats, over the longer text's number of words.
 
-Candidates. A global order ranks all words; a text's prefix under it is its first word. An order here puts rare words
-first: word w has key -log(u_j(w)) / weight(w), u_j a hash of w under order j and the weight falling with document
-frequency, so that the prefix of order j is drawn anew for each j, nearly always among a text's rare words. A filter
-takes ``PER_FILTER`` orders and lets a pair through only where the two texts have the same prefix under every one of
-them; a pair is a candidate if one of ``FILTERS`` filters lets it through. With a weighted Jaccard similarity J of the
-words, a pair is missed with probability (1 - J**3)**FILTERS; two texts without rare words in common hardly meet.
+Candidates. A global order ranks all tokens; a text's prefix under it is its first token. There are two kinds. Orders
+of words put rare words first: word w has key -log(u_j(w)) / weight(w), u_j a hash of w under order j and the weight
+falling with document frequency, so that the prefix of order j is drawn anew for each j, nearly always among a text's
+rare words. Orders of three neighbouring words weigh all alike; they serve large families of near copies, whose shared
+words are frequent. A filter takes ``PER_FILTER`` orders of a kind and lets a pair through only where both texts have
+the same prefix under every one of them; a pair is a candidate if one filter lets it through. With a (weighted) Jaccard
+similarity J of its tokens, a pair is missed by all k filters of a kind with probability (1 - J**3)**k.
 """
 
 from __future__ import annotations
@@ -26,9 +27,10 @@ from loam.operators.bloom import filter_bits, possible_repeats, repeated_filter,
 from loam.operators.components import components
 from loam.session import materialize
 
-FILTERS, PER_FILTER = 24, 3
-#: Words in at least this share of the texts weigh less. There are at most (mean distinct words a text) / COMMON such words.
-COMMON = 0.002
+WORD_FILTERS, RUN_FILTERS, PER_FILTER = 18, 6, 3
+FILTERS = WORD_FILTERS + RUN_FILTERS
+#: Words in at least this share of the texts, and in ``LEAST`` texts, weigh less. There are at most (mean distinct words a text) / COMMON such words.
+COMMON, LEAST = 0.002, 20
 #: Bucket size up to which all its pairs are candidates at once; larger buckets go by their smallest member first.
 NEAR = 24
 #: Words whose keys a worker keeps.
@@ -36,11 +38,18 @@ CACHE = 100_000
 
 
 def common_words(texts: DataFrame, column: str) -> dict[str, float]:
-    """Share of texts, for each word that at least ``COMMON`` of all texts have. ``column`` holds ``words_text``."""
+    """Weight of each frequent word, counted over all texts. ``column`` holds ``words_text``."""
     words = texts.where(F.col(column) != "").select(F.explode(F.array_distinct(F.split(F.col(column), " "))).alias("w"))
     counts = words.groupBy("w").agg(F.count("*").alias("n"))
-    total = texts.where(F.col(column) != "").count()
-    return {r.w: r.n / total for r in counts.where(F.col("n") >= F.lit(max(2.0, COMMON * total))).toLocalIterator()}
+    least = max(LEAST, COMMON * texts.where(F.col(column) != "").count())
+    return {r.w: (least / r.n) ** 2 for r in counts.where(F.col("n") > F.lit(least)).toLocalIterator()}
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 class Orders:
@@ -48,12 +57,12 @@ class Orders:
 
     def __init__(self, common: dict[str, float]):
         self.common, self.at = common, {}
-        n = FILTERS * PER_FILTER
-        self.seeds = np.frombuffer(b"".join(blake2b(b"order %d" % j, digest_size=8).digest() for j in range(n)), np.uint64)
+        n = WORD_FILTERS * PER_FILTER
+        self.seeds = np.frombuffer(b"".join(blake2b(b"order %d" % j, digest_size=8).digest() for j in range(FILTERS * PER_FILTER)), np.uint64)
         self.keys, self.hashes = np.empty((1024, n), np.float32), np.empty(1024, np.uint64)
 
     def learn(self, words: list[str]) -> None:
-        if len(self.at) + len(words) > CACHE:  # begins anew; a single text may exceed the limit, and then has its own table
+        if len(self.at) + len(set(words)) > CACHE:  # begins anew; a single text may exceed the limit, and then has its own table
             self.at = {}
         new = [w for w in dict.fromkeys(words) if w not in self.at]
         if not new:
@@ -62,27 +71,29 @@ class Orders:
         while start + len(new) > len(self.keys):
             self.keys, self.hashes = np.concatenate([self.keys, np.empty_like(self.keys)]), np.concatenate([self.hashes, np.empty_like(self.hashes)])
         h = np.frombuffer(b"".join(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest() for w in new), np.uint64)
-        with np.errstate(over="ignore"):
-            x = h[:, None] ^ self.seeds[None, :]
-            for shift, mul in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-                x = (x ^ (x >> np.uint64(shift))) * np.uint64(mul)
-            x ^= x >> np.uint64(31)
-        weight = np.array([min(1.0, COMMON / self.common.get(w, COMMON)) ** 2 for w in new])
+        x = _mixed(h[:, None] ^ self.seeds[None, :WORD_FILTERS * PER_FILTER])
+        weight = np.array([self.common.get(w, 1.0) for w in new])
         u = ((x >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
         self.keys[start:start + len(new)] = -np.log(u) / weight[:, None]
         self.hashes[start:start + len(new)] = h
         self.at.update(zip(new, range(start, start + len(new))))
 
     def filters(self, words: list[str]) -> np.ndarray:
-        """One hash a filter, of the words that come first under its orders."""
+        """One hash a filter, of the tokens that come first under its orders. ``words`` is the whole text."""
         try:
             at = [self.at[w] for w in words]
         except KeyError:
             self.learn(words)
             at = [self.at[w] for w in words]
         at = np.array(at)
-        first = self.hashes[at[np.argmin(self.keys[at], axis=0)]].reshape(FILTERS, PER_FILTER)
+        distinct = np.unique(at)
+        first = np.empty((FILTERS, PER_FILTER), np.uint64)
+        first[:WORD_FILTERS] = self.hashes[distinct[np.argmin(self.keys[distinct], axis=0)]].reshape(WORD_FILTERS, PER_FILTER)
+        h = self.hashes[at]
         with np.errstate(over="ignore"):
+            runs = h if len(h) < 3 else h[:-2] * np.uint64(0x9E3779B97F4A7C15) + h[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[2:]
+            ranks = runs[:, None] * (self.seeds[None, WORD_FILTERS * PER_FILTER:] | np.uint64(1))
+            first[WORD_FILTERS:] = runs[np.argmin(ranks ^ (ranks >> np.uint64(29)), axis=0)].reshape(RUN_FILTERS, PER_FILTER)
             x = np.arange(1, FILTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             for k in range(PER_FILTER):
                 x = (x ^ first[:, k]) * np.uint64(0xD6E8FEB86659FD93)
@@ -100,8 +111,7 @@ def with_filters(texts: DataFrame, column: str, common: dict[str, float]) -> Dat
         for b in batches:
             rows = []
             for s in b.column(column).to_pylist():
-                words = list(dict.fromkeys(s.split()))
-                rows.append(orders.filters(words))
+                rows.append(orders.filters(s.split()))
             flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
             keep = [i for i, f in enumerate(b.schema.names) if f != column]
             keys = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, n, dtype=np.int32)), pa.array(flat))
