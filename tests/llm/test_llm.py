@@ -82,7 +82,7 @@ def test_mix(spark):
 
 
 def test_normalised_undoes_disguise():
-    assert abuse.normalised("i.d.i.o.t, so I D I O T 1d107 id​iot `code idiot` | idiot |") .count("idiot") == 4
+    assert abuse.normalised("i.d.i.o.t, so I D I O T 1d107 id​iot `code idiot`\n| idiot |") .count("idiot") == 4
     assert abuse.normalised("a``` x ```b 123 é") == ["a", "b", "#", "é"]
 
 
