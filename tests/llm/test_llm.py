@@ -86,6 +86,19 @@ def test_normalised_undoes_disguise():
     assert abuse.normalised("a``` x ```b 123 é") == ["a", "b", "#", "é"]
 
 
+def test_no_part_of_a_text_is_lost_to_scoring():
+    text = "\n | a | `b` |\n|---|---|\n\n| moron | c |\nyou idiot {{bastard}}\n\n```\ncretin"
+    prose, rest = abuse.split(text)
+    assert prose == ["you", "idiot"] and rest == ["a", "b", "moron", "c", "bastard", "cretin"]
+    assert len(abuse.Encoder()(text)) == len(prose) + len(rest) + 2
+
+
+def test_scores_match_the_forward_pass():
+    net, encode, r = abuse.Network(), abuse.Encoder(), random.Random(3)
+    docs = [encode(" ".join(passage(r, 40)) + "\n| x | y |") for _ in range(20)]
+    assert net.score(docs) == pytest.approx(1 / (1 + np.exp(-net.forward(abuse._padded(docs)[0])[-1])), abs=1e-6)
+
+
 def test_abuse_on_held_out_sentences(spark):
     r = random.Random(1)
     plain = [f"the {a} {b} the {c} after the {d}" for a in ("cluster", "queue", "index", "gateway") for b in ("locks", "checks", "moves") for c in ("table", "disk", "token") for d in ("restart", "upgrade", "backup")]
@@ -107,6 +120,17 @@ def test_abuse_on_held_out_sentences(spark):
     assert abuse.scores(df, lab.limit(0)).where("flagged").count() == 0 and abuse.scores(df.limit(0), lab).count() == 0
 
 
+def test_abuse_behind_and_inside_a_table_is_found(spark):
+    plain = [f"the {a} {b} the {c}" for a in ("cluster", "queue", "index", "gateway") for b in ("locks", "checks", "moves") for c in ("table", "disk", "token")]
+    bad, r = ["you are a stupid moron", "shut up you filthy idiot"], random.Random(4)
+    docs = [(i, ". ".join(r.sample(plain, 3) + [bad[i % 2]] * (i % 5 == 0)), "en", "s") for i in range(200)]
+    lab = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(200)], "doc_id bigint, abusive int")
+    rows = "| name | value |\n|---|---|\n| disk | 4 |"
+    docs += [(300, f"{rows}\n\n{bad[0]}", "en", "s"), (301, f"{rows}\n| x | {bad[1]} |", "en", "s"), (302, f"```\n{bad[0]}", "en", "s"), (303, f"{rows}\n\n{plain[0]}", "en", "s")]
+    got = {x.doc_id: x.flagged for x in abuse.scores(spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string"), lab).where("doc_id >= 300").collect()}
+    assert got == {300: True, 301: True, 302: True, 303: False}
+
+
 FR, EN = "Le serveur redémarre la file d'attente avec le module du réseau et les jetons sont dans la base.", "The server restarts the queue with the module of the network and the tokens are in the base."
 ASK_FR, ASK_EN = "Traduis ce document de l'anglais vers le français.", "Translate the document above from French into English."
 
