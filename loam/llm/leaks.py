@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,8 +15,10 @@ from loam.functions.words import words_text
 
 #: Words of a search pattern and of the block that decides the shift.
 PATTERN, BLOCK = 5, 2
-#: Pattern hits in one place that call for a comparison, and the room for words that were put in.
-HITS, SLACK = 3, 1.25
+#: Room for words that were put in: one place is a run of this many times the item's words, and ``EDGE`` more.
+SLACK, EDGE = 1.25, 4
+#: Neighbouring places that are first measured as one.
+GROUP = 8
 
 
 class Patterns:
@@ -40,6 +44,18 @@ class Patterns:
             for i, w in enumerate(words):
                 mask[w] |= 1 << i
             self.masks[key] = dict(mask)
+        # all items side by side in whole bytes, with eight free bits between them, one for each addition that carries over
+        self.keys = [key for key, words in items if len(words) >= PATTERN]
+        self.sizes = np.array([len(self.items[key]) for key in self.keys], int)
+        self.starts = np.r_[0, np.cumsum((self.sizes + 15) // 8)].astype(int)
+        joint: dict[str, int] = defaultdict(int)
+        self.full = 0
+        for key, start, n in zip(self.keys, self.starts.tolist(), self.sizes.tolist()):
+            self.full |= ((1 << n) - 1) << 8 * start
+            for w, m in self.masks[key].items():
+                joint[w] |= m << 8 * start
+        self.joint = dict(joint)
+        self.room = int(max(self.sizes, default=0) * SLACK) + EDGE
 
     def occurrences(self, words: list[str]) -> dict[int, list[tuple[int, int]]]:
         """For each item, (place in the document, place in the item) of its patterns that occur."""
@@ -70,36 +86,84 @@ class Patterns:
         return n - v.bit_count()
 
     def leaked(self, words: list[str], share: float) -> Iterator[tuple[int, float]]:
-        """Items of which at least ``share`` stands in one place, in order, with that share."""
-        for key, hits in self.occurrences(words).items():
-            if len(hits) < HITS and len(self.items[key]) >= PATTERN + HITS:
-                continue
+        """Items of which at least ``share`` stands in one place, in order, with the share found there.
+
+        Only those of ``likely`` can. Places that a pattern points to are compared first; items that none of these confirms
+        are held against all places where enough of their words stand.
+        """
+        done, likely = set(), self.likely(words, share)
+        hits_of = self.occurrences(words) if likely else {}
+        for key in likely:
+            hits = hits_of.get(key, ())
             n = len(self.items[key])
             best, tried = 0.0, -1
-            for i, (place, at) in enumerate(hits):
-                begin = max(0, place - int(at * SLACK) - 2)
-                end = place + int((n - at) * SLACK) + 2
-                inside = sum(1 for p, _ in hits[i:] if p < end)
-                if begin == tried or inside < min(HITS, len(hits) - i):
+            for place, at in hits:
+                begin = max(0, place - int(at * SLACK) - EDGE // 2)
+                end = place + int((n - at) * SLACK) + EDGE // 2
+                if begin == tried:
                     continue
                 tried = begin
                 best = max(best, self.common(key, words[begin:end]) / n)
                 if best >= 0.999:
                     break
             if best >= share:
+                done.add(key)
+                yield key, best
+        for key in likely:
+            if key not in done and (best := self.anywhere(key, words, share)) >= share:
                 yield key, best
         for key, item in self.short.items():
             k = len(item)
             if k and any(tuple(words[i:i + k]) == item for i in range(len(words) - k + 1)):
                 yield key, 1.0
 
+    def anywhere(self, key: int, words: list[str], share: float) -> float:
+        """The largest share of the item in one place of ``words``, 0 where it is below ``share``."""
+        mask, n = self.masks[key], len(self.items[key])
+        room = int(n * SLACK) + EDGE
+        at = [i for i, w in enumerate(words) if w in mask]
+        inside = [words[i] for i in at]
+        ends = [bisect_left(at, begin + room) for begin in at]
+        best = 0
+        for s in range(0, len(at), GROUP):
+            need = max(best + 1, share * n)
+            group = range(s, min(s + GROUP, len(at)))
+            if ends[group[-1]] - s < need or self.common(key, inside[s:ends[group[-1]]]) < need:
+                continue  # nor does any place of the group, which lies in this stretch
+            for first in group:
+                # a place that ends where the one before does holds nothing more than that one
+                if ends[first] - first >= max(best + 1, share * n) and (first == s or ends[first] > ends[first - 1]):
+                    best = max(best, self.common(key, inside[first:ends[first]]))
+        return best / n if best >= share * n else 0.0
+
+    def likely(self, words: list[str], share: float) -> list[int]:
+        """The items of which at least ``share`` stands in order in a stretch of ``words`` that is wider than any place.
+
+        Each place lies whole in one of the stretches, so no other item can be found. All items are compared at once, by bits.
+        """
+        if not self.keys:
+            return []
+        full, get = self.full, self.joint.get
+        most = np.zeros(len(self.keys), int)
+        for s in range(0, max(1, len(words) - self.room), 2 * self.room):
+            v = full
+            for i, m in enumerate(filter(None, map(get, words[s:s + 3 * self.room]))):
+                u = v & m
+                v = (v + u) | (v ^ u)
+                if i % 8 == 7:
+                    v &= full
+            left = np.bitwise_count(np.frombuffer((v & full).to_bytes(int(self.starts[-1]), "little"), np.uint8))
+            most = np.maximum(most, self.sizes - np.add.reduceat(left, self.starts[:-1], dtype=int))
+        return [self.keys[k] for k in np.flatnonzero(most >= self.sizes * share)]
+
 
 def leaks(documents: DataFrame, items: DataFrame, share: float = 0.5) -> DataFrame:
     """(doc_id, item_id, share): documents that hold at least ``share`` of an item's words, in one place and in order.
 
     Both sides are compared as words, without case, punctuation or layout. A block table skips what no pattern of
-    five words of an item can reach, suffix buckets pick patterns, a comparison confirms them, and where several hit in one
-    place the longest common subsequence there is measured. Null and blank texts match nothing, a document counts once,
+    five words of an item can reach, suffix buckets pick patterns, a comparison confirms them, and where one hits the
+    longest common subsequence there is measured. Items that no pattern leads to are measured in all places, after a bound
+    by wider stretches; so none is missed, one place being ``SLACK`` times the item's words, and ``EDGE`` more. Null and blank texts match nothing, a document counts once,
     null ids are left out, items of under five words must occur whole, and empty tables give an empty result.
     ``items`` is the stated test set; all of it is sent to each task.
     """

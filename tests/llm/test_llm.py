@@ -49,6 +49,29 @@ def test_leaks(spark):
     assert leaks.leaks(df.limit(0), it).count() == 0 and leaks.leaks(df, it.limit(0)).count() == 0
 
 
+def test_leaks_without_repeated_runs_of_five_words(spark):
+    r = random.Random(5)
+    items = [(0, passage(r, 60)), (1, passage(r, 10)), (2, passage(r, 10))]
+    thinned = [w if i % 5 else "changed" for i, w in enumerate(items[0][1])]
+    docs = [passage(r, 50) + x + passage(r, 50) for x in (thinned, items[1][1][2:8], items[2][1][:3] + ["changed"] + items[2][1][3:5], items[0][1][::-1], items[1][1][:2])]
+    want = {(0, 0, 0.8), (1, 1, 0.6), (2, 2, 0.5)}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id bigint, text string")
+    it = spark.createDataFrame([(k, " ".join(w), "s") for k, w in items], "item_id bigint, text string, suite string")
+    assert {(x.doc_id, x.item_id, round(x.share, 6)) for x in leaks.leaks(df, it).collect()} == want
+
+
+def test_leaks_match_brute_force():
+    r, few = random.Random(6), WORDS[:12]
+    items = [(k, [r.choice(few) for _ in range(8 + k)]) for k in range(6)]
+    p = leaks.Patterns(items)
+    docs = [[r.choice(few if r.random() < 0.4 else WORDS) for _ in range(60)] for _ in range(80)]
+    docs += [a + b + c for a, b, c in zip(docs, docs[1:], docs[2:])]
+    for words in docs:
+        room = {k: int(len(item) * leaks.SLACK) + leaks.EDGE for k, item in items}
+        want = {k for k, item in items if max(lcs(item, words[i:i + room[k]]) for i in range(len(words))) >= 0.5 * len(item)}
+        assert {k for k, _ in p.leaked(words, 0.5)} == want
+
+
 def test_bit_parallel_subsequence_matches_the_table():
     r = random.Random(4)
     item = passage(r, 40)
