@@ -67,6 +67,8 @@ SORRY = re.compile(r"^\W*(?:(?:i'm |i am )?sorry|apologies|my apologies|i apolog
 #: What may stand behind a complete answer.
 NOTES = re.compile(r"\n\s*(?:\*\*\s*)?(?:notes?|remarques?|nb|n\.b\.|p\.-?s\.)\b.*\Z|\n\s*(?:-{3,}|—|\*{3,}).*\Z", re.I | re.S)
 VERSION_STOP = re.compile(r"\bversion\s+[\d.]+\Z", re.I)
+#: Names of the JSON fields that hold the answer proper, not its title or what goes with it.
+CONTENT = re.compile(r"(?:^|_)(?:content|text|body|translation|answer|response|contenu|texte|traduction|r[ée]ponse)$", re.I)
 #: Signs after which a sentence goes on.
 CONTINUES = "\ufffd,('’/-–`_{[<&+=@#$%«“\\"
 ENDS = re.compile(r"[.!?…:;][\"'»”’)\]*_]*\Z|[»”]\Z")
@@ -92,6 +94,32 @@ def payload(response: str | None) -> tuple[str, bool, bool]:
     return (" ".join(map(str, value)) if isinstance(value, list) else str(value)), True, False
 
 
+def strings(value: object, name: str = "") -> Iterator[tuple[str, str]]:
+    """(field, text) of all values in a JSON value, nested ones too; those in a list carry the list's field, nothing is an empty text."""
+    if isinstance(value, dict) and value:
+        for k, v in value.items():
+            yield from strings(v, k)
+    elif isinstance(value, list) and value:
+        for v in value:
+            yield from strings(v, name)
+    else:
+        yield name, "" if value is None or value in ([], {}) else str(value)
+
+
+def contents(response: str | None) -> tuple[str, list[str], bool, bool]:
+    """The text that answers, all other texts of a JSON answer, whether it is JSON, and whether that JSON is damaged.
+
+    In JSON the longest field named as content answers, even if it is blank, else the longest text of all.
+    """
+    text, is_json, damaged = payload(response)
+    if not is_json or damaged:
+        return text, [], is_json, damaged
+    found = list(strings(json.loads(response.strip())))
+    named = [i for i, (k, v) in enumerate(found) if CONTENT.search(k)]
+    main = max(named or range(len(found)), key=lambda i: len(found[i][1]))
+    return found[main][1], [v for i, (_, v) in enumerate(found) if i != main], True, False
+
+
 def asked_language(asked: str) -> str | None:
     """The language an instruction asks for: the last it names as a target, else the one it does not translate from."""
     hits = ASKED.findall(asked)
@@ -145,12 +173,14 @@ DENSE = 29
 
 
 def features(asked: str, source: str, response: str | None) -> tuple[np.ndarray, list[str]]:
-    """Features of a pair and the answer's words."""
-    text, is_json, damaged = payload(response)
-    words = WORD.findall(text.lower())
+    """Features of a pair and the answer's words, those of all its JSON fields; emptiness and ending are those of its content."""
+    text, others, is_json, damaged = contents(response)
+    main = "".join(WORD.findall(text.lower()))
+    whole = "\n".join([text, *others])
+    words = WORD.findall(whole.lower())
     joined = "".join(words)
     x = np.zeros(DENSE, np.float32)
-    nothing = not words or text.strip().strip(".`'\"«» -_*").lower() in NOTHING or joined in NOTHING
+    nothing = not main or text.strip().strip(".`'\"«» -_*").lower() in NOTHING or main in NOTHING
     x[0] = nothing
     x[1] = is_json
     n = len(words)
@@ -167,8 +197,8 @@ def features(asked: str, source: str, response: str | None) -> tuple[np.ndarray,
     share_src, cover_src, share_any = common / max(1, n), common / max(1, len(src)), from_any / max(1, n)
     x[2], x[3], x[4] = share_ask > 0.7, share_ask > 0.9, cover_ask > 0.85 and n < 3 * len(ask) + 3
     x[5], x[6], x[7] = share_any > 0.8, share_any > 0.92, share_any > 0.92 and cover_src > 0.3
-    x[8] = n >= 3 and len(joined) > 15 and (joined in "".join(ask) or ("".join(ask) in joined and len(ask) > 4 and n < 1.5 * len(ask)))
-    x[9] = len(src) > 4 and n and ("".join(src) in joined or (len(joined) > 60 and joined in "".join(src)))
+    x[8] = n >= 3 and any(len(v) > 15 and v in "".join(ask) for v in (main, joined)) or n >= 3 and len(joined) > 15 and "".join(ask) in joined and len(ask) > 4 and n < 1.5 * len(ask)
+    x[9] = len(src) > 4 and n and ("".join(src) in joined or any(len(v) > 60 and v in "".join(src) for v in (main, joined)))
     votes = language_votes(have)
     total = sum(votes.values())
     if want and total >= 3:
@@ -177,7 +207,7 @@ def features(asked: str, source: str, response: str | None) -> tuple[np.ndarray,
         x[11] = best[0] != want and best[1] >= 1.5 * votes[want] + 2
         x[12] = best[0] != want and best[1] >= 2 * votes[want] + 3
         x[13] = x[12] and share_any < 0.8
-    x[14] = 0 < n < 60 and bool(DECLINES.search(CODE.sub(" ", text)))
+    x[14] = 0 < n < 60 and bool(DECLINES.search(CODE.sub(" ", whole)))
     x[15] = 0 < n < 60 and bool(SORRY.search(text))
     x[16] = n < 12
     x[17] = n < 45
@@ -371,7 +401,7 @@ def defects(pairs: DataFrame) -> DataFrame:
     """(record_kind, record_id, source_name, defect, score) of each pair, defect null where the answer is sound.
 
     Each key counts once. Null and blank answers are ``empty``; a null instruction or source is an empty text, and
-    without a language asked for none is wrong. Whole texts are read. An empty table gives an empty result.
+    without a language asked for none is wrong. Whole texts are read, of JSON answers all values, nested ones too. An empty table gives an empty result.
     """
     rows = bounded_sample(pairs, MAX_TRAIN, "record_kind", "record_id").select("asked", "source", "response").collect()
     model = train([(*_split(r.asked, r.source), r.response) for r in rows])

@@ -1,5 +1,6 @@
 """Language-model data operators on small fixtures: brute force, held-out accuracy, nulls, repeats and empty tables."""
 
+import json
 import random
 
 import numpy as np
@@ -166,6 +167,17 @@ def test_ending_payload_and_language():
         assert any(answers.ending(text, False)[:6]) == cut, text
 
 
+def test_all_fields_of_a_json_answer_are_read():
+    x = lambda answer, source=EN: answers.features(ASK_FR, source, json.dumps(answer))
+    for answer in ({"translated_title": "Document", "translated_content": ""}, {"translated_title": "Document", "translated_content": None}, {"title": "Document", "content": []}, {"a": {"b": [" "]}}, {}):
+        assert x(answer)[0][0] == 1, answer
+    nested = {"result": {"parts": [{"text": FR}]}, "title": "Document"}
+    assert x(nested)[0][0] == 0 and set(x(nested)[1]) == set(answers.WORD.findall(f"{FR} Document".lower()))
+    assert x({"result": {"translated_content": EN}})[0][9] == 1 and x({"result": {"translated_content": EN * 3}}, "x")[0][12] == 1
+    assert x({"translated_content": FR[:-9], "note": "A much longer remark that ends with a full stop, as it should do. " * 3})[0][21] == 1
+    assert x({"translated_content": FR, "preserved_elements": ["`a_b` and much that stops in" * 9]})[0][18:24].any() == 0
+
+
 def table(spark):
     r = random.Random(3)
     rows = []
