@@ -214,6 +214,48 @@ for _kind, _text in _GOLDEN.items():
     QUERIES[f"layout_{_kind}"] = partial(_layout, _kind)
     SQL[f"layout_{_kind}"] = f"select '{_kind}' kind, {_literal(_text)} as text"
 
+def _replaced(pattern: str, to: str):
+    return lambda c: f"regexp_replace({c}, '{pattern}', {to}, 'g')"
+
+
+def _in_order(*steps):
+    def run(c):
+        for step in steps:
+            c = step(c)
+        return c
+    return run
+
+
+#: The steps of ``layout.repair`` in SQL, except the one for paragraph lines, whose look-ahead RE2 cannot state.
+_STEP_SQL = {
+    T.collapse_spaces: _replaced(r"[ \t\f\v]+", "' '"),
+    T.strip_around_newlines: _in_order(_replaced(r"[ \t]+\n", "chr(10)"), _replaced(r"\n[ \t]+", "chr(10)")),
+    T.join_hyphenated: _replaced(f"([{T.LOWER}]{{3,}})-\\n([{T.LOWER}]{{2,}})", r"'\1\2'"),
+    T.join_title_lines: _in_order(*[_replaced(r"(^|[^\n])\n([^\n]|$)", r"'\1 \2'")] * 2),
+    T.collapse_blank_lines: _replaced(r"\n{3,}", "chr(10) || chr(10)"),
+    T.squeeze_blanks: _replaced(" {2,}", "' '"),
+    layout.strip_line_ends: _replaced(r"[ \t]+(\n|$)", r"'\1'"),
+    layout._colon: _replaced(f"{WS}*:{WS}*", "': '"),
+    layout._equal: _replaced(f"{WS}*={WS}*", "' = '"),
+}
+
+
+def _layout_documents(kind, spark, d):
+    return table(spark, d, "documents").select("doc_id", layout.repair(F.col("text"), kind).alias("text"))
+
+
+for _kind, _steps in layout.STEPS.items():
+    QUERIES[f"layout_{_kind}_documents"] = partial(_layout_documents, _kind)
+    if all(step in _STEP_SQL for step in _steps):
+        _ends = "replace(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(173) || chr(10), '')"
+        SQL[f"layout_{_kind}_documents"] = f"select doc_id, {_strip(_in_order(*(_STEP_SQL[step] for step in _steps))(_ends))} as text from documents"
+
+
+@query()
+def unicode_normalize_documents(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.normalize_unicode(F.col("text")).alias("text"))
+
+
 _UNICODE = (("nbsp", "a\xa0b​c", "a bc"), ("fi", "ﬁn…²\xad", "fin...2"), ("plain", "abc", "abc"), ("null", None, ""))
 
 

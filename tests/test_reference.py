@@ -102,3 +102,15 @@ def test_generator_reports_errors(spark):
 
     got = generator.generated(spark.createDataFrame([("ab",), ("",)], "prompt string"), call).collect()
     assert got[0].text == "ba" and got[1].error == "ValueError: empty"
+
+
+def test_repairs_and_unicode_run_on_the_texts_of_documents(spark, tmp_path):
+    from loam.plans import reference
+
+    rows = [(1, reference._SAMPLE), (2, None), (3, "a\xa0b\u200bc ﬁn…²")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for kind, golden in reference._GOLDEN.items():
+        got = dict(reference.QUERIES[f"layout_{kind}_documents"](spark, str(tmp_path)).collect())
+        assert got[1] == golden and got[2] == "" and len(got) == 3, kind
+    got = dict(reference.QUERIES["unicode_normalize_documents"](spark, str(tmp_path)).collect())
+    assert got[2] == "" and got[3] == "a bc fin...2"
