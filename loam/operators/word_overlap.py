@@ -6,9 +6,11 @@ Candidates. A global order ranks all tokens; a text's prefix under it is its fir
 of words put rare words first: word w has key -log(u_j(w)) / weight(w), u_j a hash of w under order j and the weight
 falling with document frequency, so that the prefix of order j is drawn anew for each j, nearly always among a text's
 rare words. Orders of three neighbouring words weigh all alike; they serve large families of near copies, whose shared
-words are frequent. A filter takes ``PER_FILTER`` orders of a kind and lets a pair through only where both texts have
-the same prefix under every one of them; a pair is a candidate if one filter lets it through. With a (weighted) Jaccard
-similarity J of its tokens, a pair is missed by all k filters of a kind with probability (1 - J**3)**k.
+words are frequent. A filter takes several orders of a kind, ``WORD_ORDERS`` or ``RUN_ORDERS``, and lets a pair through
+only where both texts have the same prefix under every one of them; a pair is a candidate if one filter lets it through.
+With a (weighted) Jaccard similarity J of its tokens, a pair is missed by all k filters of r orders with probability
+(1 - J**r)**k. Filters of runs take more orders, as runs that many texts share would fill their buckets; in a family so
+large that its words are frequent, each text has many partners, and groups need only one of them.
 """
 
 from __future__ import annotations
@@ -27,12 +29,14 @@ from loam.operators.bloom import filter_bits, possible_repeats, repeated_filter,
 from loam.operators.components import components
 from loam.session import materialize
 
-WORD_FILTERS, RUN_FILTERS, PER_FILTER = 18, 6, 3
-FILTERS = WORD_FILTERS + RUN_FILTERS
-#: Words in at least this share of the texts, and in ``LEAST`` texts, weigh less. There are at most (mean distinct words a text) / COMMON such words.
+WORD_FILTERS, WORD_ORDERS, RUN_FILTERS, RUN_ORDERS = 24, 3, 6, 6
+FILTERS, KEYS = WORD_FILTERS + RUN_FILTERS, WORD_FILTERS * WORD_ORDERS
+#: Words in more than this share of the texts, and ``LEAST`` more, weigh less. There are at most (mean distinct words a text) / COMMON such words.
 COMMON, LEAST = 0.002, 20
 #: Bucket size up to which all its pairs are candidates at once; larger buckets go by their smallest member first.
 NEAR = 24
+#: Entries that one task takes of a bucket; larger buckets are salted. They are told by one id in ``PROBE``.
+PORTION, PROBE = 8192, 64
 #: Words whose keys a worker keeps.
 CACHE = 100_000
 
@@ -41,7 +45,7 @@ def common_words(texts: DataFrame, column: str) -> dict[str, float]:
     """Weight of each frequent word, counted over all texts. ``column`` holds ``words_text``."""
     words = texts.where(F.col(column) != "").select(F.explode(F.array_distinct(F.split(F.col(column), " "))).alias("w"))
     counts = words.groupBy("w").agg(F.count("*").alias("n"))
-    least = max(LEAST, COMMON * texts.where(F.col(column) != "").count())
+    least = LEAST + COMMON * texts.where(F.col(column) != "").count()
     return {r.w: (least / r.n) ** 2 for r in counts.where(F.col("n") > F.lit(least)).toLocalIterator()}
 
 
@@ -57,9 +61,8 @@ class Orders:
 
     def __init__(self, common: dict[str, float]):
         self.common, self.at = common, {}
-        n = WORD_FILTERS * PER_FILTER
-        self.seeds = np.frombuffer(b"".join(blake2b(b"order %d" % j, digest_size=8).digest() for j in range(FILTERS * PER_FILTER)), np.uint64)
-        self.keys, self.hashes = np.empty((1024, n), np.float32), np.empty(1024, np.uint64)
+        self.seeds = np.frombuffer(b"".join(blake2b(b"order %d" % j, digest_size=8).digest() for j in range(KEYS + RUN_FILTERS * RUN_ORDERS)), np.uint64)
+        self.keys, self.hashes = np.empty((1024, KEYS), np.float32), np.empty(1024, np.uint64)
 
     def learn(self, words: list[str]) -> None:
         if len(self.at) + len(set(words)) > CACHE:  # begins anew; a single text may exceed the limit, and then has its own table
@@ -71,7 +74,7 @@ class Orders:
         while start + len(new) > len(self.keys):
             self.keys, self.hashes = np.concatenate([self.keys, np.empty_like(self.keys)]), np.concatenate([self.hashes, np.empty_like(self.hashes)])
         h = np.frombuffer(b"".join(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest() for w in new), np.uint64)
-        x = _mixed(h[:, None] ^ self.seeds[None, :WORD_FILTERS * PER_FILTER])
+        x = _mixed(h[:, None] ^ self.seeds[None, :KEYS])
         weight = np.array([self.common.get(w, 1.0) for w in new])
         u = ((x >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
         self.keys[start:start + len(new)] = -np.log(u) / weight[:, None]
@@ -87,37 +90,37 @@ class Orders:
             at = [self.at[w] for w in words]
         at = np.array(at)
         distinct = np.unique(at)
-        first = np.empty((FILTERS, PER_FILTER), np.uint64)
-        first[:WORD_FILTERS] = self.hashes[distinct[np.argmin(self.keys[distinct], axis=0)]].reshape(WORD_FILTERS, PER_FILTER)
+        first = self.hashes[distinct[np.argmin(self.keys[distinct], axis=0)]].reshape(WORD_FILTERS, WORD_ORDERS)
         h = self.hashes[at]
         with np.errstate(over="ignore"):
             runs = h if len(h) < 3 else h[:-2] * np.uint64(0x9E3779B97F4A7C15) + h[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[2:]
-            ranks = runs[:, None] * (self.seeds[None, WORD_FILTERS * PER_FILTER:] | np.uint64(1))
-            first[WORD_FILTERS:] = runs[np.argmin(ranks ^ (ranks >> np.uint64(29)), axis=0)].reshape(RUN_FILTERS, PER_FILTER)
+            ranks = runs[:, None] * (self.seeds[None, KEYS:] | np.uint64(1))
+            run = runs[np.argmin(ranks ^ (ranks >> np.uint64(29)), axis=0)].reshape(RUN_FILTERS, RUN_ORDERS)
             x = np.arange(1, FILTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            for k in range(PER_FILTER):
-                x = (x ^ first[:, k]) * np.uint64(0xD6E8FEB86659FD93)
-                x ^= x >> np.uint64(32)
+            for y, prefixes in ((x[:WORD_FILTERS], first), (x[WORD_FILTERS:], run)):
+                for k in range(prefixes.shape[1]):
+                    y ^= prefixes[:, k]
+                    y *= np.uint64(0xD6E8FEB86659FD93)
+                    y ^= y >> np.uint64(32)
         return x.view(np.int64)
 
 
 def with_filters(texts: DataFrame, column: str, common: dict[str, float]) -> DataFrame:
-    """``texts`` with ``keys``, the filter hashes of ``column`` (as from ``words_text``), in its place."""
+    """``texts`` with ``keys``, the filter hashes of ``column`` (as from ``words_text``), and ``n``, its words, in its place."""
     shared = texts.sparkSession.sparkContext.broadcast(common)
     n = FILTERS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         orders = Orders(shared.value)
         for b in batches:
-            rows = []
-            for s in b.column(column).to_pylist():
-                rows.append(orders.filters(s.split()))
+            words = [s.split() for s in b.column(column).to_pylist()]
+            rows = [orders.filters(w) for w in words]
             flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
             keep = [i for i, f in enumerate(b.schema.names) if f != column]
             keys = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, n, dtype=np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep], keys], [*[b.schema.names[i] for i in keep], "keys"])
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep], keys, pa.array(map(len, words), pa.int32())], [*[b.schema.names[i] for i in keep], "keys", "n"])
 
-    shape = ", ".join(f"`{c}` {t}" for c, t in texts.dtypes if c != column) + ", keys array<bigint>"
+    shape = ", ".join(f"`{c}` {t}" for c, t in texts.dtypes if c != column) + ", keys array<bigint>, n int"
     return texts.where(F.col(column) != "").mapInArrow(run, shape)
 
 
@@ -158,6 +161,20 @@ def _distinct(marked: DataFrame, *digests: str) -> tuple[DataFrame, DataFrame]:
     return once.where("not repeat").drop("repeat"), once.where("repeat").drop("repeat")
 
 
+def salted(entries: DataFrame) -> DataFrame:
+    """``entries`` (k, id, n) with ``salt`` and ``hub``; buckets of much more than ``PORTION`` rows have several salts and a hub, the smallest id.
+
+    Which buckets are so large is estimated from one id in ``PROBE``. It settles how the work is divided, not what is compared.
+    """
+    probe = entries.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(PROBE)) == 0).groupBy("k").agg(F.count("*").alias("c")).where(f"c > {2 * PORTION // PROBE}")
+    large = materialize(probe.select("k", F.ceil(F.col("c") * PROBE / PORTION).alias("salts")), "large")
+    if large.isEmpty():
+        return entries.withColumns({"salt": F.lit(0), "hub": F.lit(None).cast(f"struct<id:{dict(entries.dtypes)['id']},n:int>")})
+    hubs = entries.join(large, "k").groupBy("k").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("salts").alias("salts"))
+    spot = F.pmod(F.xxhash64("id", F.lit(5)), F.coalesce("salts", F.lit(1))).cast("int")
+    return entries.join(materialize(hubs, "hubs"), "k", "left").select("k", "id", "n", spot.alias("salt"), "hub")
+
+
 def _named(pairs: DataFrame, source: DataFrame) -> DataFrame:
     """Rows of ``source`` whose id a pair names."""
     return semi_join(source, materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "named"))
@@ -185,21 +202,22 @@ def near_groups(rows: DataFrame, key: str, column: str, second: str, limits: tup
     ids = repeated.groupBy("d1", "d2", "id").agg(F.lit(1).alias("one"))
     first = materialize(ids.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "first")
     copies = ids.join(first.where("n > 1"), ["d1", "d2"]).where("id > rep").select("id", "rep")
-    chosen = repeated.groupBy("d1", "d2").agg(F.min_by("keys", "id").alias("keys"), F.min("id").alias("id"))
-    reps = single.select("id", "keys").unionByName(chosen.select("id", "keys"))
+    chosen = repeated.groupBy("d1", "d2").agg(F.min_by(F.struct("keys", "n"), "id").alias("x"), F.min("id").alias("id")).select("id", "x.*")
+    reps = single.select("id", "keys", "n").unionByName(chosen)
 
-    entries = reps.select(F.explode("keys").alias("k"), "id")
-    near = f"partition by k order by id rows between 1 following and {NEAR} following"
+    entries = salted(reps.select(F.explode("keys").alias("k"), "id", "n"))
+    part = "partition by k, salt order by id"
     buckets = entries.select(
-        "k", "id", F.expr(f"collect_list(id) over ({near})").alias("next"),
-        F.expr("first_value(id) over (partition by k order by id rows between unbounded preceding and current row)").alias("hub"),
-        F.expr("row_number() over (partition by k order by id)").alias("nth"),
-        F.expr(f"lead(id, {NEAR + 1}) over (partition by k order by id) is not null").alias("more"),
-    ).where(f"size(next) > 0 or nth > {NEAR + 1}")
-    buckets = materialize(buckets.withColumn("hot", F.expr(f"more or nth > {NEAR + 1}")), "buckets")
-    pairs = buckets.select(F.col("id").alias("a"), F.explode("next").alias("b"))
-    pairs = pairs.unionByName(buckets.where(f"nth > {NEAR + 1}").select(F.col("hub").alias("a"), F.col("id").alias("b")))
-    pairs = materialize(pairs.distinct(), "pairs")
+        "k", "id", "n", F.expr(f"collect_list(struct(id, n)) over ({part} rows between 1 following and {NEAR} following)").alias("next"),
+        F.coalesce("hub", F.expr(f"first_value(struct(id, n)) over ({part} rows between unbounded preceding and current row)")).alias("hub"),
+        F.expr(f"row_number() over ({part})").alias("nth"), (F.col("hub").isNotNull() | F.expr(f"lead(id, {NEAR + 1}) over ({part}) is not null")).alias("more"),
+    )
+    buckets = buckets.withColumn("hot", F.expr(f"more or nth > {NEAR + 1}")).where("size(next) > 0 or hot")
+    buckets = materialize(buckets.select("k", "id", "n", "next", "hub", "hot"), "buckets")
+    alike = f"least(n, m) >= {limits[0]} * greatest(n, m)"  # texts of lengths further apart cannot overlap that much
+    pairs = buckets.select(F.col("id").alias("a"), "n", F.explode("next").alias("x")).select("a", "n", F.col("x.id").alias("b"), F.col("x.n").alias("m"))
+    pairs = pairs.unionByName(buckets.where("hot and hub.id <> id").select(F.col("hub.id").alias("a"), "n", F.col("id").alias("b"), F.col("hub.n").alias("m")))
+    pairs = materialize(pairs.where(alike).select("a", "b").distinct(), "pairs")
 
     def check(some: DataFrame) -> DataFrame:
         texts = _named(some, source).dropDuplicates(["id"]).select("id", words_text(F.col(column)).alias("w1"), words_of_values(F.col(second)).alias("w2"))
@@ -207,13 +225,13 @@ def near_groups(rows: DataFrame, key: str, column: str, second: str, limits: tup
 
     links = materialize(check(pairs), "links")
     roots = components(links)
-    hot = buckets.where("hot").select("k", "id", "hub")
+    hot = buckets.where("hot").select("k", "id", "n", F.col("hub.id").alias("hub"))
     if not hot.isEmpty():
         root = lambda of: roots.select(F.col("id").alias(of), F.col("root").alias(f"root_{of}"))
         placed = hot.join(root("id"), "id", "left").join(root("hub"), "hub", "left")
-        placed = materialize(placed.select("k", "id", "hub", F.coalesce("root_id", "id").alias("r"), F.coalesce("root_hub", "hub").alias("h")), "placed")
-        apart = placed.where("r <> h").select("k", F.col("id").alias("a"), F.col("r").alias("ra"))
-        more = apart.join(placed.select("k", F.col("id").alias("b"), F.col("r").alias("rb")), "k").where("ra <> rb")
+        placed = materialize(placed.select("k", "id", "n", F.coalesce("root_id", "id").alias("r"), F.coalesce("root_hub", "hub").alias("h")), "placed")
+        apart = placed.where("r <> h").select("k", F.col("id").alias("a"), F.col("n").alias("m"), F.col("r").alias("ra"))
+        more = apart.join(placed.select("k", F.col("id").alias("b"), "n", F.col("r").alias("rb")), "k").where(f"ra <> rb and {alike}")
         more = materialize(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "more")
         links = materialize(links.unionByName(check(more)), "links")
         roots = components(links)
@@ -241,12 +259,13 @@ def cross_split_pairs(rows: DataFrame, key: str = "example_id", split: str = "sp
     train = F.col("split") == "train"
     single, repeated = _distinct(marked, "d1")
     sides = [F.max(train).alias("in_train"), F.max(~train).alias("in_eval")]
-    chosen = materialize(repeated.groupBy("d1").agg(F.min("id").alias("t"), F.min_by("keys", "id").alias("keys"), *sides), "chosen")
-    groups = single.select("d1", F.col("id").alias("t"), "keys", train.alias("in_train"), (~train).alias("in_eval")).unionByName(chosen)
-    entries = materialize(groups.select(F.explode("keys").alias("k"), F.col("t").alias("id"), "in_train", "in_eval"), "entries")
-    left = entries.where("in_eval").select("k", F.col("id").alias("a"))
-    right = entries.where("in_train").select("k", F.col("id").alias("b"))
-    pairs = materialize(left.join(right, "k").where("a <> b").select("a", "b").distinct(), "pairs")
+    chosen = materialize(repeated.groupBy("d1").agg(F.min("id").alias("t"), F.min_by("keys", "id").alias("keys"), F.min("n").alias("n"), *sides), "chosen")
+    groups = single.select("d1", F.col("id").alias("t"), "keys", "n", train.alias("in_train"), (~train).alias("in_eval")).unionByName(chosen)
+    entries = materialize(groups.select(F.explode("keys").alias("k"), F.col("t").alias("id"), "n", "in_train", "in_eval"), "entries")
+    left = entries.where("in_eval").select("k", F.col("id").alias("a"), "n")
+    right = entries.where("in_train").select("k", F.col("id").alias("b"), F.col("n").alias("m"))
+    pairs = left.join(right, "k").where(f"a <> b and least(n, m) >= {limits[0]} * greatest(n, m)")
+    pairs = materialize(pairs.select("a", "b").distinct(), "pairs")
     texts = _named(pairs, source).dropDuplicates(["id"]).select("id", words_text(F.col("text")).alias("w1"))
     close = verified(pairs, materialize(texts, "texts"), {"w1": limits[0]})
     same = chosen.where("in_train and in_eval").select(F.col("t").alias("a"), F.col("t").alias("b"))
