@@ -6,14 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def fold(c: Column) -> Column:
+    """Lower case of the upper case, so that letters with several lower forms, such as ß and ss, are equal; null gives an empty string."""
+    return F.lower(F.upper(F.coalesce(c, F.lit(""))))
+
+
 def words_text(c: Column) -> Column:
     """Runs of letters and digits in lower case, joined by one space; null gives an empty string."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+    return F.trim(F.regexp_replace(fold(c), r"[^\p{L}\p{N}]+", " "))
 
 
 def letters(c: Column) -> Column:
     """Only letters and digits, in order, in lower case; null gives an empty string."""
-    return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+", "")
+    return F.regexp_replace(fold(c), r"[^\p{L}\p{N}]+", "")
 
 
 def json_fields(c: Column) -> Column:
