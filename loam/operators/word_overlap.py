@@ -21,10 +21,11 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loam.functions.words import letters, letters_by_field, words_of_values, words_text
+from loam.functions.words import letters_by_field, words_of_values, words_text
 from loam.operators.bloom import filter_bits, possible_repeats, repeated_filter, semi_join
 from loam.operators.components import components
 from loam.session import materialize
@@ -43,10 +44,10 @@ CACHE = 100_000
 
 def common_words(texts: DataFrame, column: str) -> dict[str, float]:
     """Weight of each frequent word, counted over all texts. ``column`` holds ``words_text``."""
-    words = texts.where(F.col(column) != "").select(F.explode(F.array_distinct(F.split(F.col(column), " "))).alias("w"))
+    words = texts.select(F.explode(F.array_distinct(F.split(F.col(column), " "))).alias("w"))
     counts = words.groupBy("w").agg(F.count("*").alias("n"))
-    least = LEAST + COMMON * texts.where(F.col(column) != "").count()
-    return {r.w: (least / r.n) ** 2 for r in counts.where(F.col("n") > F.lit(least)).toLocalIterator()}
+    least = LEAST + COMMON * texts.count()
+    return {r.w: (least / r.n) ** 2 for r in counts.where((F.col("n") > F.lit(least)) & (F.col("w") != "")).toLocalIterator()}
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -106,13 +107,17 @@ class Orders:
 
 
 def with_filters(texts: DataFrame, column: str, common: dict[str, float]) -> DataFrame:
-    """``texts`` with ``keys``, the filter hashes of ``column`` (as from ``words_text``), and ``n``, its words, in its place."""
+    """``texts`` with ``keys``, the filter hashes of ``column`` (as from ``words_text``), and ``n``, its words, in its place.
+
+    Rows without a word are left out here, as a filter before would evaluate the text's expression once more.
+    """
     shared = texts.sparkSession.sparkContext.broadcast(common)
     n = FILTERS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         orders = Orders(shared.value)
         for b in batches:
+            b = b.filter(pc.not_equal(b.column(column), ""))
             words = [s.split() for s in b.column(column).to_pylist()]
             rows = [orders.filters(w) for w in words]
             flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
@@ -121,7 +126,7 @@ def with_filters(texts: DataFrame, column: str, common: dict[str, float]) -> Dat
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep], keys, pa.array(map(len, words), pa.int32())], [*[b.schema.names[i] for i in keep], "keys", "n"])
 
     shape = ", ".join(f"`{c}` {t}" for c, t in texts.dtypes if c != column) + ", keys array<bigint>, n int"
-    return texts.where(F.col(column) != "").mapInArrow(run, shape)
+    return texts.mapInArrow(run, shape)
 
 
 def overlap(a: list[str], b: list[str]) -> float:
@@ -153,6 +158,10 @@ def verified(pairs: DataFrame, texts: DataFrame, limits: dict[str, float]) -> Da
     return pairs.join(a, "a").join(b, "b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def digest(c: Column) -> Column:
+    return F.unhex(F.md5(c))
+
+
 def _distinct(marked: DataFrame, *digests: str) -> tuple[DataFrame, DataFrame]:
     """``marked`` rows whose digests certainly occur once, and the others; only the latter need a shuffle."""
     rows = marked.withColumn("h", F.xxhash64(*digests))
@@ -191,12 +200,10 @@ def near_groups(rows: DataFrame, key: str, column: str, second: str, limits: tup
     between groups goes unseen.
     """
     source = rows.select(F.col(key).alias("id"), column, second)
-    digests = source.select(
-        "id", F.unhex(F.md5(letters(F.col(column)))).alias("d1"), F.unhex(F.md5(letters_by_field(F.col(second)))).alias("d2"),
-        words_text(F.col(column)).alias("w"), (letters_by_field(F.col(second)) != "").alias("full"),
-    ).where("id is not null and full and w <> ''").drop("full")
+    forms = source.where("id is not null").select("id", words_text(F.col(column)).alias("w"), letters_by_field(F.col(second)).alias("second"))
+    digests = forms.select("id", digest(F.replace("w", F.lit(" "), F.lit(""))).alias("d1"), digest(F.col("second")).alias("d2"), "w", (F.col("second") != "").alias("full"))
     common = common_words(source.select(words_text(F.col(column)).alias("w")), "w")
-    marked = materialize(with_filters(digests, "w", common), "marked")
+    marked = materialize(with_filters(digests, "w", common).where("full").drop("full"), "marked")
 
     single, repeated = _distinct(marked, "d1", "d2")
     ids = repeated.groupBy("d1", "d2", "id").agg(F.lit(1).alias("one"))
@@ -251,10 +258,10 @@ def cross_split_pairs(rows: DataFrame, key: str = "example_id", split: str = "sp
     """
     source = rows.select(F.col(key).alias("id"), F.col(split).alias("split"), F.col(column).alias("text"), F.col(second).alias("other"))
     source = source.where(F.col("id").isNotNull() & F.col("split").isin("train", "val", "test"))
-    canon = source.select("id", "split", F.unhex(F.md5(words_text(F.col("text")))).alias("d1"), F.unhex(F.md5(words_text(F.col("other")))).alias("d2"), words_text(F.col("text")).alias("w"), (words_text(F.col("other")) != "").alias("full"))
-    canon = canon.where("full and w <> ''").drop("full")
+    canon = source.select("id", "split", words_text(F.col("text")).alias("w"), words_text(F.col("other")).alias("o"))
+    canon = canon.select("id", "split", digest(F.col("w")).alias("d1"), digest(F.col("o")).alias("d2"), "w", (F.col("o") != "").alias("full"))
     common = common_words(source.select(words_text(F.col("text")).alias("w")), "w")
-    marked = materialize(with_filters(canon, "w", common), "marked")
+    marked = materialize(with_filters(canon, "w", common).where("full").drop("full"), "marked")
 
     train = F.col("split") == "train"
     single, repeated = _distinct(marked, "d1")

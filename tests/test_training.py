@@ -75,7 +75,11 @@ def test_near_groups_match_brute_force(spark, examples):
     assert got == want and len(want) > 20
 
 
-def test_near_groups_in_a_hot_bucket(spark, monkeypatch):
+@pytest.mark.parametrize("portion", [8192, 16])
+def test_near_groups_in_a_hot_bucket(spark, monkeypatch, portion):
+    if portion < 100:  # salted buckets
+        monkeypatch.setattr(word_overlap, "PORTION", portion)
+        monkeypatch.setattr(word_overlap, "PROBE", 1)
     r = random.Random(5)
     base = [f"q{i}" for i in range(80)]
     rows = []
