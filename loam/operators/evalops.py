@@ -29,7 +29,8 @@ def last_loss(history: DataFrame, by: str = "run_id", order: str = "step") -> Da
 
 
 def latency(results: DataFrame, *by: str) -> DataFrame:
-    return results.groupBy(*by).agg(F.count("*").alias("answers"), F.bround(F.avg("duree"), 6).alias("mean_duree"), F.min("duree").alias("min_duree"), F.max("duree").alias("max_duree"))
+    """Per group: answers, and the mean (to two decimals, half to even), least and largest seconds."""
+    return results.groupBy(*by).agg(F.count("*").alias("answers"), F.bround(F.avg("duree"), 2).alias("mean_duree"), F.min("duree").alias("min_duree"), F.max("duree").alias("max_duree"))
 
 
 def crossed(models: DataFrame, prompts: DataFrame) -> DataFrame:

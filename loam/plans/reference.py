@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from loam.functions import layout
 from loam.functions import text as T
 from loam.operators import chunking, elements, evalops, generator, sft, taxonomy
+from loam.plans import sql as S
 from loam.session import table
 
-#: White space as a regular expression class for RE2, the same set as the Spark side uses.
-WS = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+WS = S.WS
 QUERIES, SQL = {}, {}
 
 
@@ -26,18 +26,6 @@ def query(sql: str | None = None):
     return add
 
 
-def _strip(c: str) -> str:
-    return f"regexp_replace(regexp_replace({c}, '^{WS}+', ''), '{WS}+$', '')"
-
-
-def _tokens(c: str) -> str:
-    return f"(case when coalesce(regexp_full_match({c}, '{WS}*'), true) then 0 else ceil(length({c}) / 4.0) end)::int"
-
-
-def _clean(c: str) -> str:
-    return rf"regexp_replace({_strip(c)}, '\n{{3,}}', chr(10) || chr(10), 'g')"
-
-
 _PRODUCT = "select * from " + " cross join ".join(f"unnest([{', '.join(repr(v) for v in vs)}]) u{i}({a})" for i, (a, vs) in enumerate(taxonomy.AXES.items()))
 _AXES = ", ".join(taxonomy.AXES)
 #: One row an example: rows that repeat an id have equal content.
@@ -119,12 +107,12 @@ def judge_score_rule(spark, d):
     return a.select("a", "b", sft.decision_by_scores(F.col("a"), F.col("b")).alias("decision"))
 
 
-@query(f"select doc_id, {_clean('text')} as text from documents")
+@query(f"select doc_id, {S.clean('text')} as text from documents")
 def clean_text(spark, d):
     return table(spark, d, "documents").select("doc_id", T.clean_text(F.col("text")).alias("text"))
 
 
-_DEDUP = f"""select example_id, row_number() over (partition by sha256({_clean("coalesce(instruction, '')")} || '|' || {_clean("coalesce(response, '')")} || '|' || {_clean("coalesce(context, '')")}) order by example_id) r from {_SFT}"""
+_DEDUP = f"""select example_id, row_number() over (partition by sha256({S.clean("coalesce(instruction, '')")} || '|' || {S.clean("coalesce(response, '')")} || '|' || {S.clean("coalesce(context, '')")}) order by example_id) r from {_SFT}"""
 
 
 @query(f"select example_id from ({_DEDUP}) where r = 1")
@@ -166,7 +154,7 @@ def sft_format(spark, d):
     return sft.formatted(_examples(spark, d)).select("example_id", "prompt", "completion")
 
 
-_LENGTHS = f"""select {_tokens("context || chr(10) || chr(10) || instruction")} p, {_tokens("response")} r from {_SFT}"""
+_LENGTHS = f"""select {S.tokens("context || chr(10) || chr(10) || instruction")} p, {S.tokens("response")} r from {_SFT}"""
 
 
 @query(f"""select avg(p + r) mean_tokens, avg(p) mean_tokens_prompt, avg(r) mean_tokens_response, max(p + r) max_nb_tokens, max(p) max_nb_tokens_prompt, max(r) max_nb_tokens_response from ({_LENGTHS})""")
@@ -185,7 +173,7 @@ def dry_run_head(spark, d):
 
 
 #: Inputs that exercise each step, and what each type must make of them.
-_SAMPLE = "  Infor-\nmatique  et\tréseau \n suite\r\n\r\n\r\n\r\nfin:  a=b\n- point  un \n"
+_SAMPLE = "  Infor-\nmatique  et\tréseau \n sui\xad\nte\r\n\r\n\r\n\r\nfin:  a=b\n- point  un \n"
 _GOLDEN = {
     "title": "Informatique et réseau suite\n\n\n\nfin: a=b - point un",
     "section_header": "Informatique et réseau suite\n\n\n\nfin: a=b - point un",
@@ -214,44 +202,23 @@ for _kind, _text in _GOLDEN.items():
     QUERIES[f"layout_{_kind}"] = partial(_layout, _kind)
     SQL[f"layout_{_kind}"] = f"select '{_kind}' kind, {_literal(_text)} as text"
 
-def _replaced(pattern: str, to: str):
-    return lambda c: f"regexp_replace({c}, '{pattern}', {to}, 'g')"
-
-
-def _in_order(*steps):
-    def run(c):
-        for step in steps:
-            c = step(c)
-        return c
-    return run
-
-
-#: The steps of ``layout.repair`` in SQL, except the one for paragraph lines, whose look-ahead RE2 cannot state.
-_STEP_SQL = {
-    T.collapse_spaces: _replaced(r"[ \t\f\v]+", "' '"),
-    T.strip_around_newlines: _in_order(_replaced(r"[ \t]+\n", "chr(10)"), _replaced(r"\n[ \t]+", "chr(10)")),
-    T.join_hyphenated: _replaced(f"([{T.LOWER}]{{3,}})-\\n([{T.LOWER}]{{2,}})", r"'\1\2'"),
-    T.join_title_lines: _in_order(*[_replaced(r"(^|[^\n])\n([^\n]|$)", r"'\1 \2'")] * 2),
-    T.collapse_blank_lines: _replaced(r"\n{3,}", "chr(10) || chr(10)"),
-    T.squeeze_blanks: _replaced(" {2,}", "' '"),
-    layout.strip_line_ends: _replaced(r"[ \t]+(\n|$)", r"'\1'"),
-    layout._colon: _replaced(f"{WS}*:{WS}*", "': '"),
-    layout._equal: _replaced(f"{WS}*={WS}*", "' = '"),
-}
-
-
 def _layout_documents(kind, spark, d):
     return table(spark, d, "documents").select("doc_id", layout.repair(F.col("text"), kind).alias("text"))
 
 
-for _kind, _steps in layout.STEPS.items():
+for _kind in layout.STEPS:
     QUERIES[f"layout_{_kind}_documents"] = partial(_layout_documents, _kind)
-    if all(step in _STEP_SQL for step in _steps):
-        _ends = "replace(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(173) || chr(10), '')"
-        SQL[f"layout_{_kind}_documents"] = f"select doc_id, {_strip(_in_order(*(_STEP_SQL[step] for step in _steps))(_ends))} as text from documents"
+    SQL[f"layout_{_kind}_documents"] = f"select doc_id, {S.repair('text', _kind)} as text from documents"
+
 
+@query(f"select doc_id, case doc_id % {len(layout.STEPS)} {' '.join(f'when {i} then {S.repair(chr(116) + chr(101) + chr(120) + chr(116), k)}' for i, k in enumerate(layout.STEPS))} end as text from documents")
+def layout_dispatch_documents(spark, d):
+    """All kinds in one pass: each document is taken for an element of a kind that its id names."""
+    kind = F.element_at(F.array(*map(F.lit, layout.STEPS)), (F.col("doc_id") % len(layout.STEPS) + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", layout.repair_by_type(F.col("text"), kind).alias("text"))
 
-@query()
+
+@query(f"select doc_id, {S.unicode_normalized('text')} as text from documents")
 def unicode_normalize_documents(spark, d):
     return table(spark, d, "documents").select("doc_id", T.normalize_unicode(F.col("text")).alias("text"))
 
@@ -269,27 +236,23 @@ def element_types(spark, d):
     return spark.createDataFrame([(k,) for k in [*elements.TYPES, "Other"]], "cls string").select("cls", elements.element_type(F.col("cls")).alias("element_type"))
 
 
-def _sentences(c: str) -> str:
-    return rf"list_filter(list_transform(string_split(regexp_replace({c}, '([.!?]){WS}+', '\1' || chr(1), 'g'), chr(1)), lambda x: {_strip('x')}), lambda x: x <> '')"
-
-
-@query(f"select doc_id, len(s) sentences, array_to_string(s, '|') joined from (select doc_id, {_sentences('text')} s from documents where text is not null)")
+@query(f"select doc_id, len(s) sentences, array_to_string(s, '|') joined from (select doc_id, {S.sentences('text')} s from documents where text is not null)")
 def sentence_split(spark, d):
     s = T.sentences(F.col("text"))
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(s).alias("sentences"), F.array_join(s, "|").alias("joined"))
 
 
-@query(f"select doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: {_strip('x')}), lambda x: x <> ''), '|') joined from documents where text is not null")
+@query(f"select doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: {S.strip('x')}), lambda x: x <> ''), '|') joined from documents where text is not null")
 def paragraph_split(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.array_join(T.paragraphs(F.col("text")), "|").alias("joined"))
 
 
-@query(f"select doc_id, array_to_string(list_filter(list_transform(range(0, greatest(1, ceil(length(text) / 500.0)::int)), lambda i: {_strip('substring(text, (i * 500 + 1)::int, 500)')}), lambda x: x <> ''), '|') joined from documents where text is not null")
+@query(f"select doc_id, array_to_string(list_filter(list_transform(range(0, greatest(1, ceil(length(text) / 500.0)::int)), lambda i: {S.strip('substring(text, (i * 500 + 1)::int, 500)')}), lambda x: x <> ''), '|') joined from documents where text is not null")
 def hard_split(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.array_join(T.hard_split(F.col("text"), 500), "|").alias("joined"))
 
 
-@query(f"select doc_id, {_tokens('text')} tokens from documents")
+@query(f"select doc_id, {S.tokens('text')} tokens from documents")
 def token_estimate(spark, d):
     return table(spark, d, "documents").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
 
@@ -298,34 +261,70 @@ def _normalized(spark, d):
     return elements.normalized(elements.blocks(table(spark, d, "documents").where("doc_id is not null"), "doc_id", "text"))
 
 
-@query()
+@query(S.ELEMENTS)
 def elements_normalized(spark, d):
-    return _normalized(spark, d).select("doc_id", "pos", "element_id", "element_type", "normalized_text", "reject_reason")
+    return _normalized(spark, d).select("doc_id", "pos", "element_id", "element_type", "level", "page_no", "normalized_text", "reject_reason")
 
 
-@query()
+@query(f"""select doc_id, sha256(string_agg(normalized_text, chr(10) || chr(10) order by pos)) content_hash, count(*) element_count from ({S.ELEMENTS}) where reject_reason is null group by 1""")
 def doc_content_hash(spark, d):
     return elements.document_heads(_normalized(spark, d))
 
 
 def _limits(spark, d):
-    c = table(spark, d, "chunk_config").first()
+    rows = table(spark, d, "chunk_config").limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError("chunk_config must have exactly one row")
+    c = rows[0]
     return chunking.Limits(c.parent_target_tokens, c.parent_max_tokens, c.parent_min_tokens, c.child_target_tokens, c.child_max_tokens, c.child_min_tokens, c.overlap_tokens)
 
 
-@query()
+def _flat(rows, *lists):
+    """Lists as texts, parted by a bar."""
+    return rows.withColumns({c: F.array_join(c, "|") for c in lists})
+
+
+_FLAT = "parent_id, doc_id, pos, split_index, split_count, page_no, array_to_string(element_ids, '|') element_ids, array_to_string(element_types, '|') element_types, parent_type, array_to_string(title_context, '|') title_context, text"
+
+
+@query(S.parents(S.ELEMENTS) + f" select {_FLAT} from parents")
 def parents(spark, d):
-    return chunking.parents(_normalized(spark, d), _limits(spark, d))
+    return _flat(chunking.parents(_normalized(spark, d), _limits(spark, d)), "element_ids", "element_types", "title_context")
 
 
-@query()
+@query(S.parents(S.ELEMENTS) + " select parent_id, array_to_string(title_context, ' > ') path from parents")
 def title_context(spark, d):
     return chunking.parents(_normalized(spark, d), _limits(spark, d)).select("parent_id", F.array_join("title_context", " > ").alias("path"))
 
 
-@query()
+#: The parts of parent_chunk once more as elements, in the order of their ids: a heading before each part with a title, narrative parts as paragraphs.
+_AGAIN = """
+  select doc_id, row_number() over (partition by doc_id order by parent_id, sub)::int - 1 pos, parent_id || '/' || sub element_id, element_type, level, page_no, body normalized_text, null::varchar reject_reason
+  from (select *, 0 sub, 'section_header' element_type, len(title_context)::int level, title_context[-1] body from (select distinct on (parent_id) * from parent_chunk) where len(title_context) > 0
+    union all select *, 1, case parent_type when 'narrative_section' then 'paragraph' else parent_type end, 1, text from (select distinct on (parent_id) * from parent_chunk))"""
+
+
+def _again(spark, d):
+    rows = table(spark, d, "parent_chunk").dropDuplicates(["parent_id"])
+    kind = F.when(F.col("parent_type") == "narrative_section", "paragraph").otherwise(F.col("parent_type"))
+    head = F.struct(F.lit(0).alias("sub"), F.lit("section_header").alias("element_type"), F.size("title_context").alias("level"), F.element_at("title_context", -1).alias("body"))
+    own = F.struct(F.lit(1).alias("sub"), kind.alias("element_type"), F.lit(1).alias("level"), F.col("text").alias("body"))
+    rows = rows.select("doc_id", "parent_id", "page_no", F.explode(F.when(F.size("title_context") > 0, F.array(head, own)).otherwise(F.array(own))).alias("e"))
+    pos = F.expr("row_number() over (partition by doc_id order by parent_id, e.sub) - 1")
+    return rows.select("doc_id", pos.alias("pos"), F.concat("parent_id", F.lit("/"), "e.sub").alias("element_id"), "e.element_type", "e.level", "page_no", F.col("e.body").alias("normalized_text"), F.lit(None).cast("string").alias("reject_reason"))
+
+
+@query(S.parents(_AGAIN) + f" select {_FLAT} from parents")
+def parents_rebuilt(spark, d):
+    return _flat(chunking.parents(_again(spark, d), _limits(spark, d)), "element_ids", "element_types", "title_context")
+
+
+_CHILD = "child_id, parent_id, doc_id, page_no, array_to_string(element_ids, '|') element_ids, parent_type, child_origin, child_index, child_count, text"
+
+
+@query(S.parents(S.ELEMENTS) + f" select {_CHILD} from ({S.children('select parent_id, doc_id, parent_type, page_no, element_ids, text from parents')})")
 def children(spark, d):
-    return chunking.children(chunking.parents(_normalized(spark, d), _limits(spark, d)), _limits(spark, d))
+    return _flat(chunking.children(chunking.parents(_normalized(spark, d), _limits(spark, d)), _limits(spark, d)), "element_ids")
 
 
 def _rechunk(kind, spark, d):
@@ -335,15 +334,16 @@ def _rechunk(kind, spark, d):
 
 for _kind in ("narrative_section", "table", "code", "form", "formula"):
     QUERIES[f"children_{_kind}"] = partial(_rechunk, _kind)
-SQL["children_formula"] = f"""select sha256(parent_id || '|0|' || substring(text, 1, 200)) child_id, parent_id, 'single_child_from_parent' child_origin, 0 child_index, 1 child_count, {_strip('text')} as text
-  from (select distinct on (parent_id) parent_id, text from parent_chunk where parent_type = 'formula') where not regexp_full_match(text, '{WS}*')"""
+    _rows = f"select distinct on (parent_id) parent_id, doc_id, parent_type, page_no, element_ids, text from parent_chunk where parent_type = '{_kind}'"
+    SQL[f"children_{_kind}"] = f"select child_id, parent_id, child_origin, child_index, child_count, text from ({S.children(_rows)})"
 
 
 @query(f"""with p as (select distinct on (parent_id) parent_id, parent_type, text from parent_chunk)
-  select parent_type, count(*) parents, sum(({_tokens('text')} > 200)::int)::bigint oversized from p group by 1""")
+  select parent_type, count(*) parents, sum(({S.tokens('text')} > parent_max_tokens)::int)::bigint oversized, sum(({S.tokens('text')} <= child_max_tokens)::int)::bigint fit_one_child from p cross join chunk_config group by 1""")
 def chunk_sizes(spark, d):
+    limits, size = _limits(spark, d), T.estimate_tokens(F.col("text"))
     rows = table(spark, d, "parent_chunk").dropDuplicates(["parent_id"])
-    return rows.groupBy("parent_type").agg(F.count("*").alias("parents"), F.count_if(T.estimate_tokens(F.col("text")) > 200).alias("oversized"))
+    return rows.groupBy("parent_type").agg(F.count("*").alias("parents"), F.count_if(size > limits.parent_max).alias("oversized"), F.count_if(size <= limits.child_max).alias("fit_one_child"))
 
 
 @query(f"""with w as (select doc_id, list_filter(regexp_split_to_array(text, '{WS}+'), lambda x: x <> '') w from documents where text is not null)
@@ -364,16 +364,24 @@ def eval_last_loss(spark, d):
     return evalops.last_loss(spark.createDataFrame([("a", 1, 0.9), ("a", 2, 0.5), ("a", 3, None), ("b", 1, None)], "run_id string, step int, loss double"))
 
 
-@query("""select modele, t.categorie categorie, count(*) answers, min(t.duree) min_duree, max(t.duree) max_duree from (select modele, unnest(baseline_test) t from (select distinct on (run_id) * from eval_lora)) group by all""")
+@query("select modele, arg_max(train_last_loss, {'a': run_at, 'b': run_id}) filter (where train_last_loss is not null) last_loss from eval_lora group by 1")
+def eval_model_last_loss(spark, d):
+    """The last logged loss of each producer over its runs in time; a redelivered run has the same loss."""
+    history = table(spark, d, "eval_lora").select("modele", F.struct("run_at", "run_id").alias("step"), F.col("train_last_loss").alias("loss"))
+    return evalops.last_loss(history, "modele")
+
+
+_LATENCY = "count(*) answers, round_even(avg(duree), 2) mean_duree, min(duree) min_duree, max(duree) max_duree"
+
+
+@query(f"""select modele, categorie, {_LATENCY} from (select modele, unnest(baseline_test, recursive := true) from (select distinct on (run_id) * from eval_lora)) group by all""")
 def eval_answers(spark, d):
-    rows = evalops.run_answers(table(spark, d, "eval_lora"))
-    return evalops.latency(rows, "modele", "categorie").select("modele", "categorie", "answers", "min_duree", "max_duree")
+    return evalops.latency(evalops.run_answers(table(spark, d, "eval_lora")), "modele", "categorie")
 
 
-@query("select categorie, count(*) answers, min(duree) min_duree, max(duree) max_duree from (select distinct on (result_id) * from baseline_result) group by 1")
+@query(f"select categorie, {_LATENCY} from (select distinct on (result_id) * from baseline_result) group by 1")
 def baseline_latency(spark, d):
-    rows = evalops.answers(table(spark, d, "baseline_result").dropDuplicates(["result_id"]))
-    return evalops.latency(rows, "categorie").select("categorie", "answers", "min_duree", "max_duree")
+    return evalops.latency(evalops.answers(table(spark, d, "baseline_result").dropDuplicates(["result_id"])), "categorie")
 
 
 @query("select m.modele, p.id from (select distinct modele from baseline_result) m cross join (select distinct id from baseline_result) p")
