@@ -72,6 +72,10 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates(abuse.scores(table(spark, d, "documents"), table(spark, d, "doc_labels")))
 
 
+def p10_quality(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.quality(table(spark, d, "documents"), table(spark, d, "doc_labels"))
+
+
 P9_SQL = """
 with t as (select source, sum(case when trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' then 0 else ceil(length(text) / 4.0) end) n
   from documents where source is not null and text is not null group by 1)
@@ -79,5 +83,5 @@ select m.mix_name, m.source from mix_targets m left join t using (source)
 where m.max_repeats * coalesce(t.n, 0) < (select sum(n) from t) * m.budget_pct / 100 * m.target_pct / 100
 """
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_rates, p6_found, p6_rates, p8_found, p8_report, p9_found, p9_report, p9_mix, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_rates, p6_found, p6_rates, p8_found, p8_report, p9_found, p9_report, p9_mix, p10_found, p10_scores, p10_rates, p10_quality)}
 SQL = {"p9_found": P9_SQL}

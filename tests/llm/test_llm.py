@@ -120,7 +120,7 @@ def test_no_part_of_a_text_is_lost_to_scoring():
 def test_scores_match_the_forward_pass():
     net, encode, r = abuse.Network(), abuse.Encoder(), random.Random(3)
     docs = [encode(" ".join(passage(r, 40)) + "\n| x | y |") for _ in range(20)]
-    assert net.score(docs) == pytest.approx(1 / (1 + np.exp(-net.forward(abuse._padded(docs)[0])[-1])), abs=1e-6)
+    assert net.score(docs) == pytest.approx(1 / (1 + np.exp(-net.forward(abuse._padded(list(map(abuse._ids, docs))))[-1])), abs=1e-6)
 
 
 def test_abuse_on_held_out_sentences(spark):
