@@ -1,26 +1,30 @@
-"""Partition-merged Bloom filters of hashes seen once and repeatedly."""
+"""Partition-merged Bloom filters of hashes seen once and repeatedly, one for each range of hashes."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from loam.session import fresh_path, materialize
+
 #: A filter's bits are kept in pieces of 2**16, so that a bit within its piece fits two bytes.
 PIECE_BITS = 16
-#: Largest filter in bits (64 MB). It bounds what is broadcast; with more hashes than it discriminates, more rows count as possible repeats.
-MAX_BITS = 29
 BITS_PER_HASH, PROBES = 16, 3
+#: Hashes that one filter discriminates; it then has 2**28 bits (32 MB), which bounds what is broadcast. More hashes are parted into ranges with a filter each.
+CAPACITY = 1 << 24
 
 
 def filter_bits(n: int) -> int:
     """Exponent of the filter's size for ``n`` hashes."""
-    return int(min(MAX_BITS, max(PIECE_BITS, np.ceil(np.log2(max(1, n) * BITS_PER_HASH)))))
+    return int(max(PIECE_BITS, np.ceil(np.log2(max(1, n) * BITS_PER_HASH))))
 
 
 def probes(h: np.ndarray, bits: int) -> np.ndarray:
@@ -52,20 +56,16 @@ def _unpack(data: bytes) -> np.ndarray:
 def repeated_filter(hashes: DataFrame, bits: int, fan_in: int = 32, least: int = 2) -> bytes:
     """Bitmap of a Bloom filter that holds every hash occurring at least ``least`` (1 or 2) times in column ``h``.
 
-    Each partition keeps the bits seen once and those of hashes seen again. Two partitions merge by "again = again of
-    either, or once in both", which keeps every hash that two partitions have. Pieces merge in two rounds; what
-    comes back is at most 2**MAX_BITS bits, whatever the number of rows.
+    Each partition keeps the bits of its hashes, and those of hashes it has twice; a task holds no more than its own
+    hashes and their bits. Two partitions merge by "again = again of either, or once in both", which keeps every hash
+    that two partitions have. Pieces merge in two rounds; what comes back is 2**bits bits, whatever the number of rows.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, again = np.zeros(1 << bits, bool), np.zeros(1 << bits, bool)
-        for b in batches:
-            h, n = np.unique(b.column(0).to_numpy(zero_copy_only=False), return_counts=True)
-            at = probes(h, bits)
-            again[at[(n > 1) | once[at].all(axis=1)]] = True
-            once[at] = True
+        held = [b.column(0).to_numpy(zero_copy_only=False) for b in batches]
+        h, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.int64), np.empty(0, np.int64))
         low = (1 << PIECE_BITS) - 1
-        o, a = np.flatnonzero(once), np.flatnonzero(again)
+        o, a = np.unique(probes(h, bits)), np.unique(probes(h[n > 1], bits))
         pieces = np.unique(o >> PIECE_BITS)
         cut = lambda x: [_pack(x[i:j] & low) for i, j in zip(np.searchsorted(x, pieces << PIECE_BITS), np.searchsorted(x, (pieces + 1) << PIECE_BITS))]
         yield pa.RecordBatch.from_arrays([pa.array(pieces.astype(np.int32)), pa.array(cut(o), pa.binary()), pa.array(cut(a), pa.binary())], ["piece", "once", "again"])
@@ -94,17 +94,21 @@ def _held(h: np.ndarray, bits: int, bitmap: bytes) -> np.ndarray:
 
 
 def semi_join(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose ``id`` is in ``ids`` (one column, id). A Bloom filter goes first, so that few other rows are shuffled."""
+    """Rows whose ``id`` is in ``ids`` (one column, id).
+
+    A Bloom filter goes first, so that few other rows are shuffled; with more ids than one filter holds, all rows are.
+    """
     hashes = ids.select(F.xxhash64("id").alias("h"))
-    bits = filter_bits(hashes.count())
+    n = hashes.count()
+    if n > CAPACITY:
+        return rows.join(ids, "id", "left_semi")
+    bits = filter_bits(n)
     shared = rows.sparkSession.sparkContext.broadcast(repeated_filter(hashes, bits, least=1))
     held = F.pandas_udf(lambda h: pd.Series(_held(h.to_numpy(), bits, shared.value)), BooleanType())
     return rows.where(held(F.xxhash64("id"))).join(ids, "id", "left_semi")
 
 
-def possible_repeats(rows: DataFrame, bits: int, bitmap: bytes) -> DataFrame:
-    """``rows`` with a column ``repeat``: false only where ``h`` certainly occurs once."""
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+def _tested(rows: DataFrame, bits: int, shared: Broadcast) -> DataFrame:
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -112,3 +116,27 @@ def possible_repeats(rows: DataFrame, bits: int, bitmap: bytes) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hit)], [*b.schema.names, "repeat"])
 
     return rows.mapInArrow(test, ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", repeat boolean")
+
+
+def possible_repeats(rows: DataFrame) -> DataFrame:
+    """``rows`` (a written table with a column ``h``) with a column ``repeat``: false only where ``h`` certainly occurs once.
+
+    Up to ``CAPACITY`` rows share one filter. More are written once more, parted into ranges of hashes of about that
+    size, and tested range by range, so that filter, broadcast and driver hold one range at a time, however many rows there are.
+    """
+    sc, n = rows.sparkSession.sparkContext, rows.count()
+    ranges = math.ceil(n / CAPACITY)
+    if ranges <= 1:
+        bits = filter_bits(n)
+        return _tested(rows, bits, sc.broadcast(repeated_filter(rows, bits)))
+    bits = filter_bits(math.ceil(n / ranges))
+    path = fresh_path(rows.sparkSession, "ranges")
+    rows.withColumn("_range", F.pmod(F.hash("h"), F.lit(ranges))).write.partitionBy("_range").parquet(path)
+    out = None
+    for r in range(ranges):
+        part = rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/_range={r}")
+        shared = sc.broadcast(repeated_filter(part, bits))
+        done = materialize(_tested(part, bits, shared), "tested")
+        shared.destroy()
+        out = done if out is None else out.unionByName(done)
+    return out

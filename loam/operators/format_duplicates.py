@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.functions.words import letters, letters_by_field
-from loam.operators.bloom import filter_bits, possible_repeats, repeated_filter
+from loam.operators.bloom import possible_repeats
 from loam.session import materialize
 
 
@@ -25,8 +25,7 @@ def collapse(rows: DataFrame, key: str = "example_id", plain: tuple[str, ...] =
     Extra columns are ignored; an empty table gives empty results.
     """
     keys = materialize(canonical_keys(rows, key, plain, by_field), "keys")
-    bits = filter_bits(keys.count())
-    flagged = possible_repeats(keys, bits, repeated_filter(keys, bits))
+    flagged = possible_repeats(keys)
     members = materialize(flagged.where("repeat").groupBy("digest", "id").agg(F.lit(1).alias("one")), "members")
     groups = members.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
     singles = flagged.where("not repeat").select("id", F.lit(1).cast("bigint").alias("copies"))

@@ -50,8 +50,10 @@ def repair(available: np.ndarray, share: np.ndarray, floor: np.ndarray, size: in
     rng = np.random.default_rng(seed)
     take = floor.copy()
     rest = size - int(take.sum())
-    if rest > 0:
-        take = take + rng.multivariate_hypergeometric(available - take, rest, method="marginals")
+    while rest > 0:  # shares of what is left, of any size, as a hypergeometric draw is bounded to 1e9 rows
+        left = available - take
+        more = np.minimum(rng.multinomial(rest, left / left.sum()), left)
+        take, rest = take + more, rest - int(more.sum())
     want = share * size
     while True:
         over, under = take - want, want - take
@@ -72,8 +74,8 @@ def repair(available: np.ndarray, share: np.ndarray, floor: np.ndarray, size: in
 def target_report(rows: DataFrame, targets: DataFrame, seed: int = 17) -> DataFrame:
     """One row a target: what is available and required, and what the repaired sample allots.
 
-    ``rows`` as from ``categorised``. Required is greatest(min_rows, ceil(size * target_pct / 100)); a target is met
-    where that many rows are available. A source without rows has size 0. Duplicate targets count once; a null
+    ``rows`` as from ``categorised``. Required is greatest(min_rows, ceil(size * target_pct / 100)), which the repair
+    takes as its floor; a target is met where the sample reaches it. The sample exceeds the size by what the floors round up. A source without rows has size 0. Duplicate targets count once; a null
     target_pct, sample_pct or min_rows counts as 0. Empty tables give an empty report.
     """
     have = rows.groupBy("source", "category").agg(F.count("*").alias("available"))
@@ -92,11 +94,11 @@ def target_report(rows: DataFrame, targets: DataFrame, seed: int = 17) -> DataFr
         required = np.maximum(pdf["min_rows"].to_numpy(np.int64), -((-size * target) // 100))
         share = target / max(1, target.sum())
         group = f"{pdf['target_set'].iloc[0]}/{pdf['source'].iloc[0]}"
-        take = repair(available, share, pdf["min_rows"].to_numpy(np.int64), size, seed + zlib.crc32(group.encode()))
+        take = repair(available, share, required, size, seed + zlib.crc32(group.encode()))
         return pd.DataFrame({
             "target_set": pdf["target_set"], "source": pdf["source"], "challenge_type": pdf["challenge_type"],
             "rows": pdf["rows"], "size": size, "available": available, "required": required, "allotted": take,
-            "target_share": target / 100, "share": take / max(1, int(take.sum())), "met": available >= required,
+            "target_share": target / 100, "share": take / max(1, int(take.sum())), "met": take >= required,
         })
 
     return joined.groupBy("target_set", "source").applyInPandas(allot, REPORT)

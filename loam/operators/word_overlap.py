@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loam.functions.words import letters_by_field, words_of_values, words_text
-from loam.operators.bloom import filter_bits, possible_repeats, repeated_filter, semi_join
+from loam.operators.bloom import possible_repeats, semi_join
 from loam.operators.components import components
 from loam.session import materialize
 
@@ -164,10 +164,8 @@ def digest(c: Column) -> Column:
 
 def _distinct(marked: DataFrame, *digests: str) -> tuple[DataFrame, DataFrame]:
     """``marked`` rows whose digests certainly occur once, and the others; only the latter need a shuffle."""
-    rows = marked.withColumn("h", F.xxhash64(*digests))
-    bits = filter_bits(rows.count())
-    once = possible_repeats(rows, bits, repeated_filter(rows, bits)).drop("h")
-    return once.where("not repeat").drop("repeat"), once.where("repeat").drop("repeat")
+    tested = possible_repeats(marked.withColumn("h", F.xxhash64(*digests))).drop("h")
+    return tested.where("not repeat").drop("repeat"), tested.where("repeat").drop("repeat")
 
 
 def salted(entries: DataFrame) -> DataFrame:

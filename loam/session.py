@@ -19,12 +19,20 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + os.path.join(tempfile.gettempdir(), "loam-shared")
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, which is deleted when the driver ends in order."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/loam-{uuid.uuid4().hex}")
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(root)
+    files.deleteOnExit(root)
+    return f"{root.toString()}/{name}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loam-{uuid.uuid4().hex}/{name}"
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loam.operators import boundary_split, components, format_duplicates, proportional_sample, ranking, word_overlap
+from loam.operators import bloom, boundary_split, components, format_duplicates, proportional_sample, ranking, word_overlap
 
 SCHEMA = "example_id bigint, instruction string, context string, response string, plan_id string, challenge_type string, split_name string, source string, keys string, h string"
 
@@ -120,6 +120,14 @@ def test_format_duplicates(spark):
     assert {r.id: r.copies for r in counts.collect()} == {1: 2, 3: 2, 4: 2, 7: 1, 9: 1, 10: 2}
 
 
+def test_format_duplicates_over_several_ranges_of_hashes(spark, monkeypatch):
+    monkeypatch.setattr(bloom, "CAPACITY", 100)
+    rows = [row(i, f"text {i % 270}", "a", "b") for i in range(1, 361)]
+    counts, members = format_duplicates.collapse(spark.createDataFrame(rows, SCHEMA))
+    assert pairs(members) == [(i, i + 270) for i in range(1, 91)]
+    assert counts.count() == 270 and counts.where("copies = 2").count() == 90
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101), (7, 7)], "a bigint, b bigint")
     assert {(r.id, r.root) for r in components.components(links).collect()} == {(i, 1) for i in range(1, 61)} | {(100, 100), (101, 100)}
@@ -130,6 +138,8 @@ def test_repair_meets_floors_and_lowers_the_deviation():
     take = proportional_sample.repair(available, share, floor, 100, 1)
     assert take.sum() == 100 and (take <= available).all() and (take >= np.minimum(floor, available)).all()
     assert take[2] == 5 and take[3] == 0 and np.abs(take - 25).sum() == 90  # the least deviation there is
+    huge = proportional_sample.repair(np.array([2_000_000_000, 3_000_000_000]), np.array([0.5, 0.5]), np.array([1, 1]), 2_500_000_000, 1)
+    assert huge.tolist() == [1_250_000_000] * 2
     assert proportional_sample.repair(np.zeros(2, int), share[:2], floor[:2], 10, 1).sum() == 0
 
 
@@ -142,7 +152,7 @@ def test_target_report_and_draw(spark):
     assert [report["s", c].available for c in ("mixed_code_text", "b", "c")] == [100, 100, 1]
     assert not report["s", "c"].met and report["s", "c"].required == 4 and not report["none", "b"].met and report["s", "b"].met
     got = Counter(r.category for r in proportional_sample.draw(categorised, proportional_sample.target_report(categorised, targets)).collect())
-    assert got == {c: report["s", c].allotted for c in ("mixed_code_text", "b", "c")} and sum(got.values()) == 20
+    assert got == {c: report["s", c].allotted for c in ("mixed_code_text", "b", "c")} and sum(got.values()) == 20 and not report["s", "c"].met
 
 
 LONG = "\n\n".join(". ".join(f"Sentence {i} {j} says something of its own" for j in range(6)) + "." for i in range(40))
