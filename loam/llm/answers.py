@@ -1,7 +1,9 @@
 """Broken answers: empty, refused, copied, cut off or in the wrong language.
 
-A multi-label linear classifier over hashed word n-grams and features of the pair decides. It is trained on answers of
-the tables at hand and on synthetic defects made from them, and its thresholds are calibrated on held-out ones.
+A multi-label linear classifier decides. It sees hashed word n-grams of the answer, hashed shapes of its last signs, and
+features of the pair: what answer, instruction and source share, which of the source's names and numbers return, how well the answer's words fit the
+language asked for. What refusals, ends and languages look like is learned, from answers of the tables at hand and synthetic defects
+made from them; thresholds are calibrated on held-out ones.
 """
 
 from __future__ import annotations
@@ -19,60 +21,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LABELS = ("empty", "refusal", "copy", "truncated", "wrong_language")
-#: Answers that training takes, drawn by their hashes, and buckets of the n-grams.
-MAX_TRAIN, BUCKETS, SEED = 1_200, 1 << 15, 11
+#: Answers that training takes, drawn by their hashes; buckets of the n-grams and of the shapes of ends.
+MAX_TRAIN, BUCKETS, SHAPES, SEED = 2_400, 1 << 15, 1 << 13, 11
 
 #: Words for nothing.
 NOTHING = frozenset(
     "na n/a nan nil none null nul nulle undefined empty vide aucun aucune rien néant nothing ninguno ninguna nada vacío keine keiner leer nichts s/o so todo tbd -".split()
 )
-#: Frequent words that tell the four languages apart.
-STOP = {
-    "fr": frozenset("le les du une est sur pour dans avec qui au aux et pas par sont ce cette sans ne ou depuis lorsque quand vous avant après selon contre sous plus l d qu".split()),
-    "en": frozenset("the of and to is with for that this are on by when if then from not no after before at be as it since must following against under longer".split()),
-    "es": frozenset("el los las del una es para con por sin cuando desde según y al este esta lo su antes después más entre tras".split()),
-    "de": frozenset("der die das den dem und ist mit für auf von nicht wenn dann seit ein eine einer im zum zur nach vor gegen ohne bei wird sich".split()),
-}
 #: Names of the languages, as an instruction gives them.
 NAMES = {"fr": r"fran[çc]ais(?:e|es)?|french", "en": r"anglais(?:e|es)?|english", "es": r"espagnole?s?|spanish|español", "de": r"allemande?s?|german|deutsch"}
 _ANY = "|".join(NAMES.values())
 ASKED = re.compile(rf"(?:\b(?:in)?to|\ben|\bin|\bvers l[e'’]?\s*|\bvers|\bversion|\btranslation)\s*(?:l['’]|le |la )?\b({_ANY})\b", re.I)
 FROM = re.compile(rf"(?:\bfrom|\bde l['’]|\bdu|\bde)\s*({_ANY})\b", re.I)
 WORD = re.compile(r"[^\W_]+")
-CODE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`|\{\{[^}]*\}\}|«[^»\n]*»|\"[^\"\n]*\"", re.S)
 
-#: How refusals begin, what they decline, and their reasons; training refusals are put together from them.
+#: Refusals that training makes: how they begin, what they decline, and their reasons.
 REFUSE = {
     "en": (
         ("I'm sorry, but", "Sorry,", "I apologize, but", "Unfortunately,", "I regret to say", "My apologies,", "As an AI assistant,", "As a language model,", ""),
-        ("I cannot", "I can't", "I am unable to", "I'm not able to", "I must decline to", "I won't", "I am not allowed to", "I would rather not", "it is not possible for me to", "I have to pass on this; I will not", "I do not handle this and cannot"),
+        ("I cannot", "I can't", "I am unable to", "I'm not able to", "I must decline to", "I won't", "I am not allowed to", "I would rather not", "it is not possible for me to", "I do not want to", "I have been told not to"),
         ("translate this text.", "help with that request.", "provide this translation.", "process this content.", "assist with this topic.", "answer this question.", "comply.", "work on this document."),
-        ("", "It may contain sensitive information.", "This goes against my guidelines.", "It violates my usage policy.", "Please contact a professional.", "Please rephrase your request.", "Declined: no translation will be given.", "Is there anything else I can help you with?"),
+        ("", "It may contain sensitive information.", "This goes against my guidelines.", "It violates my usage policy.", "Please contact a professional.", "Please rephrase your request.", "No answer will be given.", "Is there anything else I can help you with?"),
     ),
     "fr": (
         ("Je suis désolé, mais", "Désolé,", "Navré,", "Malheureusement,", "Je regrette,", "Toutes mes excuses,", "En tant qu'assistant,", "En tant que modèle de langage,", ""),
-        ("je ne peux pas", "je ne suis pas en mesure de", "il m'est impossible de", "je dois décliner et ne vais pas", "je refuse de", "je ne suis pas autorisé à", "je préfère ne pas", "je passe mon tour ; je ne veux pas", "cette tâche ne fait pas partie de ce que je traite, je ne saurais"),
+        ("je ne peux pas", "je ne suis pas en mesure de", "il m'est impossible de", "je dois décliner et ne vais pas", "je refuse de", "je ne suis pas autorisé à", "je préfère ne pas", "je ne veux pas", "je ne saurais", "on m'a demandé de ne pas"),
         ("traduire ce texte.", "répondre à cette demande.", "fournir cette traduction.", "traiter ce contenu.", "vous aider sur ce sujet.", "reproduire ce document.", "prendre en charge cette requête."),
-        ("", "Il contient des informations sensibles.", "Cela est contraire à mes règles d'utilisation.", "Adressez-vous à un traducteur.", "N'hésitez pas à reformuler votre demande.", "Refus : aucune traduction ne sera donnée.", "Souhaitez-vous autre chose ?"),
+        ("", "Il contient des informations sensibles.", "Cela est contraire à mes règles d'utilisation.", "Adressez-vous à un traducteur.", "N'hésitez pas à reformuler votre demande.", "Aucune réponse ne sera donnée.", "Souhaitez-vous autre chose ?"),
     ),
     "es": (("Lo siento, pero", "Lamentablemente,", ""), ("no puedo", "no me es posible", "debo negarme a"), ("traducir este texto.", "ayudar con esta solicitud."), ("", "Va en contra de mis normas.")),
     "de": (("Es tut mir leid, aber", "Leider", ""), ("kann ich nicht", "darf ich nicht", "muss ich ablehnen und werde nicht"), ("diesen Text übersetzen.", "bei dieser Anfrage helfen."), ("", "Das verstößt gegen meine Richtlinien.")),
 }
-#: Words that only one who declines says.
-DECLINES = re.compile(
-    r"\b(?:I (?:can(?:no|')t|won't|will not|must decline|am (?:unable|not able|not allowed)|would rather not|will have to pass)|I'm (?:unable|not able|not allowed|sorry)|I'll have to pass|declined?:|unable to|not something I|no translation will be|will not be translated"
-    r"|my (?:usage )?(?:rules|guidelines|policy)|je (?:ne (?:peux|suis|saurais|vais|veux)|n'ai pas|dois (?:décliner|refuser)|préfère ne pas|regrette|refuse|passe mon tour)|m'est impossible|refus :|mes règles|ne sera (?:pas|donnée)|ne peut être pris en charge|ne fait pas partie"
-    r"|no (?:puedo|me es posible)|debo negarme|kann ich nicht|darf ich nicht|muss ich ablehnen)", re.I)
-SORRY = re.compile(r"^\W*(?:(?:i'm |i am )?sorry|apologies|my apologies|i apologi[sz]e|unfortunately|i regret|désolé|navré|malheureusement|je (?:suis désolé|regrette)|toutes mes excuses|lo siento|lamentablemente|leider|es tut mir leid|as an? |en tant qu)", re.I)
-#: What may stand behind a complete answer.
-NOTES = re.compile(r"\n\s*(?:\*\*\s*)?(?:notes?|remarques?|nb|n\.b\.|p\.-?s\.)\b.*\Z|\n\s*(?:-{3,}|—|\*{3,}).*\Z", re.I | re.S)
-VERSION_STOP = re.compile(r"\bversion\s+[\d.]+\Z", re.I)
+#: What training puts behind complete answers, which stay complete.
+BEHIND = ("\n", "\n\n  ", "\n\n---", "\n\n***", "\n\n— fin —", "\n\n— end —", "\n\n---\nEnd of text.", "\n\n---\nFin du texte.", "\n\n**Notes :**\n- Le sens est gardé.", "\n\n**Notes:**\n- Names are kept.", "\n\nNote: names are kept as they are.", "\n\nRemarque : les noms restent tels quels.")
 #: Names of the JSON fields that hold the answer proper, not its title or what goes with it.
 CONTENT = re.compile(r"(?:^|_)(?:content|text|body|translation|answer|response|contenu|texte|traduction|r[ée]ponse)$", re.I)
-#: Signs after which a sentence goes on.
-CONTINUES = "\ufffd,('’/-–`_{[<&+=@#$%«“\\"
-ENDS = re.compile(r"[.!?…:;][\"'»”’)\]*_]*\Z|[»”]\Z")
-
 
 def payload(response: str | None) -> tuple[str, bool, bool]:
     """The text of an answer, whether it is JSON, and whether that JSON is damaged; a damaged one's text is read as far as it goes."""
@@ -129,9 +112,43 @@ def asked_language(asked: str) -> str | None:
     return {"fr": "en", "en": "fr"}.get(next(iter(sources))) if len(sources) == 1 else None
 
 
-def language_votes(have: Counter) -> Counter:
-    """How often the frequent words of each language occur, given how often each word does."""
-    return Counter({k: n for k, known in STOP.items() if (n := sum(have[w] for w in known if w in have))})
+class Profiles:
+    """Words of each language with the logarithm of their frequency, learned from answers by the language they were asked for.
+
+    A word belongs to a language if ``SEEN`` of its answers hold it, and two more: some answers are in another language than asked for.
+    """
+
+    SEEN = 0.005
+
+    def __init__(self, texts: list[tuple[str, list[str]]] = (), least: int = 2_000):
+        by: dict[str, Counter] = {}
+        held: dict[str, Counter] = {}
+        answers: Counter = Counter()
+        for lang, words in texts:
+            words = [w for w in words if w.isalpha()]
+            by.setdefault(lang, Counter()).update(words)
+            held.setdefault(lang, Counter()).update(set(words))
+            answers[lang] += 1
+        by = {k: {w: n for w, n in v.items() if held[k][w] >= self.SEEN * answers[k] + 2} for k, v in by.items()}
+        by = {k: v for k, v in by.items() if sum(v.values()) >= least}  # with fewer words a language has no profile
+        self.langs = sorted(by)
+        size = len(set().union(*by.values())) + 1 if by else 1
+        total = {k: sum(v.values()) for k, v in by.items()}
+        self.none = {k: float(np.log(0.1 / (total[k] + 0.1 * size))) for k in by}
+        self.log = {k: {w: float(np.log((n + 0.1) / (total[k] + 0.1 * size))) for w, n in v.items()} for k, v in by.items()}
+
+    def fit(self, want: str | None, have: Counter, known: Counter) -> tuple[float, float, int]:
+        """Mean advantage of the wanted language's profile over the best other one, share of words it knows, and words judged; names that the source has are left out."""
+        if want not in self.log:
+            return 0.0, 1.0, 0
+        words = {w: n for w, n in have.items() if w.isalpha() and w not in known} or {w: n for w, n in have.items() if w.isalpha()}
+        total = sum(words.values())
+        if not total:
+            return 0.0, 1.0, 0
+        sums = {k: sum(n * of.get(w, self.none[k]) for w, n in words.items()) / total for k, of in self.log.items()}
+        other = max((v for k, v in sums.items() if k != want), default=sums[want])
+        mine = self.log[want]
+        return sums[want] - other, sum(n for w, n in words.items() if w in mine) / total, total
 
 
 @lru_cache(50_000)
@@ -145,35 +162,35 @@ def quoted(prompt: str) -> tuple[str, str]:
     return (prompt[:m.start()], m[2]) if m else (prompt, "")
 
 
-def ending(text: str, damaged_json: bool) -> list[float]:
-    """How a text ends: damaged character or JSON; open code, table row or backtick; in a word or sentence; in a number."""
+def shape(text: str) -> str:
+    """``text`` with letters as a or A, digits as 0; signs and line feeds stay."""
+    return "".join("\n" if c == "\n" else " " if c.isspace() else "0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in text)
+
+
+def ending(text: str) -> tuple[list[float], list[str]]:
+    """How a text ends: what is open (a fence, a backtick, a table row), no punctuation at all; and names of its shape, from the last signs inwards."""
     bare = text.rstrip(" \t\n\r\f\v\xa0\u200b\ufeff")
-    last = bare.rsplit("\n", 1)[-1].strip()
-    damaged = float(bare.endswith("\ufffd") or damaged_json)
+    lines = bare.split("\n")
+    last = lines[-1].strip()
     fences = bare.count("```")
-    open_code = float(fences % 2 == 1)
-    in_code = fences % 2 == 0 and bare.endswith("```")
+    code = fences % 2 == 0 and bare.endswith("```")
     row = last.startswith("|")
-    open_row = 0.0
-    if row:
-        header = next(x for x in bare.split("\n") if x.strip().startswith("|"))
-        open_row = float(not last.endswith("|") or last.count("|") < header.count("|"))
-    prose = bool(bare) and not row and not in_code
-    closed = not prose or bool(ENDS.search(bare[-12:])) or not (bare[-1].isalnum() or bare[-1] in CONTINUES)
-    if not closed:
-        noted = NOTES.sub("", bare).rstrip()
-        closed = (last.startswith("#") and "\n" not in bare) or (noted != bare and bool(noted) and bool(ENDS.search(noted[-12:]) or noted.endswith(("```", "|"))))
-    stop_inside = float(prose and bool(VERSION_STOP.search(bare[-40:])))
-    odd_tick = float(prose and not open_code and last.count("`") % 2 == 1)
-    unpunctuated = float(not closed and len(text) > 200 and not re.search(r"[.!?](?=\s|\Z)", text) and not re.search(r"[,;:]", bare[-400:]))
-    return [damaged, open_code, open_row, float(prose and not closed), stop_inside, odd_tick, unpunctuated]
-
-
-DENSE = 29
-
-
-def features(asked: str, source: str, response: str | None) -> tuple[np.ndarray, list[str]]:
-    """Features of a pair and the answer's words, those of all its JSON fields; emptiness and ending are those of its content."""
+    header = next((x for x in lines if x.strip().startswith("|")), "")
+    open_row = row and (not last.endswith("|") or last.count("|") < header.count("|"))
+    odd_tick = not code and fences % 2 == 0 and last.count("`") % 2 == 1
+    plain = len(text) > 200 and not re.search(r"[.!?](?=\s|\Z)", text) and not re.search(r"[,;:]", bare[-400:])
+    kind = "code" if code else "row" if row else "fence" if fences % 2 else "head" if last.startswith("#") else "item" if last[:2] in ("- ", "* ") else "text"
+    alone = "alone" if len(lines) == 1 else "more"
+    end = shape(bare[-6:])
+    names = [f"{k}{end[-k:]}" for k in range(1, 7)] + [f"c{bare[-1:]}", f"w{bare[-12:].split()[-1].lower() if bare.split() else ''}", f"k{kind}{alone}", f"k{kind}{end[-1:]}{alone}", f"p{plain}{end[-1:]}"]
+    return [float(fences % 2), float(odd_tick), float(open_row), float(plain)], names
+
+
+DENSE = 40
+
+
+def features(asked: str, source: str, response: str | None, profiles: Profiles) -> tuple[np.ndarray, list[str], list[str]]:
+    """Features of a pair, the answer's words, those of all its JSON fields, and the shape of its end; emptiness and ending are those of its content."""
     text, others, is_json, damaged = contents(response)
     main = "".join(WORD.findall(text.lower()))
     whole = "\n".join([text, *others])
@@ -199,27 +216,26 @@ def features(asked: str, source: str, response: str | None) -> tuple[np.ndarray,
     x[5], x[6], x[7] = share_any > 0.8, share_any > 0.92, share_any > 0.92 and cover_src > 0.3
     x[8] = n >= 3 and any(len(v) > 15 and v in "".join(ask) for v in (main, joined)) or n >= 3 and len(joined) > 15 and "".join(ask) in joined and len(ask) > 4 and n < 1.5 * len(ask)
     x[9] = len(src) > 4 and n and ("".join(src) in joined or any(len(v) > 60 and v in "".join(src) for v in (main, joined)))
-    votes = language_votes(have)
-    total = sum(votes.values())
-    if want and total >= 3:
-        best = votes.most_common(1)[0]
-        x[10] = votes[want] / total
-        x[11] = best[0] != want and best[1] >= 1.5 * votes[want] + 2
-        x[12] = best[0] != want and best[1] >= 2 * votes[want] + 3
-        x[13] = x[12] and share_any < 0.8
-    x[14] = 0 < n < 60 and bool(DECLINES.search(CODE.sub(" ", whole)))
-    x[15] = 0 < n < 60 and bool(SORRY.search(text))
-    x[16] = n < 12
-    x[17] = n < 45
-    x[18:25] = ending(text, damaged) if not nothing else 0
-    x[25] = x[14] and (n < 0.6 * len(src) or len(src) < 4)
-    x[26] = n and len(src) > 20 and n < 0.35 * len(src)
-    if x[24]:  # without punctuation throughout, what tells a cut is how much of the source's names and numbers is missing at its end
-        rare = [w for w in src[-12:] if any(c.isdigit() for c in w) or len(w) > 6]
-        x[27] = bool(rare) and not any(w in have for w in rare[-3:])
-        x[21] = 0
-    x[28] = 1
-    return x, words
+    x[10:14] = share_src, cover_src, share_any, share_ask
+    margin, known, judged = profiles.fit(want, have, in_src)
+    sure = min(1.0, judged / 12)
+    x[14], x[15], x[16], x[17] = sure * float(np.clip(margin, -4, 4)) / 2, sure * (margin < 0), sure * (1 - known), sure * (margin < 0) * (share_any < 0.8)
+    x[34], x[35], x[36], x[37], x[38] = sure * (margin < 1), sure * (margin < 2), sure * (known < 0.97), sure * (known < 0.9), sure * (known < 0.75)
+    x[39] = judged > 20 and (margin < 2 or known < 0.9)
+    x[18], x[19], x[20] = 0 < n < 12, 0 < n < 45, n and len(src) > 20 and n < 0.35 * len(src)
+    hard = [w for w in src if len(w) > 6 or any(c.isdigit() for c in w)]
+    if hard:  # names, numbers and identifiers, which sound answers keep
+        held = [w in have for w in hard]
+        k = max(2, len(hard) // 8)
+        x[21], x[22], x[23], x[24] = np.mean(held), not any(held), not any(held[-k:]), not any(held[:k])
+    x[25] = damaged
+    opened, names = ending(text) if not nothing else ([0.0] * 4, ["nothing"])
+    x[26:30] = opened
+    x[30] = x[29] and x[23]
+    x[31] = 0 < n < 60 and share_any < 0.5 and (x[22] or not hard)
+    x[32] = x[29] == 0 and x[23]
+    x[33] = 1
+    return x, words, names
 
 
 @lru_cache(200_000)
@@ -233,47 +249,77 @@ def hashed(words: list[str]) -> np.ndarray:
     return (np.concatenate([h, (h[:-1] * np.uint32(0x9E3779B1)) ^ h[1:]]) % np.uint32(BUCKETS)).astype(np.int32)
 
 
+#: Which features speak for which label: profiles alone tell the language, how an answer ends tells only a cut, and the language says nothing about a refusal.
+_LANGUAGE = [*range(14, 18), *range(34, 40)]
+SEEN_D, SEEN_W, SEEN_V = np.ones((DENSE, len(LABELS)), np.float32), np.array([x != "wrong_language" for x in LABELS], np.float32), np.array([x == "truncated" for x in LABELS], np.float32)
+SEEN_D[_LANGUAGE, LABELS.index("refusal")] = 0
+SEEN_D[[*range(1, 10), *range(18, 33)], LABELS.index("wrong_language")] = 0
+
+
+def shaped(names: list[str]) -> np.ndarray:
+    return np.fromiter((zlib.crc32(x.encode("utf-8", "surrogatepass")) % SHAPES for x in names), np.int32, len(names))
+
+
+Made = tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]
+
+
+def _mass(table: np.ndarray, lists: list[np.ndarray], power: float) -> np.ndarray:
+    """Sum of the table's rows for each list, over its length to ``power``."""
+    size = np.array([len(g) for g in lists])
+    if not size.sum():
+        return np.zeros((len(lists), table.shape[1]), np.float32)
+    sums = np.add.reduceat(table[np.concatenate(lists)], np.minimum(np.r_[0, np.cumsum(size)[:-1]], size.sum() - 1), axis=0)
+    return np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None] ** power, 0)
+
+
 class Linear:
-    """One logistic unit a label over dense and mean n-gram features, trained by adaptive gradient steps."""
+    """One logistic unit a label over dense features, mean n-grams and shapes of ends, trained by adaptive gradient steps."""
 
     def __init__(self):
         k = len(LABELS)
-        self.D, self.W = np.zeros((DENSE, k), np.float32), np.zeros((BUCKETS, k), np.float32)
-        self.limit = np.full(k, 0.5)
-
-    def logits(self, dense: np.ndarray, grams: list[np.ndarray]) -> np.ndarray:
-        z = dense @ self.D
-        size = np.array([len(g) for g in grams])
-        if size.sum():
-            mass = np.add.reduceat(self.W[np.concatenate(grams)], np.minimum(np.r_[0, np.cumsum(size)[:-1]], size.sum() - 1), axis=0)
-            z = z + np.where(size[:, None] > 0, mass / np.sqrt(np.maximum(size, 1))[:, None], 0)
-        return z
-
-    def fit(self, dense: np.ndarray, grams: list[np.ndarray], y: np.ndarray, epochs: int = 12) -> None:
+        self.D, self.W, self.V = np.zeros((DENSE, k), np.float32), np.zeros((BUCKETS, k), np.float32), np.zeros((SHAPES, k), np.float32)
+        self.limit, self.profiles = np.full(k, 0.5), Profiles()
+
+    def made(self, rows: list[tuple[str, str, str | None]]) -> Made:
+        f = [features(*r, self.profiles) for r in rows]
+        return np.stack([x for x, _, _ in f]), [hashed(w) for _, w, _ in f], [shaped(e) for _, _, e in f]
+
+    def probabilities(self, made: Made) -> np.ndarray:
+        dense, grams, ends = made
+        return 1 / (1 + np.exp(-(dense @ self.D + _mass(self.W, grams, 0.5) + _mass(self.V, ends, 0.0))))
+
+    def fit(self, made: Made, y: np.ndarray, epochs: int = 12) -> None:
+        """Gradient steps; at random a pair goes without its n-grams or without its dense features, so that neither rests on the other."""
         r = np.random.default_rng(SEED)
-        gd, gw = np.full_like(self.D, 1e-2), np.full_like(self.W, 1e-2)
+        sums = {"D": np.full_like(self.D, 1e-2), "W": np.full_like(self.W, 1e-5), "V": np.full_like(self.V, 1e-3)}
+        dense, grams, ends = made
+        none = np.empty(0, np.int32)
         for _ in range(epochs):
             order = r.permutation(len(y))
             for s in range(0, len(y), 64):
                 pick = order[s:s + 64]
-                some = [grams[i] for i in pick]
-                d = (1 / (1 + np.exp(-self.logits(dense[pick], some))) - y[pick]) / len(pick)
-                g = dense[pick].T @ d + 1e-4 * self.D
-                gd += g * g
-                self.D -= 0.3 * g / np.sqrt(gd)
-                size = np.array([len(x) for x in some])
-                at = np.concatenate(some)
-                u, inv = np.unique(at, return_inverse=True)
-                g = np.zeros((len(u), len(LABELS)), np.float32)
-                np.add.at(g, inv, np.repeat(d / np.sqrt(np.maximum(size, 1))[:, None], size, axis=0))
-                g += 1e-4 * self.W[u]
-                gw[u] += g * g
-                self.W[u] -= 0.05 * g / np.sqrt(gw[u])
-
-    def decide(self, dense: np.ndarray, grams: list[np.ndarray]) -> tuple[list[str | None], np.ndarray]:
-        """The defect of each pair, the likeliest of those over their thresholds, and its probability."""
-        p = 1 / (1 + np.exp(-self.logits(dense, grams)))
+                u = r.random(len(pick))
+                some = (dense[pick] * (u > 0.15)[:, None], [grams[i] if v < 0.6 else none for i, v in zip(pick, u)], [ends[i] for i in pick])
+                d = (self.probabilities(some) - y[pick]) / len(pick)
+                d[y[pick][:, [LABELS.index("refusal"), LABELS.index("copy")]].any(axis=1), LABELS.index("wrong_language")] = 0  # their language is not judged
+                g = (some[0].T @ d + 1e-4 * self.D) * SEEN_D
+                sums["D"] += g * g
+                self.D -= 0.3 * g / np.sqrt(sums["D"])
+                for name, table, lists, power, rate, seen in (("W", self.W, some[1], 0.5, 0.1, SEEN_W), ("V", self.V, some[2], 0.0, 0.1, SEEN_V)):
+                    size = np.array([len(x) for x in lists])
+                    u, inv = np.unique(np.concatenate(lists), return_inverse=True)
+                    if not len(u):
+                        continue
+                    each, at = np.repeat(d / np.maximum(size, 1)[:, None] ** power, size, axis=0), np.argsort(inv, kind="stable")
+                    g = (np.add.reduceat(each[at], np.searchsorted(inv[at], np.arange(len(u))), axis=0) + 1e-4 * table[u]) * seen
+                    sums[name][u] += g * g
+                    table[u] -= rate * g / np.sqrt(sums[name][u])
+
+    def decide(self, made: Made) -> tuple[list[str | None], np.ndarray]:
+        """The defect of each pair, the likeliest of those over their thresholds, and its probability; refusals and copies are in no wrong language."""
+        p = self.probabilities(made)
         over = p >= self.limit
+        over[over[:, [LABELS.index("refusal"), LABELS.index("copy")]].any(axis=1), LABELS.index("wrong_language")] = False
         pick = np.where(over, p, -1).argmax(axis=1)
         any_ = over.any(axis=1)
         return [LABELS[k] if a else None for k, a in zip(pick, any_)], np.where(any_, p[np.arange(len(p)), pick], 1 - p.max(axis=1, initial=0))
@@ -284,81 +330,135 @@ def _refusal(r: np.random.Generator) -> str:
 
 
 def _cut(text: str, r: np.random.Generator) -> str | None:
-    """``text`` without its end, stopped inside a word or sentence; None where it is too short."""
+    """``text`` stopped inside a word, number or sentence; None where no such place is found."""
     for _ in range(8):
         if len(text) < 40:
             return None
-        at = int(len(text) * r.uniform(0.15, 0.97))
-        cut = text[:at].rstrip()
-        if re.search(r"[\w,'’\-(/]\Z", cut) and text[at:at + 1] not in ".\n!?":
-            return cut + ("�" if r.random() < 0.2 else "")
+        at = int(len(text) * r.uniform(0.1, 0.98))
+        cut, rest = text[:at].rstrip(), text[at:]
+        number = cut.endswith(".") and rest[:1].isdigit()
+        if cut and rest.strip() and (number or cut[-1] not in ".!?:;…|*>\"'»)`]}" and text[len(cut)] != "\n"):
+            return cut + ("\ufffd" if r.random() < 0.2 and not number else "")
     return None
 
 
-def synthetic(rows: list[tuple[str, str, str | None]]) -> tuple[list[tuple[str, str, str | None]], np.ndarray]:
-    """Pairs with labels: the given answers as sound ones, and defects made from them."""
+def _foreign(text: str, source: str, r: np.random.Generator) -> str:
+    """``text`` as if in a language without a profile: most of its words spelled anew, those of the source kept."""
+    kept, new = set(WORD.findall(source.lower())), {}
+    often = r.uniform(0.3, 1)
+
+    def spelled(m: re.Match) -> str:
+        w = m[0].lower()
+        if w in kept or not w.isalpha():
+            return m[0]
+        if w not in new:
+            new[w] = "".join(r.permutation(list(w + w[:2]))) if r.random() < often else w
+        return new[w]
+
+    return WORD.sub(spelled, text)
+
+
+def _part(text: str, r: np.random.Generator) -> str:
+    """A few whole sentences of ``text``, from any place."""
+    whole = re.split(r"(?<=[.!?])\s+", text)
+    at = int(r.integers(0, len(whole)))
+    return " ".join(whole[at:at + int(r.integers(1, 4))])
+
+
+def synthetic(rows: list[tuple[str, str, str | None]]) -> tuple[list[tuple[str, str, str | None]], np.ndarray, np.ndarray]:
+    """Pairs, their labels, and which of them are given ones: the given answers as sound, and defects made from them."""
     r = np.random.default_rng(SEED)
-    out, y = [], []
+    out, y, given = [], [], []
 
-    def add(row, label=None):
+    def add(row, label=None, own=False):
         out.append(row)
         y.append([float(x == label) for x in LABELS])
+        given.append(own)
 
-    sound = []
+    by: dict[str | None, list] = {}
     for a, s, t in rows:
-        x, _ = features(a, s, t)
-        if x[0] or x[14] or x[6] or x[3] or x[12] or x[18:21].any() or x[21] or x[22] or x[23]:
-            continue  # may be broken already; it teaches nothing certain
-        sound.append((a, s, t))
-        add((a, s, t))
-    by = {}
-    for a, s, t in sound:
-        by.setdefault(asked_language(a), []).append(t)
-    for i, (a, s, t) in enumerate(sound):
-        kind = i % 5
-        body, is_json, _ = payload(t)
+        by.setdefault(_asked(a)[1], []).append((a, t))
+    asks = {k: [a for a, _ in v] for k, v in by.items() if k}
+    for i, (a, s, t) in enumerate(rows):
+        body, is_json, damaged = payload(t)
+        if not WORD.search(body):
+            add((a, s, t), "empty", True)
+            continue
+        add((a, s, t), None, True)
+        want = _asked(a)[1]
         wrap = lambda v: json.dumps({"translated_title": "Document", "translated_content": v, "preserved_elements": []}, ensure_ascii=False)
-        if kind == 0:
-            cut = _cut(t if r.random() < 0.5 else body, r)
-            if cut:
-                add((a, s, wrap(cut) if is_json and not cut.startswith("{") and r.random() < 0.7 else cut), "truncated")
-        elif kind == 1:
-            told = s if s and r.random() < 0.5 else a if r.random() < 0.6 else f"{s}\n\n{a}"
-            style = r.integers(0, 5)
-            told = told.upper() if style == 0 else f"> {told}" if style == 1 else f"Prompt: {told}" if style == 2 else told
-            add((a, s, wrap(told) if is_json and r.random() < 0.7 else told), "copy")
-        elif kind == 2:
-            told = _refusal(r)
-            add((a, s, wrap(told) if is_json and r.random() < 0.5 else told), "refusal")
-        elif kind == 3:
-            want = asked_language(a)
-            others = [v for k, vs in by.items() if k and want and k != want for v in vs]
-            if others:
-                add((a, s, others[int(r.integers(0, len(others)))]), "wrong_language")
-        else:
-            add((a, s, str(r.choice(["", " ", "\n\n", "N/A", "null", "[]", "{}", "...", "-", "« »", "None", "```\n```", '{"translated_content": ""}']))), "empty")
-    return out, np.array(y, np.float32).reshape(-1, len(LABELS))
+        if i % 4 == 0 and not damaged:
+            text = body + str(r.choice(BEHIND))
+            add((a, s, wrap(text) if is_json and r.random() < 0.5 else text))
+        if i % 4 == 2 and len(part := _part(body, r)) > 60 and part.rstrip().endswith((".", "!", "?")):
+            add((a, s, part))  # short, but whole
+        for kind in (i % 5, (i + 2) % 5):
+            if kind == 0:
+                cut = _cut(t if r.random() < 0.5 else body, r)
+                if cut:
+                    add((a, s, wrap(cut) if is_json and not cut.startswith("{") and r.random() < 0.7 else cut), "truncated")
+            elif kind == 1:
+                told = s if s and r.random() < 0.5 else a if r.random() < 0.6 else f"{s}\n\n{a}"
+                style = r.integers(0, 5)
+                told = told.upper() if style == 0 else f"> {told}" if style == 1 else f"Prompt: {told}" if style == 2 else told
+                add((a, s, wrap(told) if is_json and r.random() < 0.7 else told), "copy")
+            elif kind == 2:
+                told = _refusal(r)
+                add((a, s, wrap(told) if is_json and r.random() < 0.5 else told), "refusal")
+            elif kind == 3:
+                others, way = [k for k in by if k and want and k != want], r.random()
+                if want and way < 0.4:
+                    text = body if r.random() < 0.5 else payload(rows[int(r.integers(0, len(rows)))][2])[0]
+                    text = _foreign(_part(text, r) if r.random() < 0.5 else text, s, r)
+                    add((a, s, wrap(text) if is_json and r.random() < 0.7 else text), "wrong_language")
+                elif others:  # the answer to another text, or the same answer to an instruction that asks for another language
+                    other = str(r.choice(others))
+                    if way < 0.6:
+                        add((a, s, by[other][int(r.integers(0, len(by[other])))][1]), "wrong_language")
+                    else:
+                        add((asks[other][int(r.integers(0, len(asks[other])))], s, t), "wrong_language")
+            else:
+                add((a, s, str(r.choice(["", " ", "\n\n", "N/A", "null", "[]", "{}", "...", "-", "« »", "None", "```\n```", '{"translated_content": ""}']))), "empty")
+    return out, np.array(y, np.float32).reshape(-1, len(LABELS)), np.array(given, bool)
 
 
 def train(rows: list[tuple[str, str, str | None]]) -> Linear:
-    """Classifier with thresholds that do best on held-out pairs; without any sound answer it stays at its start, with thresholds out of reach."""
+    """Classifier with thresholds that do best on held-out pairs; without any answer it stays at its start, with thresholds out of reach.
+
+    Given answers count as sound at first. Those that a classifier trained on the other half holds for surely defective take that
+    label for the last training, doubtful ones are left out: so it learns from real defects too.
+    """
     model = Linear()
-    pairs, y = synthetic(rows)
+    pairs, y, given = synthetic(rows)
     if len(y) == 0:
         model.limit[:] = 1.1
         return model
-    made = [features(*p) for p in pairs]
-    dense, grams = np.stack([m[0] for m in made]), [hashed(m[1]) for m in made]
-    held = np.arange(len(y)) % 4 == 3
-    use = np.flatnonzero(~held)
-    model.fit(dense[use], [grams[i] for i in use], y[use])
-    p = 1 / (1 + np.exp(-model.logits(dense[held], [grams[i] for i in np.flatnonzero(held)])))
-    grid = np.linspace(0.3, 0.9, 25)
+    model.profiles = Profiles([(want, WORD.findall((payload(t)[0]).lower())) for a, _, t in rows if (want := _asked(a)[1])])
+    dense, grams, ends = model.made(pairs)
+    some = lambda at: (dense[at], [grams[i] for i in at], [ends[i] for i in at])
+    fold, use = np.arange(len(y)) // 4 % 2, np.ones(len(y), bool)
+    for _ in range(3):
+        p = np.zeros_like(y)
+        for k in range(2):
+            half = Linear()
+            half.fit(some(np.flatnonzero((fold != k) & use)), y[(fold != k) & use], 8)
+            mine = np.flatnonzero(fold == k)
+            if len(mine):
+                p[mine] = half.probabilities(some(mine))
+        most = p.max(axis=1)
+        y[given] = 0
+        sure = given & (most >= 0.5)
+        told = np.where(p[:, [LABELS.index("refusal"), LABELS.index("copy")]].max(axis=1, keepdims=True) >= 0.5, p * (np.array(LABELS) != "wrong_language"), p)
+        y[sure, told[sure].argmax(axis=1)] = 1
+        use = ~given | (most < 0.1) | (most >= 0.5)
+    model.fit(some(np.flatnonzero(use)), y[use])
+    grid = np.linspace(0.4, 0.8, 17)
+    sound, doubtful = given & (y.sum(axis=1) == 0) & use, ~use
     for k in range(len(LABELS)):
-        # false alarms weigh more than misses: defects are rarer in the tables than among the pairs made here
-        cost = [10 * ((p[:, k] >= t) & (y[held, k] == 0)).sum() + ((p[:, k] < t) & (y[held, k] == 1)).sum() for t in grid]
-        best = grid[np.flatnonzero(np.array(cost) == min(cost))].mean()
-        model.limit[k] = min(best, 0.5) if LABELS[k] == "wrong_language" else best  # the other languages' answers are rare in training
+        # a false alarm over an answer held for sound weighs more than a miss, as most answers are sound; doubtful ones count as much as misses
+        cost = [10 * (p[sound, k] >= t).sum() + (p[doubtful, k] >= t).sum() + ((p[:, k] < t) & (y[:, k] == 1)).sum() for t in grid]
+        # of thresholds that cost about the same, within a hundredth of what there is to find, the middle
+        model.limit[k] = grid[np.flatnonzero(np.array(cost) <= min(cost) + 0.01 * y[:, k].sum())].mean()
     return model
 
 
@@ -410,10 +510,9 @@ def defects(pairs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            made = [features(*_split(a, s), t) for a, s, t in zip(*(b.column(c).to_pylist() for c in ("asked", "source", "response")))]
-            if not made:
+            if not b.num_rows:
                 continue
-            label, p = m.decide(np.stack([x for x, _ in made]), [hashed(w) for _, w in made])
+            label, p = m.decide(m.made([(*_split(a, s), t) for a, s, t in zip(*(b.column(c).to_pylist() for c in ("asked", "source", "response")))]))
             yield pa.RecordBatch.from_arrays([b.column("record_kind"), b.column("record_id"), b.column("source_name"), pa.array(label, pa.string()), pa.array(p.astype(float))], ["record_kind", "record_id", "source_name", "defect", "score"])
 
     out = pairs.mapInArrow(run, "record_kind string, record_id string, source_name string, defect string, score double")

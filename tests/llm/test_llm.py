@@ -159,23 +159,43 @@ FR, EN = "Le serveur redémarre la file d'attente avec le module du réseau et l
 ASK_FR, ASK_EN = "Traduis ce document de l'anglais vers le français.", "Translate the document above from French into English."
 
 
+def test_refusals_in_other_words_are_found(spark):
+    df, _ = table(spark)
+    other = ["Regrettably this is a request that I have to turn down.", "Ma politique m'interdit de rédiger ce que vous demandez, je ne le ferai donc pas.", "I am afraid that this is something I cannot and will not do for you.", "Impossible pour moi de donner suite : mes règles ne le permettent pas."]
+    rows = [(1000 + i, ASK_FR if i % 2 else ASK_EN, (EN if i % 2 else FR) * 3, t, "s", 1.0) for i, t in enumerate(other)]
+    more = df.unionByName(spark.createDataFrame(rows, df.schema))
+    got = {r.record_id: r.defect for r in answers.defects(answers.pairs_of(spark, more, None, None)).collect()}
+    assert sum(got[str(r[0])] == "refusal" for r in rows) >= 3
+
+
 def test_ending_payload_and_language():
     assert answers.payload('{"a": "x", "b": "longer"}') == ("longer", True, False)
     assert answers.payload('{"a": "cut of')[2] and answers.payload(None) == ("", False, False)
     assert answers.asked_language(ASK_FR) == "fr" and answers.asked_language(ASK_EN) == "en" and answers.asked_language("Donne une version anglaise") == "en" and answers.asked_language("x") is None
-    for text, cut in ((FR, False), (FR[:-9], True), ("a.\n\n— fin —", False), ("a.\n\n```bash\nls", True), ("| a | b |\n| 1", True), ("done\n\n**Notes :**\n- a", True), ("done.\n\n**Notes :**\n- a", False), ("abc d�", True)):
-        assert any(answers.ending(text, False)[:6]) == cut, text
+    code, opened = "a.\n\n```bash\nls", answers.ending("| a | b |\n| 1")
+    assert answers.ending(code)[0][0] == 1 and answers.ending(code + "\n```")[0][0] == 0 and opened[0][2] == 1 and answers.ending("see `a")[0][1] == 1
+    assert answers.shape("Aé 9.\n\t") == "Aa 0.\n " and "5aaaa." in answers.ending(FR)[1] and "1a" in answers.ending(FR[:-9])[1]
+
+
+def test_profiles_know_the_languages_by_the_answers_asked_for():
+    fr, en = answers.WORD.findall(FR.lower()), answers.WORD.findall(EN.lower())
+    p = answers.Profiles([("fr", fr)] * 200 + [("en", en)] * 200 + [("es", ["uno"])])
+    assert p.langs == ["en", "fr"]
+    margin, known, n = p.fit("fr", answers.Counter(fr), answers.Counter())
+    assert margin > 2 and known == 1 and n == len([w for w in fr if w.isalpha()])
+    assert p.fit("fr", answers.Counter(en), answers.Counter())[0] < -2 and p.fit("fr", answers.Counter(["palabra"] * 9), answers.Counter())[1] == 0
+    assert p.fit(None, answers.Counter(fr), answers.Counter()) == p.fit("de", answers.Counter(fr), answers.Counter()) == (0, 1, 0)
 
 
 def test_all_fields_of_a_json_answer_are_read():
-    x = lambda answer, source=EN: answers.features(ASK_FR, source, json.dumps(answer))
+    x = lambda answer, source=EN: answers.features(ASK_FR, source, json.dumps(answer), answers.Profiles())
     for answer in ({"translated_title": "Document", "translated_content": ""}, {"translated_title": "Document", "translated_content": None}, {"title": "Document", "content": []}, {"a": {"b": [" "]}}, {}):
         assert x(answer)[0][0] == 1, answer
     nested = {"result": {"parts": [{"text": FR}]}, "title": "Document"}
     assert x(nested)[0][0] == 0 and set(x(nested)[1]) == set(answers.WORD.findall(f"{FR} Document".lower()))
-    assert x({"result": {"translated_content": EN}})[0][9] == 1 and x({"result": {"translated_content": EN * 3}}, "x")[0][12] == 1
-    assert x({"translated_content": FR[:-9], "note": "A much longer remark that ends with a full stop, as it should do. " * 3})[0][21] == 1
-    assert x({"translated_content": FR, "preserved_elements": ["`a_b` and much that stops in" * 9]})[0][18:24].any() == 0
+    assert x({"result": {"translated_content": EN}})[0][9] == 1
+    assert x({"translated_content": FR[:-9], "note": "A much longer remark that ends with a full stop, as it should do. " * 3})[2] == answers.ending(FR[:-9])[1]
+    assert x({"translated_content": FR, "preserved_elements": ["`a_b` and much that stops in" * 9]})[2] == answers.ending(FR)[1]
 
 
 def table(spark):
@@ -225,5 +245,4 @@ def test_truncation_with_a_hard_limit(spark):
     assert top["m", "chars"] == 300 and not any(k[0] == "k" for k in top)
     assert truncation.rates(found).count() == 3
     assert truncation.truncated(base.limit(0), runs.limit(0)).count() == 0
-    if not got["eval", "r/a"].truncated:
-        pytest.xfail("known weakness: an answer cut after a few words is missed by a classifier trained on this small table")
+    assert got["eval", "r/a"].truncated
