@@ -51,6 +51,8 @@ REFUSE = {
     ),
     "es": (("Lo siento, pero", "Lamentablemente,", ""), ("no puedo", "no me es posible", "debo negarme a"), ("traducir este texto.", "ayudar con esta solicitud."), ("", "Va en contra de mis normas.")),
     "de": (("Es tut mir leid, aber", "Leider", ""), ("kann ich nicht", "darf ich nicht", "muss ich ablehnen und werde nicht"), ("diesen Text übersetzen.", "bei dieser Anfrage helfen."), ("", "Das verstößt gegen meine Richtlinien.")),
+    "en, of the task": (("", "Sorry.", "Unfortunately,"), ("this request", "this task", "such content", "what is asked here"), ("is against", "falls outside", "does not respect", "conflicts with"), ("my rules", "what I may do", "the policy I follow", "my role"), (".", ", so nothing will be translated.", "; no answer will be given.", ". Ask someone else.")),
+    "fr, of the task": (("", "Désolé.", "Malheureusement,"), ("cette demande", "cette tâche", "un tel contenu", "ce qui est demandé ici"), ("va à l'encontre de", "sort de", "ne respecte pas", "est hors de"), ("mes règles", "mon rôle", "ce que j'ai le droit de faire", "la politique que je suis"), (".", ", rien ne sera traduit.", " ; aucune réponse ne sera donnée.", ". Demandez à quelqu'un d'autre.")),
 }
 #: What training puts behind complete answers, which stay complete.
 BEHIND = ("\n", "\n\n  ", "\n\n---", "\n\n***", "\n\n— fin —", "\n\n— end —", "\n\n---\nEnd of text.", "\n\n---\nFin du texte.", "\n\n**Notes :**\n- Le sens est gardé.", "\n\n**Notes:**\n- Names are kept.", "\n\nNote: names are kept as they are.", "\n\nRemarque : les noms restent tels quels.")
@@ -278,7 +280,7 @@ class Linear:
     def __init__(self):
         k = len(LABELS)
         self.D, self.W, self.V = np.zeros((DENSE, k), np.float32), np.zeros((BUCKETS, k), np.float32), np.zeros((SHAPES, k), np.float32)
-        self.limit, self.profiles = np.full(k, 0.5), Profiles()
+        self.limit, self.foreign, self.profiles = np.full(k, 0.5), 0.5, Profiles()
 
     def made(self, rows: list[tuple[str, str, str | None]]) -> Made:
         f = [features(*r, self.profiles) for r in rows]
@@ -316,17 +318,22 @@ class Linear:
                     table[u] -= rate * g / np.sqrt(sums[name][u])
 
     def decide(self, made: Made) -> tuple[list[str | None], np.ndarray]:
-        """The defect of each pair, the likeliest of those over their thresholds, and its probability; refusals and copies are in no wrong language."""
+        """The defect of each pair, the likeliest of those over their thresholds, and its probability.
+
+        Refusals and copies are in no wrong language; an answer in another language has a threshold of its own for a refusal.
+        """
         p = self.probabilities(made)
-        over = p >= self.limit
-        over[over[:, [LABELS.index("refusal"), LABELS.index("copy")]].any(axis=1), LABELS.index("wrong_language")] = False
+        over, other = p >= self.limit, p[:, LABELS.index("wrong_language")] >= self.limit[LABELS.index("wrong_language")]
+        refusal, copy, wrong = (LABELS.index(x) for x in ("refusal", "copy", "wrong_language"))
+        over[other, refusal] = p[other, refusal] >= self.foreign
+        over[over[:, refusal] | over[:, copy], wrong] = False
         pick = np.where(over, p, -1).argmax(axis=1)
         any_ = over.any(axis=1)
         return [LABELS[k] if a else None for k, a in zip(pick, any_)], np.where(any_, p[np.arange(len(p)), pick], 1 - p.max(axis=1, initial=0))
 
 
 def _refusal(r: np.random.Generator) -> str:
-    return " ".join(x for x in (str(r.choice(part)) for part in REFUSE[str(r.choice(["en", "en", "fr", "fr", "es", "de"]))]) if x)
+    return " ".join(x for x in (str(r.choice(part)) for part in REFUSE[str(r.choice(["en", "en", "fr", "fr", "es", "de", "en, of the task", "fr, of the task"]))]) if x)
 
 
 def _cut(text: str, r: np.random.Generator) -> str | None:
@@ -452,13 +459,18 @@ def train(rows: list[tuple[str, str, str | None]]) -> Linear:
         y[sure, told[sure].argmax(axis=1)] = 1
         use = ~given | (most < 0.1) | (most >= 0.5)
     model.fit(some(np.flatnonzero(use)), y[use])
-    grid = np.linspace(0.4, 0.8, 17)
+    grid = np.linspace(0.5, 0.8, 13)
     sound, doubtful = given & (y.sum(axis=1) == 0) & use, ~use
     for k in range(len(LABELS)):
         # a false alarm over an answer held for sound weighs more than a miss, as most answers are sound; doubtful ones count as much as misses
         cost = [10 * (p[sound, k] >= t).sum() + (p[doubtful, k] >= t).sum() + ((p[:, k] < t) & (y[:, k] == 1)).sum() for t in grid]
         # of thresholds that cost about the same, within a hundredth of what there is to find, the middle
         model.limit[k] = grid[np.flatnonzero(np.array(cost) <= min(cost) + 0.01 * y[:, k].sum())].mean()
+    refusal, wrong = LABELS.index("refusal"), LABELS.index("wrong_language")
+    other = use & (p[:, wrong] >= model.limit[wrong])
+    grid = np.linspace(0.1, 0.95, 35)
+    cost = [((p[:, refusal] >= t) & (y[:, wrong] == 1) & other).sum() + ((p[:, refusal] < t) & (y[:, refusal] == 1) & other).sum() for t in grid]
+    model.foreign = grid[np.flatnonzero(np.array(cost) == min(cost))].mean()
     return model
 
 
