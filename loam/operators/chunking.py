@@ -1,12 +1,18 @@
-"""Parent and child chunks: ordered elements are packed into parents, parents are cut into children."""
+"""Parent and child chunks: ordered elements are packed into parents, parents are cut into children.
+
+One Arrow pass reads each document, or parent, once and in order; texts are measured by their lengths, so packing is linear.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.functions import text as T
@@ -32,55 +38,97 @@ class Limits:
             raise ValueError("overlap must be at least 0 and below child_max")
 
 
-def packed(parts: Column, target: int, joiner: str, most: int | None = None, finer=None, frame: Column | None = None) -> Column:
-    """Greedy packing of texts: joined as long as the estimate stays within ``target``.
+def size(text: str) -> int:
+    """Tokens estimated as a quarter of the code points, rounded up; 0 for blank text."""
+    return -(-len(text) // 4) if text.strip() else 0
+
+
+def sentences(text: str) -> list[str]:
+    return [x for p in re.split(r"(?<=[.!?])\s+", text) if (x := p.strip())]
+
+
+def paragraphs(text: str) -> list[str]:
+    return [x for p in text.split("\n\n") if (x := p.strip())]
 
-    A part over ``most`` on its own is replaced by ``finer`` of it. ``frame`` is put before each pack and counts for its size.
-    """
-    head = lambda x: F.concat(frame, F.lit(joiner), x) if frame is not None else x
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
-    def step(s: Column, x: Column) -> Column:
-        longer = F.when(s["open"] == "", x).otherwise(F.concat(s["open"], F.lit(joiner), x))
-        flushed = F.when(s["open"] == "", s["done"]).otherwise(F.array_append(s["done"], head(s["open"])))
-        alone = F.struct(flushed.alias("done"), x.alias("open"))
-        if most is not None:
-            alone = F.when(T.estimate_tokens(x) > most, F.struct(F.concat(flushed, finer(x)).alias("done"), F.lit("").alias("open"))).otherwise(alone)
-        return F.when(T.estimate_tokens(head(longer)) <= target, F.struct(s["done"].alias("done"), longer.alias("open"))).otherwise(alone)
+def lines(text: str, keep_indent: bool = False) -> list[str]:
+    return [x.rstrip() if keep_indent else x.strip() for x in text.splitlines() if x.strip()]
 
-    return F.aggregate(parts, start, step, lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.array_append(s["done"], head(s["open"]))))
 
+def hard_split(text: str, chars: int) -> list[str]:
+    return [x for i in range(0, len(text), chars) if (x := text[i:i + chars].strip())]
 
-def split_text(c: Column, target: int, most: int) -> Column:
+
+def packed(parts: list[str], target: int, joiner: str, most: int | None = None, finer: Callable[[str], list[str]] | None = None, frame: str = "") -> list[str]:
+    """Greedy packing of non-blank texts: joined as long as the estimate stays within ``target``.
+
+    A part over ``most`` on its own is replaced by ``finer`` of it. ``frame`` is put before each pack and counts for its size.
+    """
+    out, held, length = [], [], 0
+    head = frame + joiner if frame else ""
+
+    def flush() -> None:
+        nonlocal held, length
+        if held:
+            out.append(head + joiner.join(held))
+        held, length = [], 0
+
+    for x in parts:
+        longer = length + (len(joiner) if held else 0) + len(x)
+        if -(-(len(head) + longer) // 4) <= target:
+            held.append(x)
+            length = longer
+            continue
+        flush()
+        if most is not None and size(x) > most:
+            out += finer(x)
+        else:
+            held, length = [x], len(x)
+    flush()
+    return out
+
+
+def split_text(text: str, target: int, most: int) -> list[str]:
     """A text over ``most`` as packs of sentences, sentences over ``most`` cut hard; else the text itself."""
-    parts = T.sentences(c)
-    cut = packed(parts, target, " ", most, lambda x: T.hard_split(x, most * 4))
-    return F.when(T.estimate_tokens(c) <= most, F.array(c)).when(F.size(parts) == 0, T.hard_split(c, most * 4)).otherwise(cut)
+    if size(text) <= most:
+        return [text]
+    parts = sentences(text)
+    return packed(parts, target, " ", most, lambda x: hard_split(x, most * 4)) if parts else hard_split(text, most * 4)
 
 
-def with_overlap(texts: Column, tokens: int, most: int) -> Column:
+def with_overlap(texts: list[str], tokens: int, most: int) -> list[str]:
     """Each text but the first with the end of the one before in front, where it then stays within ``most``."""
-    if tokens <= 0:
-        return texts
+    out = texts[:1]
+    for before, x in zip(texts, texts[1:]):
+        tail = before[-tokens * 4:].strip() if tokens > 0 else ""
+        longer = f"{tail}\n\n{x}"
+        out.append(longer if tail and size(longer) <= most else x)
+    return out
 
-    def joined(x: Column, i: Column) -> Column:
-        tail = T.strip(F.right(F.element_at(texts, i), F.lit(tokens * 4)))
-        longer = F.concat(tail, F.lit("\n\n"), x)
-        return F.when((i > 0) & (tail != "") & (T.estimate_tokens(longer) <= most), longer).otherwise(x)
 
-    # for the first, element 0 would be an error: it is looked up as element 1 and not used
-    return F.transform(texts, lambda x, i: F.when(i == 0, x).otherwise(joined(x, F.greatest(i, F.lit(1)))))
+def table_split(text: str, target: int) -> list[str]:
+    """Packs of rows, each below the table's first two lines; tables of fewer than three lines stay whole."""
+    rows = lines(text)
+    return packed(rows[2:], target, "\n", frame="\n".join(rows[:2])) if len(rows) > 2 else [text.strip()]
 
 
-def table_split(c: Column, target: int) -> Column:
-    """Packs of rows, each below the table's first two lines; tables of fewer than three lines stay whole."""
-    rows = T.lines(c)
-    frame = F.concat(F.element_at(rows, 1), F.lit("\n"), F.element_at(rows, 2))
-    cut = packed(F.slice(rows, 3, F.greatest(F.size(rows) - 2, F.lit(0))), target, "\n", frame=frame)
-    return F.when(F.size(rows) < 3, F.array(T.strip(c))).otherwise(cut)
+def pieces(text: str, kind: str, limits: Limits) -> list[str]:
+    """Texts of a parent's children."""
+    target, most = limits.child_target, limits.child_max
+    if kind == "formula" or size(text) <= most:
+        return [text]
+    if kind in ("narrative_section", "paragraph", "mixed"):
+        return with_overlap(packed(paragraphs(text), target, "\n\n", most, lambda x: split_text(x, target, most)), limits.overlap, most)
+    if kind == "table":
+        return table_split(text, target)
+    if kind in ("code", "form"):
+        return packed(lines(text, kind == "code"), target, "\n")
+    return split_text(text, target, most)
 
 
-PARENT = "doc_id string, pos int, first_element string, element_ids array<string>, element_types array<string>, page_no int, parent_type string, title_context array<string>, text string, oversized boolean"
+#: What a parent tells of itself; a standalone parent takes its element's own values where it has them.
+METADATA = "source_element_type string, element_count int, element_types array<string>, docling_class string, caption_text string, num_rows int, num_cols int, docling_level int"
+PARENT = "doc_id string, pos int, split_index int, split_count int, element_ids array<string>, element_types array<string>, page_no int, parent_type string, title_context array<string>, named string, text string, metadata string"
 
 
 def parents(elements: DataFrame, limits: Limits, strict: bool = False) -> DataFrame:
@@ -88,24 +136,28 @@ def parents(elements: DataFrame, limits: Limits, strict: bool = False) -> DataFr
 
     Headings close the open parent and set the title path, special elements stand alone, a narrative element over the
     limit is cut by sentences, all others are collected up to the target. One document is read in order by one task; its
-    elements must fit there. A document without any parent has no row, or fails if ``strict``.
+    elements must fit there. A document without any parent has no row, or fails if ``strict``. A column ``metadata`` (struct) of the
+    elements, if there is one, goes into that of standalone parents and overrides its defaults.
     """
     rows = elements.where("reject_reason is null")
+    own = (F.to_json("metadata") if "metadata" in elements.columns else F.lit(None).cast("string")).alias("metadata")
     kept = rows.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "element_id", "element_type", "level", "page_no", "normalized_text"))).alias("list"))
-
-    def size(text: str) -> int:
-        return -(-len(text) // 4) if text.strip() else 0
+        F.array_sort(F.collect_list(F.struct("pos", "element_id", "element_type", "level", "page_no", "normalized_text", own))).alias("list"))
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for doc, items in zip(frame["doc_id"], frame["list"]):
-                start, path, held, text = len(out), [], [], ""
+                start, nth, path, held, text = len(out), 0, [], [], ""
 
-                def emit(group, kind, body, big=False):
+                def emit(group, kind, body, parts=None, meta=None):
+                    nonlocal nth
                     page = next((int(e["page_no"]) for e in group if e["page_no"] is not None), None)
-                    out.append((doc, len(out) - start, group[0]["element_id"], [e["element_id"] for e in group], [e["element_type"] for e in group], page, kind, list(path), body, big))
+                    ids, types = [e["element_id"] for e in group], [e["element_type"] for e in group]
+                    told = json.dumps(meta or {"element_count": len(group), "element_types": types})
+                    for i, part in enumerate(parts or [body]):
+                        out.append((doc, nth, i, len(parts or [body]), ids, types, page, kind, list(path), f"{i}|{part}" if parts else part, part, told))
+                    nth += 1
 
                 for e in items:
                     body, kind = e["normalized_text"].strip(), e["element_type"]
@@ -117,9 +169,9 @@ def parents(elements: DataFrame, limits: Limits, strict: bool = False) -> DataFr
                     if kind in HEADINGS:
                         path = path[:max(1, e["level"] or 1) - 1] + [body]
                     elif not narrative:
-                        emit([e], kind, body)
+                        emit([e], kind, body, meta={"source_element_type": kind, "element_count": 1} | json.loads(e["metadata"] or "{}"))
                     elif big:
-                        emit([e], "narrative_section", e["normalized_text"], True)
+                        emit([e], "narrative_section", None, split_text(e["normalized_text"], limits.parent_target, limits.parent_max))
                     else:
                         held, text = held + [e], body if not text else f"{text}\n\n{body}"
                         if size(text) >= limits.parent_target:
@@ -132,25 +184,25 @@ def parents(elements: DataFrame, limits: Limits, strict: bool = False) -> DataFr
             yield pd.DataFrame(out, columns=[x.split()[0] for x in PARENT.split(", ")]).astype({"page_no": "Int32"})
 
     found = kept.mapInPandas(scan, PARENT)
-    cut = F.when(F.col("oversized"), split_text(F.col("text"), limits.parent_target, limits.parent_max)).otherwise(F.array("text"))
-    found = found.select(*[c for c in found.columns if c != "text"], F.size(cut).alias("split_count"), F.posexplode(cut).alias("split_index", "text"))
-    named = F.when(F.col("oversized"), F.concat(F.col("split_index").cast("string"), F.lit("|"), "text")).otherwise(F.col("text"))
-    payload = F.concat_ws("|", "doc_id", F.array_join("element_ids", "|"), F.substring(named, 1, 200))
-    return found.select(F.sha2(payload, 256).alias("parent_id"), "doc_id", "pos", "split_index", "split_count", "page_no", "element_ids", "element_types", "parent_type", "title_context", T.strip(F.col("text")).alias("text"))
+    payload = F.concat_ws("|", "doc_id", F.array_join("element_ids", "|"), F.substring("named", 1, 200))
+    return found.select(
+        F.sha2(payload, 256).alias("parent_id"), "doc_id", "pos", "split_index", "split_count", "page_no", "element_ids", "element_types", "parent_type", "title_context", T.strip(F.col("text")).alias("text"),
+        F.from_json("metadata", METADATA).alias("metadata"))
 
 
 def children(parent_chunks: DataFrame, limits: Limits) -> DataFrame:
     """Child chunks: a parent within the limit is one child; else narrative text goes by paragraphs and sentences with overlap, tables by rows, code and forms by lines, formulas stay whole."""
-    t, kind = F.col("text"), F.col("parent_type")
-    narrative = with_overlap(packed(T.paragraphs(t), limits.child_target, "\n\n", limits.child_max, lambda x: split_text(x, limits.child_target, limits.child_max)), limits.overlap, limits.child_max)
-    fits = (T.estimate_tokens(t) <= limits.child_max) | (kind == "formula")
-    texts = (
-        F.when(fits, F.array(t)).when(kind.isin("narrative_section", "paragraph", "mixed"), narrative).when(kind == "table", table_split(t, limits.child_target))
-        .when(kind == "code", packed(T.lines(t, keep_indent=True), limits.child_target, "\n")).when(kind == "form", packed(T.lines(t), limits.child_target, "\n"))
-        .otherwise(split_text(t, limits.child_target, limits.child_max))
-    )
-    rows = parent_chunks.where(~T.is_blank(t)).withColumn("_texts", texts).withColumn("_fits", fits)
-    rows = rows.select("parent_id", "doc_id", "parent_type", "page_no", "element_ids", "_fits", F.size("_texts").alias("child_count"), F.posexplode("_texts").alias("child_index", "text"))
-    return rows.where(~T.is_blank(t)).select(
+    t = F.col("text")
+    rows = parent_chunks.where(~T.is_blank(t)).select("parent_id", "doc_id", "parent_type", "page_no", "element_ids", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, kinds = b.column("text").to_pylist(), b.column("parent_type").to_pylist()
+            cut, whole = [pieces(x, k, limits) for x, k in zip(texts, kinds)], [k == "formula" or size(x) <= limits.child_max for x, k in zip(texts, kinds)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(whole, pa.bool_()), pa.array(cut, pa.list_(pa.string()))], [*b.schema.names[:-1], "fits", "texts"])
+
+    found = rows.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in rows.dtypes[:-1]) + ", fits boolean, texts array<string>")
+    found = found.select(*found.columns[:-1], F.size("texts").alias("child_count"), F.posexplode("texts").alias("child_index", "text")).where(~T.is_blank(t))
+    return found.select(
         sha256_id(F.col("parent_id"), F.col("child_index"), F.substring("text", 1, 200)).alias("child_id"), "parent_id", "doc_id", "page_no", "element_ids", "parent_type",
-        F.when(F.col("_fits"), "single_child_from_parent").otherwise("split_from_parent").alias("child_origin"), "child_index", "child_count", T.strip(t).alias("text"))
+        F.when(F.col("fits"), "single_child_from_parent").otherwise("split_from_parent").alias("child_origin"), "child_index", "child_count", T.strip(t).alias("text"))

@@ -28,7 +28,10 @@ def sha256_id(*parts: Column) -> Column:
 
 
 def blocks(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_id, pos, element_id, docling_class, level, page_no, raw_text): a Markdown text's blocks between empty lines as raw elements."""
+    """(doc_id, pos, element_id, docling_class, level, page_no, raw_text, metadata): a Markdown text's blocks between empty lines as raw elements.
+
+    A table's rows are its lines that hold a letter or digit or no dash, its columns the cells of its first line. Markdown has no pages and no captions.
+    """
     parts = documents.select(F.col(key).alias("doc_id"), F.posexplode(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"), r"\n{2,}")).alias("pos", "raw_text"))
     first = F.ltrim("raw_text")
     cls = (
@@ -37,11 +40,23 @@ def blocks(documents: DataFrame, key: str, text: str) -> DataFrame:
     )
     level = F.greatest(F.length(F.regexp_extract(first, "^(#+)", 1)), F.lit(1))
     raw = F.when(cls.isin("TitleItem", "SectionHeaderItem"), F.regexp_replace(first, rf"^#+{WS}*", "")).otherwise(F.col("raw_text"))
-    return parts.select("doc_id", "pos", F.format_string("el_%06d", "pos").alias("element_id"), cls.alias("docling_class"), level.alias("level"), F.lit(None).cast("int").alias("page_no"), raw.alias("raw_text"))
+    rows = F.filter(F.split("raw_text", "\n"), lambda x: ~is_blank(x))
+    inner = F.regexp_replace(F.element_at(rows, 1), rf"^{WS}*[|]|[|]{WS}*$", "")
+    table = lambda c: F.when(cls == "TableItem", c)
+    metadata = F.struct(
+        cls.alias("docling_class"), F.lit(None).cast("string").alias("caption_text"), table(F.size(F.filter(rows, lambda x: ~x.rlike(r"^[|:\- \t]*-[|:\- \t]*$")))).alias("num_rows"),
+        table(F.size(F.split(inner, "[|]"))).alias("num_cols"), level.alias("docling_level"))
+    return parts.select("doc_id", "pos", F.format_string("el_%06d", "pos").alias("element_id"), cls.alias("docling_class"), level.alias("level"), F.lit(None).cast("int").alias("page_no"), raw.alias("raw_text"), metadata.alias("metadata"))
+
+
+def with_provenance(elements: DataFrame, prov: str = "prov") -> DataFrame:
+    """``elements`` with ``page_no`` and ``bbox`` of the first entry of ``prov`` (array of page_no and bbox), null where there is none."""
+    first = F.try_element_at(prov, F.lit(1))
+    return elements.withColumns({"page_no": first["page_no"].cast("int"), "bbox": first["bbox"]}).drop(prov)
 
 
 def normalized(elements: DataFrame) -> DataFrame:
-    """Elements with ``element_type``, ``normalized_text`` and ``reject_reason``.
+    """Elements with ``element_type``, ``normalized_text`` and ``reject_reason``; other columns, such as bbox and metadata, stay.
 
     List groups carry no text of their own, and blank texts, before or after the repair, are of no use; both are rejected.
     """

@@ -60,3 +60,13 @@ def perplexity(line: Column) -> Column:
 def bench_speed(line: Column, kind: str) -> Column:
     """Eighth field of a bench table's line whose test is ``kind``, else null."""
     return F.when(line.contains(kind), F.trim(F.try_element_at(F.split(line, r"\|"), F.lit(8))))
+
+
+#: How a configuration names the types of numbers.
+DTYPES = {"float16": "float16", "fp16": "float16", "half": "float16", "bfloat16": "bfloat16", "bf16": "bfloat16", "float32": "float32", "fp32": "float32"}
+
+
+def with_dtype(config: Column, key: str = "bnb_4bit_compute_dtype") -> Column:
+    """A configuration (map of texts) with the type under ``key`` by its full name; without the key it stays as it is, an unknown type stays too."""
+    names = F.create_map(*[F.lit(x) for kv in DTYPES.items() for x in kv])
+    return F.transform_values(config, lambda k, v: F.when(k == key, F.coalesce(F.element_at(names, F.replace(v, F.lit("torch."), F.lit(""))), v)).otherwise(v))

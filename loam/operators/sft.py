@@ -29,6 +29,13 @@ def valid_json_example(v: Column) -> Column:
     return out
 
 
+def with_keys(answer: Column, **keys: Column) -> Column:
+    """Fields of a JSON object (as texts) with ``keys`` added, which replace fields of the same name; null for anything but an object."""
+    fields = F.when(F.ltrim(answer).startswith("{"), F.from_json(answer, "map<string,string>", {"mode": "PERMISSIVE"}))
+    own = F.map_filter(fields, lambda k, _: ~k.isin(*keys))
+    return F.map_concat(own, F.create_map(*[x for k, c in keys.items() for x in (F.lit(k), c.cast("string"))]))
+
+
 def valid_example(has: dict[str, Column] | None = None) -> Column:
     """The same for typed columns: none null and all long enough."""
     out = F.lit(True)
@@ -51,12 +58,22 @@ def decision_by_scores(*scores: Column) -> Column:
 
 
 def deduplicated(rows: DataFrame, position: Column) -> DataFrame:
-    """Cleaned rows with ``first``: the first of those with equal instruction, response and context stays, the others are rejects."""
+    """Cleaned rows with ``first``: the first of those with equal instruction, response and context stays, the others are rejects.
+
+    ``duplicate_flags`` tells the same by key alone, without moving texts.
+    """
     clean = rows.withColumns({c: clean_text(F.col(c)) for c in ("instruction", "context", "response")})
     key = F.sha2(F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in ("instruction", "response", "context")]), 256)
     return first_by_key(clean, key, position)
 
 
+def duplicate_flags(rows: DataFrame, key: str) -> DataFrame:
+    """(key, first) of each distinct ``key``, the smallest of those with equal cleaned texts being the first: digests are made before anything is shuffled."""
+    clean = [F.coalesce(clean_text(F.col(c)), F.lit("")) for c in ("instruction", "response", "context")]
+    digests = rows.select(key, F.sha2(F.concat_ws("|", *clean), 256).alias("_digest")).dropDuplicates([key])
+    return first_by_key(digests, F.col("_digest"), F.col(key)).select(key, "first")
+
+
 def split(rows: DataFrame, key: str, by: str = "challenge_type", seed: str = "42") -> DataFrame:
     """``rows`` with ``split``: per group, the first four fifths in random order are train, the rest val. A null group is ``Introuvable``."""
     grouped = rows.withColumn(by, F.coalesce(by, F.lit("Introuvable")))

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from loam.functions import layout
 from loam.functions import text as T
-from loam.operators import chunking, elements, evalops, generator, sft, taxonomy
+from loam.functions.tokenizer import Tokenizer
+from loam.operators import chunking, elements, evalops, generator, prompts, sft, taxonomy
 from loam.plans import sql as S
-from loam.session import table
+from loam.session import fresh_path, materialize, table
+from loam.sources import files
 
 WS = S.WS
 QUERIES, SQL = {}, {}
@@ -32,8 +34,14 @@ _AXES = ", ".join(taxonomy.AXES)
 _SFT = "(select distinct on (example_id) * from sft_examples order by example_id, ingested_at)"
 
 
-def _examples(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "sft_examples").dropDuplicates(["example_id"])
+def _literal(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _examples(spark: SparkSession, d: str, *columns) -> DataFrame:
+    """One row an example with the columns given, which are computed before rows that repeat an id are dropped, so that few bytes are shuffled."""
+    rows = table(spark, d, "sft_examples")
+    return (rows.select("example_id", *columns) if columns else rows).dropDuplicates(["example_id"])
 
 
 @query(f"select challenge_type, count(*) plans from ({_PRODUCT}) group by 1")
@@ -52,28 +60,66 @@ def plan_sample_20(spark, d):
     return sft.sample_per_group(plans, "plan_id", "challenge_type", 20).select("plan_id", "challenge_type")
 
 
-_TEMPLATE = "Domain {domain}, source {source}. Language: {language}. Difficulty: {difficulty}."
-_PHRASES = {"easy": "short sentences", "medium": "ordinary terms", "hard": "dense terms"}
+def _filled(template: str, spelled: dict[str, dict[str, str]] = {}, of: str = "") -> str:
+    """``template`` as an SQL text: names in braces are columns, some spelled as phrases."""
+    parts, rest = [], template
+    while "{" in rest:
+        before, rest = rest.split("{", 1)
+        name, rest = rest.split("}", 1)
+        c = "case when task_type = 'translate_en_to_fr' then 'Anglais' else 'Français' end" if name == "language" else f"coalesce({of}{name}, '')"
+        if name in spelled:
+            c = f"case {of}{name} {' '.join(f'when {_literal(k)} then {_literal(v)}' for k, v in spelled[name].items())} end"
+        parts += [_literal(before), c]
+    return " || ".join([*parts, _literal(rest)])
 
 
-@query("""select 'ctx_' || plan_id context_id, plan_id, 'Domain ' || domain_subarea || ', source ' || source_type || '. Language: '
-  || case when task_type = 'translate_en_to_fr' then 'Anglais' else 'Français' end || '. Difficulty: '
-  || case difficulty when 'easy' then 'short sentences' when 'medium' then 'ordinary terms' else 'dense terms' end || '.' prompt_text from plans""")
+@query(f"select 'ctx_' || plan_id context_id, plan_id, {_filled(prompts.CONTEXT, prompts.PHRASES)} prompt_text from plans")
 def plan_prompt_expand(spark, d):
-    p = table(spark, d, "plans")
-    prompt = taxonomy.fill(_TEMPLATE, domain=F.col("domain_subarea"), source=F.col("source_type"), language=taxonomy.source_language(F.col("task_type")), difficulty=taxonomy.phrase(F.col("difficulty"), _PHRASES))
-    return p.select(F.concat(F.lit("ctx_"), "plan_id").alias("context_id"), "plan_id", prompt.alias("prompt_text"))
+    return table(spark, d, "plans").select(F.concat(F.lit("ctx_"), "plan_id").alias("context_id"), "plan_id", prompts.context_prompt().alias("prompt_text"))
+
+
+@query(f"select plan_id, {_filled(prompts.EXAMPLE)} prompt_text from plans")
+def example_prompts(spark, d):
+    return table(spark, d, "plans").select("plan_id", prompts.example_prompt().alias("prompt_text"))
+
+
+_JUDGED = ", ".join(f"p.{a}" for a in taxonomy.AXES)
+
+
+@query(f"select example_id, {_filled(prompts.VERDICT)} prompt_text from (select e.example_id, e.instruction, e.context, e.response, {_JUDGED} from {_SFT} e join plans p using (plan_id))")
+def verdict_prompts(spark, d):
+    joined = taxonomy.with_plan(_examples(spark, d, "instruction", "context", "response", "plan_id"), table(spark, d, "plans"), strict=False)
+    return joined.select("example_id", prompts.verdict_prompt(of="plan_").alias("prompt_text"))
+
+
+_OBJECT = "case when ltrim(response, ' ')[:1] = '{' then try_cast(try_cast(response as json) as map(varchar, varchar)) end"
+
+
+@query(f"""select example_id, array_to_string(list_sort(list_distinct(map_keys(o) || ['plan_id', 'challenge_type'])), '|') fields, plan_id, challenge_type
+  from (select *, {_OBJECT} o from {_SFT}) where o is not null""")
+def answer_keys(spark, d):
+    """JSON answers with the plan's keys attached."""
+    made = sft.with_keys(F.col("response"), plan_id=F.col("plan_id"), challenge_type=F.col("challenge_type"))
+    rows = _examples(spark, d, made.alias("o")).where("o is not null")
+    return rows.select("example_id", F.array_join(F.array_sort(F.map_keys("o")), "|").alias("fields"), F.col("o")["plan_id"].alias("plan_id"), F.col("o")["challenge_type"].alias("challenge_type"))
 
 
 @query(f"select e.example_id, p.task_type, p.output_format from {_SFT} e join plans p using (plan_id)")
 def plan_join(spark, d):
-    joined = taxonomy.with_plan(_examples(spark, d).select("example_id", "plan_id"), table(spark, d, "plans"), strict=False)
+    joined = taxonomy.with_plan(_examples(spark, d, "plan_id"), table(spark, d, "plans"), strict=False)
     return joined.select("example_id", F.col("plan_task_type").alias("task_type"), F.col("plan_output_format").alias("output_format"))
 
 
 @query(f"""select example_id, coalesce(length(instruction) >= 5 and length(context) >= 10 and length(response) >= 5 and plan_id is not null and challenge_type is not null, false) valid from {_SFT}""")
 def sft_validate(spark, d):
-    return _examples(spark, d).select("example_id", sft.valid_example().alias("valid"))
+    return _examples(spark, d, sft.valid_example().alias("valid"))
+
+
+@query(f"""select example_id, coalesce(length(instruction) >= 5 and length(context) >= 10 and length(response) >= 5 and plan_id is not null and challenge_type is not null, false) valid from {_SFT}""")
+def sft_validate_lines(spark, d):
+    """The same over the examples as JSON lines; null fields are missing there."""
+    line = F.to_json(F.struct("instruction", "context", "response", "plan_id", "challenge_type"))
+    return _examples(spark, d, sft.valid_json_example(F.try_parse_json(line)).alias("valid"))
 
 
 _LINES = (
@@ -117,12 +163,12 @@ _DEDUP = f"""select example_id, row_number() over (partition by sha256({S.clean(
 
 @query(f"select example_id from ({_DEDUP}) where r = 1")
 def dedup_keep(spark, d):
-    return sft.deduplicated(_examples(spark, d), F.col("example_id")).where("first").select("example_id")
+    return sft.duplicate_flags(table(spark, d, "sft_examples"), "example_id").where("first").select("example_id")
 
 
 @query(f"select example_id from ({_DEDUP}) where r > 1")
 def dedup_rejects(spark, d):
-    return sft.deduplicated(_examples(spark, d), F.col("example_id")).where("not first").select("example_id")
+    return sft.duplicate_flags(table(spark, d, "sft_examples"), "example_id").where("not first").select("example_id")
 
 
 _SPLIT = f"""select example_id, c challenge_type, case when row_number() over (partition by c order by sha256('42|' || example_id), example_id) <= (4 * count(*) over (partition by c)) // 5 then 'train' else 'val' end split
@@ -131,7 +177,7 @@ _SPLIT = f"""select example_id, c challenge_type, case when row_number() over (p
 
 @query(_SPLIT)
 def split_train_val(spark, d):
-    return sft.split(_examples(spark, d).select("example_id", "challenge_type"), "example_id").select("example_id", "challenge_type", "split")
+    return sft.split(_examples(spark, d, "challenge_type"), "example_id").select("example_id", "challenge_type", "split")
 
 
 @query(f"select challenge_type, split, count(*) examples from ({_SPLIT}) group by all")
@@ -141,12 +187,12 @@ def split_counts(spark, d):
 
 @query(f"""select count(*) examples, avg(length(coalesce(instruction, ''))) mean_instruction, avg(length(coalesce(context, ''))) mean_context, avg(length(coalesce(response, ''))) mean_response from {_SFT}""")
 def dataset_stats(spark, d):
-    return sft.statistics(_examples(spark, d))
+    return sft.statistics(_examples(spark, d, "instruction", "context", "response"))
 
 
 @query(f"select challenge_type, count(*) examples from {_SFT} group by 1")
 def challenge_counts(spark, d):
-    return _examples(spark, d).groupBy("challenge_type").agg(F.count("*").alias("examples"))
+    return _examples(spark, d, "challenge_type").groupBy("challenge_type").agg(F.count("*").alias("examples"))
 
 
 @query(f"select example_id, context || chr(10) || chr(10) || instruction prompt, response completion from {_SFT}")
@@ -159,17 +205,33 @@ _LENGTHS = f"""select {S.tokens("context || chr(10) || chr(10) || instruction")}
 
 @query(f"""select avg(p + r) mean_tokens, avg(p) mean_tokens_prompt, avg(r) mean_tokens_response, max(p + r) max_nb_tokens, max(p) max_nb_tokens_prompt, max(r) max_nb_tokens_response from ({_LENGTHS})""")
 def token_stats(spark, d):
-    return sft.token_summary(sft.token_lengths(sft.formatted(_examples(spark, d))))
+    return sft.token_summary(sft.token_lengths(sft.formatted(_examples(spark, d, "instruction", "context", "response"))))
+
+
+@query()
+def token_stats_bpe(spark, d):
+    """The same with the tokens of a public vocabulary."""
+    code, rows = Tokenizer(spark), sft.formatted(table(spark, d, "sft_examples"))
+    counted = rows.select("example_id", code.count(F.col("prompt")).alias("nb_tokens_prompt"), code.count(F.col("completion")).alias("nb_tokens_response")).dropDuplicates(["example_id"])
+    return sft.token_summary(counted.withColumn("nb_tokens", F.col("nb_tokens_prompt") + F.col("nb_tokens_response")))
+
+
+@query("select doc_id, text, true same from documents")
+def tokenizer_round_trip(spark, d):
+    """Each text encoded and decoded again: byte-level tokens keep every sign."""
+    code = Tokenizer(spark)
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("raw"), code.encode(F.col("text")).alias("tokens"))
+    return docs.select("doc_id", code.decode(F.col("tokens")).alias("text"), "raw").select("doc_id", "text", F.col("text").eqNullSafe(F.col("raw")).alias("same"))
 
 
 @query(f"select example_id from {_SFT} order by sha256('42|' || example_id), example_id limit 5")
 def review_sample(spark, d):
-    return sft.review_sample(_examples(spark, d).select("example_id"), "example_id")
+    return sft.review_sample(table(spark, d, "sft_examples").select("example_id").distinct(), "example_id")
 
 
 @query(f"select example_id from (select example_id, row_number() over (order by example_id) r, count(*) over () n from {_SFT}) where r <= (60 * n) // 100")
 def dry_run_head(spark, d):
-    return sft.head_share(_examples(spark, d).select("example_id"), "example_id")
+    return sft.head_share(table(spark, d, "sft_examples").select("example_id").distinct(), "example_id")
 
 
 #: Inputs that exercise each step, and what each type must make of them.
@@ -194,10 +256,6 @@ def _layout(kind, spark, d):
     return spark.createDataFrame([(kind, _SAMPLE)], "kind string, raw string").select("kind", layout.repair(F.col("raw"), kind).alias("text"))
 
 
-def _literal(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
 for _kind, _text in _GOLDEN.items():
     QUERIES[f"layout_{_kind}"] = partial(_layout, _kind)
     SQL[f"layout_{_kind}"] = f"select '{_kind}' kind, {_literal(_text)} as text"
@@ -289,7 +347,19 @@ _FLAT = "parent_id, doc_id, pos, split_index, split_count, page_no, array_to_str
 
 @query(S.parents(S.ELEMENTS) + f" select {_FLAT} from parents")
 def parents(spark, d):
-    return _flat(chunking.parents(_normalized(spark, d), _limits(spark, d)), "element_ids", "element_types", "title_context")
+    return _flat(chunking.parents(_normalized(spark, d), _limits(spark, d)), "element_ids", "element_types", "title_context").drop("metadata")
+
+
+@query(S.ELEMENT_METADATA)
+def element_metadata(spark, d):
+    return _normalized(spark, d).select("doc_id", "pos", "docling_class", "metadata.num_rows", "metadata.num_cols", "metadata.docling_level")
+
+
+@query(S.parents(S.ELEMENTS) + f""" select p.parent_id, len(p.element_ids)::int element_count, case when p.parent_type <> 'narrative_section' then p.parent_type end source_element_type, m.docling_class, m.num_rows, m.num_cols
+  from parents p left join ({S.ELEMENT_METADATA}) m on p.parent_type <> 'narrative_section' and m.doc_id::varchar = p.doc_id and printf('el_%06d', m.pos) = p.element_ids[1]""")
+def parent_metadata(spark, d):
+    rows = chunking.parents(_normalized(spark, d), _limits(spark, d))
+    return rows.select("parent_id", "metadata.element_count", "metadata.source_element_type", "metadata.docling_class", "metadata.num_rows", "metadata.num_cols")
 
 
 @query(S.parents(S.ELEMENTS) + " select parent_id, array_to_string(title_context, ' > ') path from parents")
@@ -316,7 +386,7 @@ def _again(spark, d):
 
 @query(S.parents(_AGAIN) + f" select {_FLAT} from parents")
 def parents_rebuilt(spark, d):
-    return _flat(chunking.parents(_again(spark, d), _limits(spark, d)), "element_ids", "element_types", "title_context")
+    return _flat(chunking.parents(_again(spark, d), _limits(spark, d)), "element_ids", "element_types", "title_context").drop("metadata")
 
 
 _CHILD = "child_id, parent_id, doc_id, page_no, array_to_string(element_ids, '|') element_ids, parent_type, child_origin, child_index, child_count, text"
@@ -412,5 +482,65 @@ def generated_verdicts(spark, d):
 
 @query(f"select example_id, 'train' part from {_SFT} where split_name = 'train' union all select example_id, 'held out' from {_SFT} where split_name <> 'train'")
 def bag_union(spark, d):
-    e = _examples(spark, d)
+    e = _examples(spark, d, "split_name")
     return e.where("split_name = 'train'").select("example_id", F.lit("train").alias("part")).unionByName(e.where("split_name <> 'train'").select("example_id", F.lit("held out").alias("part")))
+
+
+_PLAN_COLUMNS = "plan_id, " + _AXES
+_PLAN_SCHEMA = ", ".join(f"{c} string" for c in _PLAN_COLUMNS.split(", "))
+
+
+@query(f"select {_PLAN_COLUMNS} from plans")
+def jsonl_round_trip(spark, d):
+    path = fresh_path(spark, "plans.jsonl")
+    files.write_jsonl(table(spark, d, "plans"), path)
+    return files.read_jsonl(spark, path, _PLAN_SCHEMA)
+
+
+@query(f"select {_PLAN_COLUMNS} from plans")
+def json_document_round_trip(spark, d):
+    path = fresh_path(spark, "plans.json")
+    files.write_json(table(spark, d, "plans"), path, "plan_id")
+    return files.read_json(spark, path, _PLAN_SCHEMA)
+
+
+@query("select result_id, prompt, reponse from (select distinct on (result_id) * from baseline_result)")
+def csv_round_trip(spark, d):
+    """Answers in two parts, the second appended; quotes and line feeds within fields survive."""
+    path = fresh_path(spark, "answers.csv")
+    rows = materialize(table(spark, d, "baseline_result").select("result_id", "prompt", "reponse").dropDuplicates(["result_id"]), "rows")
+    files.write_csv(rows.where("result_id % 2 = 0"), path)
+    files.write_csv(rows.where("result_id % 2 = 1"), path, append=True)
+    return files.read_csv(spark, path, "result_id bigint, prompt string, reponse string")
+
+
+@query("select plan_id, case length(plan_id || difficulty) % 3 when 0 then 'ACCEPT' when 1 then 'REJECT' else 'REVIEW' end decision from plans")
+def routed_round_trip(spark, d):
+    """Verdicts to one folder a decision, and back from all of them."""
+    path = fresh_path(spark, "routed")
+    files.write_routed(generated_verdicts(spark, d), path, "decision")
+    return spark.read.schema("plan_id string, decision string").json(path)
+
+
+@query("select run_id || '.md' file_name, length(t) n_chars, t markdown from (select run_id, string_agg(coalesce(a.response, ''), chr(10) || chr(10) order by a.id) t from (select run_id, unnest(baseline_test) a from (select distinct on (run_id) * from eval_lora)) group by 1)")
+def document_files(spark, d):
+    """Each run's answers as a Markdown file, read back by the document source."""
+    path = fresh_path(spark, "documents")
+    runs = table(spark, d, "eval_lora").dropDuplicates(["run_id"]).select("run_id", F.array_join(F.transform(F.array_sort(F.transform("baseline_test", lambda x: F.struct(x["id"].alias("id"), F.coalesce(x["response"], F.lit("")).alias("r")))), lambda x: x["r"]), "\n\n").alias("text"))
+    runs.repartition("run_id").write.partitionBy("run_id").option("lineSep", "\x00").text(path)
+    found = files.read_documents(spark, f"{path}/*/*", lambda _, content: content.decode("utf-8").rstrip("\x00"))
+    name = F.concat(F.url_decode(F.regexp_extract("source_path", "run_id=([^/]+)/", 1)), F.lit(".md"))
+    return found.select(name.alias("file_name"), "metadata.n_chars", "markdown")
+
+
+@query("select * from (values ('a', 'bfloat16'), ('b', 'float16'), ('c', null), ('d', 'int8')) t(name, dtype)")
+def config_dtype(spark, d):
+    rows = [("a", {"bnb_4bit_compute_dtype": "torch.bfloat16"}), ("b", {"bnb_4bit_compute_dtype": "fp16", "x": "1"}), ("c", {"load_in_8bit": "true"}), ("d", {"bnb_4bit_compute_dtype": "int8"})]
+    df = spark.createDataFrame(rows, "name string, config map<string,string>")
+    return df.select("name", F.try_element_at(evalops.with_dtype(F.col("config")), F.lit("bnb_4bit_compute_dtype")).alias("dtype"))
+
+
+@query("select * from (values ('a', 3, '0.1|0.2'), ('b', null, null)) t(element_id, page_no, bbox)")
+def element_provenance(spark, d):
+    rows = spark.createDataFrame([("a", [(3, [0.1, 0.2]), (4, [0.5])]), ("b", [])], "element_id string, prov array<struct<page_no:int,bbox:array<double>>>")
+    return elements.with_provenance(rows).select("element_id", "page_no", F.array_join(F.col("bbox").cast("array<string>"), "|").alias("bbox"))

@@ -132,6 +132,16 @@ ELEMENTS = f"""
           select doc_id, unnest(parts) part, generate_subscripts(parts, 1)::int - 1 pos from (
             select doc_id, string_split_regex(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'), '\\n{{2,}}') parts from documents where doc_id is not null)))))))"""
 
+_SEP = r"^[|:\- \t]*-[|:\- \t]*$"
+#: Metadata of the elements of ``ELEMENTS``, by doc_id and pos.
+ELEMENT_METADATA = f"""
+  select doc_id, pos, cls docling_class, case when cls = 'TableItem' then len(list_filter(rows_, lambda x: not regexp_matches(x, '{_SEP}')))::int end num_rows,
+    case when cls = 'TableItem' then len(string_split(regexp_replace(regexp_replace(rows_[1], '^{WS}*[|]', ''), '[|]{WS}*$', ''), '|'))::int end num_cols, level docling_level
+  from (select *, list_filter(string_split(part, chr(10)), lambda x: not {blank('x')}) rows_, greatest(1, length(regexp_extract(f, '^(#+)', 1))) level
+    from (select *, {_CLASS} cls from (select *, ltrim(part, ' ') f from (
+      select doc_id, unnest(parts) part, generate_subscripts(parts, 1)::int - 1 pos from (
+        select doc_id, string_split_regex(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'), '\\n{{2,}}') parts from documents where doc_id is not null)))))"""
+
 # Parents of ordered elements.
 
 _HEADINGS = ", ".join(f"'{k}'" for k in elements.HEADINGS)

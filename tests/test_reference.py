@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from loam.functions import layout
 from loam.functions import text as T
-from loam.operators import chunking, elements, evalops, generator, sft, taxonomy
+from loam.operators import chunking, elements, evalops, generator, prompts, sft, taxonomy
 from loam.sources import files
 from loam.streaming.batches import run_batches
 
@@ -114,3 +114,74 @@ def test_repairs_and_unicode_run_on_the_texts_of_documents(spark, tmp_path):
         assert got[1] == golden and got[2] == "" and len(got) == 3, kind
     got = dict(reference.QUERIES["unicode_normalize_documents"](spark, str(tmp_path)).collect())
     assert got[2] == "" and got[3] == "a bc fin...2"
+
+
+def test_prompts_carry_their_axes_and_fail_for_an_unknown_value(spark):
+    plan = {a: v[0] for a, v in taxonomy.AXES.items()}
+    df = spark.createDataFrame([(*plan.values(), "do", None, "done")], ", ".join(f"{c} string" for c in [*plan, "instruction", "context", "response"]))
+    row = df.select(prompts.context_prompt().alias("c"), prompts.example_prompt().alias("e"), prompts.verdict_prompt().alias("v")).first()
+    assert prompts.PHRASES["difficulty"][plan["difficulty"]] in row.c and "Anglais" in row.c and "{" not in row.c
+    assert all(plan[a] in row.e for a in ("task_type", "output_format", "constraint_type")) and all(v in row.v for v in plan.values()) and "do" in row.v
+    with pytest.raises(Exception, match="no phrase for other"):
+        df.withColumn("difficulty", F.lit("other")).select(prompts.context_prompt()).collect()
+
+
+def test_attached_keys_replace_fields_of_the_same_name(spark):
+    rows = [('{"a": 1, "plan_id": "old"}',), ("text",), (None,), ('{"a"',), ("{}",)]
+    got = spark.createDataFrame(rows, "s string").select(sft.with_keys(F.col("s"), plan_id=F.lit("p"), extra=F.lit(None)).alias("m")).collect()
+    assert got[0].m == {"a": "1", "plan_id": "p", "extra": None} and got[1].m is None and got[2].m is None and got[4].m == {"plan_id": "p", "extra": None}
+
+
+def test_duplicate_flags_keep_the_smallest_id_of_equal_texts(spark):
+    rows = [(3, "a ", None, "r"), (2, " a", "", "r"), (2, " a", "", "r"), (5, "b", "", "r")]
+    flags = sft.duplicate_flags(spark.createDataFrame(rows, "example_id bigint, instruction string, context string, response string"), "example_id")
+    assert sorted(map(tuple, flags.collect())) == [(2, True), (3, False), (5, True)]
+
+
+def test_json_document_csv_and_document_files(spark, tmp_path):
+    df = spark.createDataFrame([(2, "é \"q\" \n x "), (1, None), (3, "")], "id int, s string")
+    files.write_json(df, f"file://{tmp_path}/j", "id")
+    assert [tuple(r) for r in files.read_json(spark, f"file://{tmp_path}/j", "id int, s string").collect()] == [(1, None), (2, "é \"q\" \n x "), (3, "")]
+    files.write_csv(df, f"file://{tmp_path}/c")
+    files.write_csv(df.where("id = 2"), f"file://{tmp_path}/c", append=True)
+    back = files.read_csv(spark, f"file://{tmp_path}/c", "id int, s string")
+    assert sorted(map(tuple, back.collect()), key=str) == [(1, None), (2, "é \"q\" \n x "), (2, "é \"q\" \n x "), (3, "")]
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "a.md").write_text("# é", encoding="utf-8")
+    doc = files.read_documents(spark, f"file://{tmp_path}/docs").first()
+    assert (doc.markdown, doc.metadata.file_name, doc.metadata.n_chars) == ("# é", "a.md", 3)
+    with pytest.raises(Exception, match="a document is empty"):
+        files.read_documents(spark, f"file://{tmp_path}/docs", lambda path, content: "").collect()
+
+
+def test_parents_tell_their_metadata_and_strict_documents_fail(spark):
+    schema = "doc_id string, pos int, element_id string, element_type string, level int, page_no int, normalized_text string, reject_reason string, metadata struct<element_count:int,caption_text:string,num_rows:int>"
+    el = spark.createDataFrame([("d", 0, "t", "table", 1, 2, "|a|", None, (None, "cap", 4)), ("d", 1, "f", "form", 1, 2, "x: y", None, (7, None, None)), ("d", 2, "p", "paragraph", 1, None, "text", None, None)], schema)
+    limits = chunking.Limits(40, 60, 5, 20, 30, 5, 4)
+    got = {r.parent_type: r.metadata for r in chunking.parents(el, limits).collect()}
+    assert (got["table"].element_count, got["table"].caption_text, got["table"].num_rows, got["table"].source_element_type) == (1, "cap", 4, "table")
+    assert got["form"].element_count == 7 and got["narrative_section"].element_count == 1 and got["narrative_section"].element_types == ["paragraph"]
+    with pytest.raises(Exception, match="no parent chunk"):
+        chunking.parents(el.withColumn("element_type", F.lit("title")), limits, strict=True).collect()
+    for bad in ((60, 40, 5, 20, 30, 5, 0), (40, 60, 5, 20, 30, 5, 30), (40, 60, 0, 20, 30, 5, 0)):
+        with pytest.raises(ValueError):
+            chunking.Limits(*bad)
+    assert chunking.parents(el.limit(0), limits).count() == 0 and chunking.children(chunking.parents(el.limit(0), limits), limits).count() == 0
+
+
+def test_a_parent_that_only_its_blanks_make_too_long_counts_as_split(spark):
+    limits = chunking.Limits(40, 60, 5, 20, 30, 5, 0)
+    rows = spark.createDataFrame([("p", "d", "mixed", None, ["e"], "w" * 119 + "  ")], "parent_id string, doc_id string, parent_type string, page_no int, element_ids array<string>, text string")
+    got = chunking.children(rows, limits).first()
+    assert (got.child_origin, got.child_count, got.text) == ("split_from_parent", 1, "w" * 119)
+
+
+def test_tokens_decode_to_the_text(spark):
+    import os
+
+    from loam.functions.tokenizer import VOCABULARY, Tokenizer
+    if not os.path.exists(VOCABULARY):
+        pytest.skip("no vocabulary file here")
+    code = Tokenizer(spark)
+    df = spark.createDataFrame([("héllo  wörld 🙂\n",), ("",), (None,)], "s string").select("s", code.encode(F.col("s")).alias("t"), code.count(F.col("s")).alias("n"))
+    assert [(r.s, r.back, r.n == len(r.t or [])) for r in df.select("*", code.decode(F.col("t")).alias("back")).collect()] == [("héllo  wörld 🙂\n", "héllo  wörld 🙂\n", True), ("", "", True), (None, None, True)]
