@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -13,12 +12,10 @@ from pyspark.sql import functions as F
 
 from loam.functions.words import words_text
 
-#: Words of a search pattern and of the block that decides the shift.
-PATTERN, BLOCK = 5, 2
+#: Words of a search pattern, which is also the least run of words that counts, and of the block that decides the shift.
+PATTERN, BLOCK = 3, 2
 #: Room for words that were put in: one place is a run of this many times the item's words, and ``EDGE`` more.
 SLACK, EDGE = 1.25, 4
-#: Neighbouring places that are first measured as one.
-GROUP = 8
 
 
 class Patterns:
@@ -26,145 +23,112 @@ class Patterns:
 
     def __init__(self, items: list[tuple[int, list[str]]]):
         self.items = dict(items)
-        self.shift: dict[tuple[str, ...], int] = {}
-        self.bucket: dict[tuple[str, ...], list[tuple[tuple[str, ...], int, int]]] = defaultdict(list)
-        self.short = {}
-        for key, words in items:
-            if len(words) < PATTERN:
-                self.short[key] = tuple(words)
-            for at in range(len(words) - PATTERN + 1):
-                pattern = tuple(words[at:at + PATTERN])
-                for end in range(BLOCK, PATTERN + 1):
-                    block = pattern[end - BLOCK:end]
-                    self.shift[block] = min(self.shift.get(block, PATTERN), PATTERN - end)
-                self.bucket[pattern[-BLOCK:]].append((pattern[:-BLOCK], key, at))
-        self.masks = {}
-        for key, words in items:
-            mask: dict[str, int] = defaultdict(int)
-            for i, w in enumerate(words):
-                mask[w] |= 1 << i
-            self.masks[key] = dict(mask)
-        # all items side by side in whole bytes, with eight free bits between them, one for each addition that carries over
+        self.short = {key: tuple(words) for key, words in items if len(words) < PATTERN}
         self.keys = [key for key, words in items if len(words) >= PATTERN]
         self.sizes = np.array([len(self.items[key]) for key in self.keys], int)
-        self.starts = np.r_[0, np.cumsum((self.sizes + 15) // 8)].astype(int)
-        joint: dict[str, int] = defaultdict(int)
-        self.full = 0
-        for key, start, n in zip(self.keys, self.starts.tolist(), self.sizes.tolist()):
-            self.full |= ((1 << n) - 1) << 8 * start
-            for w, m in self.masks[key].items():
-                joint[w] |= m << 8 * start
-        self.joint = dict(joint)
-        self.room = int(max(self.sizes, default=0) * SLACK) + EDGE
-
-    def occurrences(self, words: list[str]) -> dict[int, list[tuple[int, int]]]:
-        """For each item, (place in the document, place in the item) of its patterns that occur."""
-        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.starts = np.r_[0, np.cumsum(self.sizes)].astype(int)
+        places: dict[tuple[str, ...], list[tuple[int, int]]] = defaultdict(list)
+        for nth, key in enumerate(self.keys):
+            words = self.items[key]
+            for at in range(len(words) - PATTERN + 1):
+                places[tuple(words[at:at + PATTERN])].append((nth, at))
+        self.shift: dict[tuple[str, ...], int] = {}
+        self.bucket: dict[tuple[str, ...], dict[tuple[str, ...], int]] = defaultdict(dict)
+        self.at: list[dict[int, list[int]]] = []
+        self.covers: list[np.ndarray] = []
+        for pattern, found in places.items():
+            for end in range(BLOCK, PATTERN + 1):
+                block = pattern[end - BLOCK:end]
+                self.shift[block] = min(self.shift.get(block, PATTERN), PATTERN - end)
+            self.bucket[pattern[-BLOCK:]][pattern[:-BLOCK]] = len(self.at)
+            where: dict[int, list[int]] = defaultdict(list)
+            for nth, at in found:
+                where[nth].append(at)
+            self.at.append(dict(where))
+            self.covers.append(np.array([self.starts[nth] + at + k for nth, at in found for k in range(PATTERN)], int))
+
+    def occurrences(self, words: list[str]) -> list[tuple[int, int]]:
+        """(place in the document, pattern) of all patterns that occur, in order."""
+        found: list[tuple[int, int]] = []
         jump, head, end, n = PATTERN - BLOCK + 1, PATTERN - BLOCK, PATTERN, len(words)
         shift, bucket = self.shift, self.bucket
         while end <= n:
             block = (words[end - 2], words[end - 1])
             step = shift.get(block, jump)
             if step == 0:
-                first = tuple(words[end - PATTERN:end - PATTERN + head])
-                for prefix, key, at in bucket[block]:
-                    if prefix == first:
-                        found[key].append((end - PATTERN, at))
+                if (k := bucket[block].get(tuple(words[end - PATTERN:end - PATTERN + head]))) is not None:
+                    found.append((end - PATTERN, k))
                 step = 1
             end += step
         return found
 
     def common(self, key: int, words: list[str]) -> int:
         """Length of the longest common subsequence of the item and ``words``, by bits."""
-        mask, n = self.masks[key], len(self.items[key])
-        full = (1 << n) - 1
-        v = full
+        item = self.items[key]
+        mask: dict[str, int] = defaultdict(int)
+        for i, w in enumerate(item):
+            mask[w] |= 1 << i
+        v = full = (1 << len(item)) - 1
         for w in words:
             if m := mask.get(w):
                 u = v & m
                 v = ((v + u) | (v - u)) & full
-        return n - v.bit_count()
+        return len(item) - v.bit_count()
 
     def leaked(self, words: list[str], share: float) -> Iterator[tuple[int, float]]:
-        """Items of which at least ``share`` stands in one place, in order, with the share found there.
-
-        Only those of ``likely`` can. Places that a pattern points to are compared first; items that none of these confirms
-        are held against all places where enough of their words stand.
-        """
-        done, likely = set(), self.likely(words, share)
-        hits_of = self.occurrences(words) if likely else {}
-        for key in likely:
-            hits = hits_of.get(key, ())
-            n = len(self.items[key])
-            best, tried = 0.0, -1
-            for place, at in hits:
-                begin = max(0, place - int(at * SLACK) - EDGE // 2)
-                end = place + int((n - at) * SLACK) + EDGE // 2
-                if begin == tried:
-                    continue
-                tried = begin
-                best = max(best, self.common(key, words[begin:end]) / n)
-                if best >= 0.999:
-                    break
-            if best >= share:
-                done.add(key)
-                yield key, best
-        for key in likely:
-            if key not in done and (best := self.anywhere(key, words, share)) >= share:
-                yield key, best
+        """Items of which at least ``share`` stands in one place, in order and in runs, with the share of words that the place has in common."""
+        hits = self.occurrences(words)
+        if hits:
+            covered = np.zeros(self.starts[-1], bool)
+            covered[np.concatenate([self.covers[k] for _, k in hits])] = True
+            enough = np.add.reduceat(covered, self.starts[:-1], dtype=int) >= self.sizes * share  # more than runs cover at all no place has
+            for nth in np.flatnonzero(enough):
+                key, n = self.keys[nth], int(self.sizes[nth])
+                best, begin, end = self.dense([(place, at) for place, k in hits for at in self.at[k].get(int(nth), ())], int(n * SLACK) + EDGE)
+                if best >= share * n:
+                    yield key, max(best, self.common(key, words[begin:end])) / n
         for key, item in self.short.items():
             k = len(item)
             if k and any(tuple(words[i:i + k]) == item for i in range(len(words) - k + 1)):
                 yield key, 1.0
 
-    def anywhere(self, key: int, words: list[str], share: float) -> float:
-        """The largest share of the item in one place of ``words``, 0 where it is below ``share``."""
-        mask, n = self.masks[key], len(self.items[key])
-        room = int(n * SLACK) + EDGE
-        at = [i for i, w in enumerate(words) if w in mask]
-        inside = [words[i] for i in at]
-        ends = [bisect_left(at, begin + room) for begin in at]
-        best = 0
-        for s in range(0, len(at), GROUP):
-            need = max(best + 1, share * n)
-            group = range(s, min(s + GROUP, len(at)))
-            if ends[group[-1]] - s < need or self.common(key, inside[s:ends[group[-1]]]) < need:
-                continue  # nor does any place of the group, which lies in this stretch
-            for first in group:
-                # a place that ends where the one before does holds nothing more than that one
-                if ends[first] - first >= max(best + 1, share * n) and (first == s or ends[first] > ends[first - 1]):
-                    best = max(best, self.common(key, inside[first:ends[first]]))
-        return best / n if best >= share * n else 0.0
-
-    def likely(self, words: list[str], share: float) -> list[int]:
-        """The items of which at least ``share`` stands in order in a stretch of ``words`` that is wider than any place.
-
-        Each place lies whole in one of the stretches, so no other item can be found. All items are compared at once, by bits.
+    @staticmethod
+    def dense(hits: list[tuple[int, int]], room: int) -> tuple[int, int, int]:
+        """Most words of an item, in order, in runs of ``PATTERN`` or more, within ``room`` words of a document, and that place.
+
+        ``hits`` are the places of the item's patterns in the document and in the item; neighbours on one diagonal make a run.
         """
-        if not self.keys:
-            return []
-        full, get = self.full, self.joint.get
-        most = np.zeros(len(self.keys), int)
-        for s in range(0, max(1, len(words) - self.room), 2 * self.room):
-            v = full
-            for i, m in enumerate(filter(None, map(get, words[s:s + 3 * self.room]))):
-                u = v & m
-                v = (v + u) | (v ^ u)
-                if i % 8 == 7:
-                    v &= full
-            left = np.bitwise_count(np.frombuffer((v & full).to_bytes(int(self.starts[-1]), "little"), np.uint8))
-            most = np.maximum(most, self.sizes - np.add.reduceat(left, self.starts[:-1], dtype=int))
-        return [self.keys[k] for k in np.flatnonzero(most >= self.sizes * share)]
+        length: dict[tuple[int, int], int] = {}
+        for place, at in sorted(hits):  # a run by its last hit
+            length[place, at] = length.pop((place - 1, at - 1), PATTERN - 1) + 1
+        runs = sorted((place + PATTERN - n, at + PATTERN - n, n) for (place, at), n in length.items())
+        best = (0, 0, 0)
+        for s, (first, _, _) in enumerate(runs):
+            top: list[tuple[int, int, int]] = []
+            for place, at, n in runs[s:]:
+                n = min(n, first + room - place)
+                if n < PATTERN:  # nor has any later one room left
+                    break
+                most = n if place == first else 0
+                for d_end, i_end, value in top:
+                    skip = max(0, d_end - place, i_end - at)  # words that the run before has already
+                    if n - skip >= PATTERN:
+                        most = max(most, value + n - skip)
+                if most:
+                    top.append((place + n, at + n, most))
+                    best = max(best, (most, first, place + n))
+        return best
 
 
 def leaks(documents: DataFrame, items: DataFrame, share: float = 0.5) -> DataFrame:
     """(doc_id, item_id, share): documents that hold at least ``share`` of an item's words, in one place and in order.
 
-    Both sides are compared as words, without case, punctuation or layout. A block table skips what no pattern of
-    five words of an item can reach, suffix buckets pick patterns, a comparison confirms them, and where one hits the
-    longest common subsequence there is measured. Items that no pattern leads to are measured in all places, after a bound
-    by wider stretches; so none is missed, one place being ``SLACK`` times the item's words, and ``EDGE`` more. Null and blank texts match nothing, a document counts once,
-    null ids are left out, items of under five words must occur whole, and empty tables give an empty result.
+    Both sides are compared as words, without case, punctuation or layout. Words count in runs of ``PATTERN`` that stand together in both
+    texts, so that a few words may be changed, missing or put in, while scattered words that any text shares are no leak. So each place
+    holds a pattern of the item: a block table skips what no pattern can reach, suffix buckets pick patterns, a comparison confirms them,
+    and an item is measured if its patterns cover ``share`` of it. None is missed, one place being ``SLACK`` times the item's words, and
+    ``EDGE`` more. The share told is that of the longest common subsequence in the place. Null and blank texts match nothing, a document
+    counts once, null ids are left out, items shorter than a pattern must occur whole, and empty tables give an empty result.
     ``items`` is the stated test set; all of it is sent to each task.
     """
     listed = items.where("item_id is not null").dropDuplicates(["item_id"]).select("item_id", words_text(F.col("text")).alias("w")).collect()
