@@ -245,13 +245,13 @@ def near_groups(rows: DataFrame, key: str, column: str, second: str, limits: tup
     return moved.unionByName(of_rep.select(F.col("root").alias("id"), F.col("rep").alias("member")))
 
 
-def cross_split_pairs(rows: DataFrame, key: str = "example_id", split: str = "split_name", column: str = "context", second: str = "instruction", limits: tuple[float, float] = (0.7, 0.6)) -> DataFrame:
-    """(train_id, eval_id, eval_split): rows of val or test that a train row repeats, the same or nearly so.
+def cross_split_classes(rows: DataFrame, key: str = "example_id", split: str = "split_name", column: str = "context", second: str = "instruction", limits: tuple[float, float] = (0.7, 0.6)) -> tuple[DataFrame, DataFrame]:
+    """Classes of rows with the same words, and which classes overlap: (t, d2, split, id) of each member, and (a, d2_a, b, d2_b) of each pair
+    of a class with members in val or test and one with members in train.
 
     Canonicalised texts (case, punctuation and white space removed) are hashed: equal hashes join the copies, equal
     filter hashes of the canonical words join what is nearly the same. Distinct texts of ``column`` are held against
-    each other once, then distinct pairs of ``second``, before rows are paired, so groups of copies cost nothing but
-    the result's own rows. Rows whose ``column`` or ``second`` has no word, or whose split is null or another, take
+    each other once, then distinct pairs of ``second``, so groups of copies cost no more than one text. Rows whose ``column`` or ``second`` has no word, or whose split is null or another, take
     no part. Repeated ids count once; extra columns are ignored; empty tables give an empty result.
     """
     source = rows.select(F.col(key).alias("id"), F.col(split).alias("split"), F.col(column).alias("text"), F.col(second).alias("other"))
@@ -294,14 +294,34 @@ def cross_split_pairs(rows: DataFrame, key: str = "example_id", split: str = "sp
     alike = verified(asked.select("a", "b"), other.select("id", "w2"), {"w2": limits[1]})
     alike = asked.join(alike, ["a", "b"]).select("d2_a", "d2_b")
     met = met.join(alike, ["d2_a", "d2_b"]).select("a", "b", "d2_a", "d2_b")
+    return members, met
+
+
+def cross_split_pairs(rows: DataFrame, **options) -> DataFrame:
+    """(train_id, eval_id, eval_split): rows of val or test that a train row repeats, the same or nearly so, each pair listed; see ``cross_split_classes``."""
+    members, met = cross_split_classes(rows, **options)
+    train = F.col("split") == "train"
     e = members.where(~train).select(F.col("t").alias("a"), F.col("d2").alias("d2_a"), F.col("id").alias("eval_id"), F.col("split").alias("eval_split"))
     t = members.where(train).select(F.col("t").alias("b"), F.col("d2").alias("d2_b"), F.col("id").alias("train_id"))
     return met.join(e, ["a", "d2_a"]).join(t, ["b", "d2_b"]).select("train_id", "eval_id", "eval_split")
 
 
-def overlap_report(pairs: DataFrame, rows: DataFrame, key: str = "example_id", split: str = "split_name", source: str = "source") -> DataFrame:
-    """Per split and source: evaluation rows, those that overlap with train, and the overlapping pairs."""
-    hits = pairs.groupBy("eval_id").agg(F.count("*").alias("pairs"))
+def cross_split_links(rows: DataFrame, **options) -> DataFrame:
+    """(id, split, class_id, links) of each row that overlaps with one of the other side: the smallest id of its class, and how many rows of
+    the other side it overlaps with. Nothing is listed pair by pair, so a class that holds a third of all rows costs its own rows only.
+    """
+    members, met = cross_split_classes(rows, **options)
+    train = F.col("split") == "train"
+    sizes = members.groupBy("t", "d2").agg(F.min("id").alias("class_id"), F.count_if(train).alias("trained"), F.count_if(~train).alias("held_out"))
+    side = lambda x, y, n: met.join(sizes.select(F.col("t").alias(y), F.col("d2").alias(f"d2_{y}"), F.col(n).alias("n")), [y, f"d2_{y}"]).groupBy(F.col(x).alias("t"), F.col(f"d2_{x}").alias("d2")).agg(F.sum("n").alias("links"))
+    links = side("a", "b", "trained").withColumn("trained_side", F.lit(False)).unionByName(side("b", "a", "held_out").withColumn("trained_side", F.lit(True)))
+    links = links.join(sizes.select("t", "d2", "class_id"), ["t", "d2"]).where("links > 0")
+    return members.withColumn("trained_side", train).join(links, ["t", "d2", "trained_side"]).select("id", "split", "class_id", "links")
+
+
+def overlap_report(links: DataFrame, rows: DataFrame, key: str = "example_id", split: str = "split_name", source: str = "source") -> DataFrame:
+    """Per split and source: evaluation rows, those that overlap with train, and the overlapping pairs; ``links`` as from ``cross_split_links``."""
+    hits = links.where("split <> 'train'").select(F.col("id").alias("eval_id"), "links")
     base = rows.where(F.col(split).isin("val", "test")).groupBy(F.col(key).alias("eval_id")).agg(F.min(split).alias("split_name"), F.min(source).alias("source"))
     out = base.join(hits, "eval_id", "left").groupBy("split_name", "source")
-    return out.agg(F.count("*").alias("eval_rows"), F.count("pairs").alias("overlapping_rows"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"))
+    return out.agg(F.count("*").alias("eval_rows"), F.count("links").alias("overlapping_rows"), F.coalesce(F.sum("links"), F.lit(0)).alias("pairs"))

@@ -35,7 +35,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "sft_examples")
-    return word_overlap.overlap_report(word_overlap.cross_split_pairs(rows), rows)
+    return word_overlap.overlap_report(word_overlap.cross_split_links(rows), rows)
+
+
+def p2_links(spark: SparkSession, d: str) -> DataFrame:
+    return word_overlap.cross_split_links(table(spark, d, "sft_examples")).select(F.col("id").alias("example_id"), "split", "class_id", "links")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -143,6 +147,9 @@ m as (select example_id, split_name, cid, iid from e join cs using (c) join ins
 found as (select v.example_id eval_id, v.split_name eval_split, t.example_id train_id from m v join cp on cp.a = v.cid join m t on t.cid = cp.b join ip on ip.a = v.iid and ip.b = t.iid where v.split_name <> 'train' and t.split_name = 'train')
 """
 P2_SQL = P2_PAIRS + "select least(eval_id, train_id) example_id_a, greatest(eval_id, train_id) example_id_b from found"
+P2_LINKS_SQL = P2_PAIRS + """, linked as (select eval_id id, count(*) links from found group by 1 union all select train_id, count(*) from found group by 1),
+named as (select example_id id, split_name split, min(example_id) over (partition by cid, iid) class_id from m)
+select id example_id, split, class_id, links from named join linked using (id)"""
 P2_REPORT_SQL = P2_PAIRS + """, hits as (select eval_id, count(*) pairs from found group by 1),
 base as (select example_id eval_id, min(split_name) split_name, min(source) source from sft_examples where split_name in ('val', 'test') group by 1)
 select split_name, source, count(*) eval_rows, count(pairs) overlapping_rows, coalesce(sum(pairs), 0)::bigint pairs from base left join hits using (eval_id) group by all"""
@@ -160,5 +167,5 @@ root as (select a id, least(a, min(b)) root from reach group by a)
 select coalesce(root, rep) example_id_a, g.id example_id_b from g left join root on root.id = g.rep where g.id > coalesce(root, rep)
 """
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_report, p3_found, p3_copies, p4_found, p7_found, p7_pieces)}
-SQL = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_report": P2_REPORT_SQL, "p3_found": P3_SQL, "p3_copies": P3_COPIES_SQL, "p4_found": P4_SQL, "p7_found": P7_SQL}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p2_found, p2_report, p2_links, p3_found, p3_copies, p4_found, p7_found, p7_pieces)}
+SQL = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_report": P2_REPORT_SQL, "p2_links": P2_LINKS_SQL, "p3_found": P3_SQL, "p3_copies": P3_COPIES_SQL, "p4_found": P4_SQL, "p7_found": P7_SQL}

@@ -97,14 +97,16 @@ def test_cross_split_pairs_match_brute_force(spark, examples):
     df = spark.createDataFrame(examples, SCHEMA)
     found = word_overlap.cross_split_pairs(df)
     assert sorted((r.train_id, r.eval_id) for r in found.collect()) == want and len(want) > 20
-    report = word_overlap.overlap_report(found, df).collect()
+    links = word_overlap.cross_split_links(df)
+    assert {(r.id, r.links) for r in links.collect()} == set(Counter(x for p in want for x in p).items()) and links.where("class_id > id").count() == 0
+    report = word_overlap.overlap_report(links, df).collect()
     assert sum(r.pairs for r in report) == len(want)
 
 
 def test_overlap_operators_on_an_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert word_overlap.near_groups(empty, "example_id", "context", "response").count() == 0
-    assert word_overlap.cross_split_pairs(empty).count() == 0
+    assert word_overlap.cross_split_pairs(empty).count() == 0 and word_overlap.cross_split_links(empty).count() == 0
     counts, members = format_duplicates.collapse(empty)
     assert counts.count() == 0 and members.count() == 0
 
