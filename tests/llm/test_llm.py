@@ -110,6 +110,19 @@ def test_rake_meets_margins_and_limits():
     assert got[:2] == pytest.approx([60, 60], rel=1e-4) and got[2] == pytest.approx(20) and (w <= 2 + 1e-9).all()
 
 
+def test_topics_part_documents_by_their_words():
+    r = random.Random(2)
+    kinds = [[f"{stem}{c}" for c in "abcdefghij"] for stem in ("cloud", "query", "vault", "paint")]
+    texts = [("fr" if i % 2 else "en", " ".join(r.choice(kinds[i // 2 % 4]) for _ in range(40))) for i in range(400)]
+    model = mixing.Topics(texts)
+    got = model.of([g for g, _ in texts], [t for _, t in texts], {})
+    by = {}
+    for i, name in enumerate(got):
+        by.setdefault(name, []).append(i // 2 % 4)
+    assert sum(max(x.count(k) for k in range(4)) for x in by.values()) > 0.7 * len(texts) and {n[:2] for n in by} == {"fr", "en"}
+    assert model.of(["fr", "xx", "fr"], ["", "clouda", None], {}) == ["none"] * 3 and mixing.Topics([]).of(["fr"], ["a text"], {}) == ["none"]
+
+
 def test_mix(spark):
     docs = [(i, "some words of text " * (1 + i % 7), ("fr", "EN", None, "de-DE")[i % 4], "big" if i % 4 else "small", 1) for i in range(800)]
     docs += [(900, None, None, "big", 1), (901, " ", "fr", None, 1), docs[0]]
