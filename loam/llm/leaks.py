@@ -16,6 +16,8 @@ from loam.functions.words import words_text
 PATTERN, BLOCK = 3, 2
 #: Room for words that were put in: one place is a run of this many times the item's words, and ``EDGE`` more.
 SLACK, EDGE = 1.25, 4
+#: Test items whose patterns a task holds at once; more are searched for in several passes over the documents.
+MAX_ITEMS = 20_000
 
 
 class Patterns:
@@ -129,19 +131,28 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = 0.5) -> DataFra
     and an item is measured if its patterns cover ``share`` of it. None is missed, one place being ``SLACK`` times the item's words, and
     ``EDGE`` more. The share told is that of the longest common subsequence in the place. Null and blank texts match nothing, a document
     counts once, null ids are left out, items shorter than a pattern must occur whole, and empty tables give an empty result.
-    ``items`` is the stated test set; all of it is sent to each task.
+    ``items`` is the stated test set; up to ``MAX_ITEMS`` of them are sent to each task at once, in as many passes as that takes.
     """
-    listed = items.where("item_id is not null").dropDuplicates(["item_id"]).select("item_id", words_text(F.col("text")).alias("w")).collect()
-    shared = documents.sparkSession.sparkContext.broadcast([(r.item_id, r.w.split()) for r in listed])
+    listed = items.where("item_id is not null").dropDuplicates(["item_id"]).select("item_id", words_text(F.col("text")).alias("w"))
+    passes = max(1, -(-listed.count() // MAX_ITEMS))
+    docs = documents.where("doc_id is not null").select("doc_id", words_text(F.col("text")).alias("w")).where("w <> ''")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns = Patterns(shared.value)
-        for b in batches:
-            out = [(d, k, s) for d, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for k, s in patterns.leaked(w.split(), share)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["doc_id", "item_id", "share"])
+    def search(some: list[tuple[int, list[str]]]) -> DataFrame:
+        shared = documents.sparkSession.sparkContext.broadcast(some)
 
-    docs = documents.where("doc_id is not null").select("doc_id", words_text(F.col("text")).alias("w")).where("w <> ''")
-    found = docs.mapInArrow(run, "doc_id bigint, item_id bigint, share double")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            patterns = Patterns(shared.value)
+            for b in batches:
+                out = [(d, k, s) for d, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for k, s in patterns.leaked(w.split(), share)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["doc_id", "item_id", "share"])
+
+        return docs.mapInArrow(run, "doc_id bigint, item_id bigint, share double")
+
+    found = None
+    for k in range(passes):
+        block = listed.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).collect()
+        part = search([(r.item_id, r.w.split()) for r in block])
+        found = part if found is None else found.unionByName(part)
     return found.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
 
 

@@ -25,7 +25,7 @@ def lcs(a, b):
     return row[-1]
 
 
-def test_leaks(spark):
+def test_leaks(spark, monkeypatch):
     r = random.Random(2)
     items = [(k, passage(r)) for k in range(12)]
     docs, want = [], set()
@@ -47,6 +47,8 @@ def test_leaks(spark):
     found = {(x.doc_id, x.item_id) for x in got.collect()}
     assert want <= found and all(i % 3 == 0 and i < 60 for i, _ in found)
     assert leaks.leak_report(got, it).count() > 0
+    monkeypatch.setattr(leaks, "MAX_ITEMS", 5)  # several passes
+    assert {(x.doc_id, x.item_id) for x in leaks.leaks(df, it).collect()} == found
     assert leaks.leaks(df.limit(0), it).count() == 0 and leaks.leaks(df, it.limit(0)).count() == 0
 
 
