@@ -30,7 +30,7 @@ from loam.operators.bloom import possible_repeats, semi_join
 from loam.operators.components import components
 from loam.session import materialize
 
-WORD_FILTERS, WORD_ORDERS, RUN_FILTERS, RUN_ORDERS = 24, 3, 6, 6
+WORD_FILTERS, WORD_ORDERS, RUN_FILTERS, RUN_ORDERS = 24, 3, 12, 5
 FILTERS, KEYS = WORD_FILTERS + RUN_FILTERS, WORD_FILTERS * WORD_ORDERS
 #: Words in more than this share of the texts, and ``LEAST`` more, weigh less. There are at most (mean distinct words a text) / COMMON such words.
 COMMON, LEAST = 0.002, 20
@@ -194,8 +194,8 @@ def near_groups(rows: DataFrame, key: str, column: str, second: str, limits: tup
     differ in format only. Rows with an id, and with a letter or digit in both columns, take part; repeated ids count
     once, extra columns are ignored, and an empty table gives an empty result. Copies collapse first, so that a group of copies costs one text. In
     a bucket of more than ``NEAR`` texts, all are held against its smallest and against their ``NEAR`` neighbours;
-    those that this does not join to the smallest one's group are then held against the whole bucket, so no link
-    between groups goes unseen.
+    those that this does not join to the smallest one's group are then held against all members of such buckets with
+    which they share a prefix of ``second`` under several orders, so that many answers to one text are not all compared.
     """
     source = rows.select(F.col(key).alias("id"), column, second)
     forms = source.where("id is not null").select("id", words_text(F.col(column)).alias("w"), letters_by_field(F.col(second)).alias("second"))
@@ -235,8 +235,14 @@ def near_groups(rows: DataFrame, key: str, column: str, second: str, limits: tup
         root = lambda of: roots.select(F.col("id").alias(of), F.col("root").alias(f"root_{of}"))
         placed = hot.join(root("id"), "id", "left").join(root("hub"), "hub", "left")
         placed = materialize(placed.select("k", "id", "n", F.coalesce("root_id", "id").alias("r"), F.coalesce("root_hub", "hub").alias("h")), "placed")
-        apart = placed.where("r <> h").select("k", F.col("id").alias("a"), F.col("n").alias("m"), F.col("r").alias("ra"))
-        more = apart.join(placed.select("k", F.col("id").alias("b"), "n", F.col("r").alias("rb")), "k").where(f"ra <> rb and {alike}")
+        # of rows whose ``column`` is alike, those left apart must share a prefix of ``second`` too, under several orders again
+        both = placed.groupBy("id").agg(F.first("r").alias("r"), F.max(F.col("r") != F.col("h")).alias("apart"))
+        told = semi_join(source, materialize(both.select("id"), "hot")).dropDuplicates(["id"]).select("id", words_of_values(F.col(second)).alias("w"))
+        told = materialize(told, "told")
+        keyed = with_filters(told, "w", common_words(told.select("w"), "w")).join(both, "id").select(F.explode("keys").alias("k"), "id", "n", "r", "apart")
+        keyed = materialize(keyed, "keyed")
+        apart = keyed.where("apart").select("k", F.col("id").alias("a"), F.col("n").alias("m"), F.col("r").alias("ra"))
+        more = apart.join(keyed.select("k", F.col("id").alias("b"), "n", F.col("r").alias("rb")), "k").where(f"ra <> rb and least(n, m) >= {limits[1]} * greatest(n, m)")
         more = materialize(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "more")
         links = materialize(links.unionByName(check(more)), "links")
         roots = components(links)
