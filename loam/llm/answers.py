@@ -20,9 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loam.session import materialize
+
 LABELS = ("empty", "refusal", "copy", "truncated", "wrong_language")
-#: Answers that training takes, drawn by their hashes; buckets of the n-grams and of the shapes of ends.
-MAX_TRAIN, BUCKETS, SHAPES, SEED = 2_400, 1 << 15, 1 << 13, 11
+#: Answers, and signs of answers and sources, that one task trains on, in the mean; all are trained on, in as many blocks as that takes.
+BLOCK, BLOCK_SIGNS = 8_000, 32_000_000
+#: Pairs from which training goes over them fewer times, with as many steps in all; buckets of the n-grams and of the shapes of ends.
+ENOUGH, BUCKETS, SHAPES, SEED = 8_000, 1 << 15, 1 << 13, 11
+#: Parts that the weights are summed up in, and most tasks that train.
+PARTS, MOST_TASKS = 64, 10_000
+#: Thresholds tried, and those tried for refusals in another language.
+GRID, FOREIGN = np.linspace(0.5, 0.8, 13), np.linspace(0.1, 0.95, 35)
 
 #: Words for nothing.
 NOTHING = frozenset(
@@ -131,7 +139,15 @@ class Profiles:
             by.setdefault(lang, Counter()).update(words)
             held.setdefault(lang, Counter()).update(set(words))
             answers[lang] += 1
-        by = {k: {w: n for w, n in v.items() if held[k][w] >= self.SEEN * answers[k] + 2} for k, v in by.items()}
+        self.learn({k: {w: n for w, n in v.items() if held[k][w] >= self.least_held(answers[k])} for k, v in by.items()}, least)
+
+    @classmethod
+    def least_held(cls, answers):
+        """How many of a language's answers hold a word that belongs to it."""
+        return cls.SEEN * answers + 2
+
+    def learn(self, by: dict[str, dict[str, int]], least: int = 2_000) -> None:
+        """Profiles from the counts of each language's words."""
         by = {k: v for k, v in by.items() if sum(v.values()) >= least}  # with fewer words a language has no profile
         self.langs = sorted(by)
         size = len(set().union(*by.values())) + 1 if by else 1
@@ -191,6 +207,13 @@ def ending(text: str) -> tuple[list[float], list[str]]:
 DENSE = 40
 
 
+@lru_cache(16)
+def _source(source: str) -> tuple[list[str], Counter, str, list[str]]:
+    """Words of a source, their counts, the words in one, and the names, numbers and identifiers, which sound answers keep."""
+    src = WORD.findall(source.lower())
+    return src, Counter(src), "".join(src), [w for w in src if len(w) > 6 or not w.isalpha() and any(c.isdigit() for c in w)]
+
+
 def features(asked: str, source: str, response: str | None, profiles: Profiles) -> tuple[np.ndarray, list[str], list[str]]:
     """Features of a pair, the answer's words, those of all its JSON fields, and the shape of its end; emptiness and ending are those of its content."""
     text, others, is_json, damaged = contents(response)
@@ -204,11 +227,11 @@ def features(asked: str, source: str, response: str | None, profiles: Profiles)
     x[1] = is_json
     n = len(words)
     ask, want = _asked(asked)
-    src = WORD.findall(source.lower())
-    have, in_ask, in_src = Counter(words), Counter(ask), Counter(src)
+    src, in_src, joined_src, hard = _source(source)
+    have, in_ask = Counter(words), Counter(ask)
     common, from_ask, from_any = 0, 0, 0
     for w, k in have.items():
-        i, j = in_src[w], in_ask[w]
+        i, j = in_src.get(w, 0), in_ask.get(w, 0)
         common += min(k, i)
         from_ask += min(k, j)
         from_any += k if i or j else 0
@@ -217,7 +240,7 @@ def features(asked: str, source: str, response: str | None, profiles: Profiles)
     x[2], x[3], x[4] = share_ask > 0.7, share_ask > 0.9, cover_ask > 0.85 and n < 3 * len(ask) + 3
     x[5], x[6], x[7] = share_any > 0.8, share_any > 0.92, share_any > 0.92 and cover_src > 0.3
     x[8] = n >= 3 and any(len(v) > 15 and v in "".join(ask) for v in (main, joined)) or n >= 3 and len(joined) > 15 and "".join(ask) in joined and len(ask) > 4 and n < 1.5 * len(ask)
-    x[9] = len(src) > 4 and n and ("".join(src) in joined or any(len(v) > 60 and v in "".join(src) for v in (main, joined)))
+    x[9] = len(src) > 4 and n and (joined_src in joined or any(len(v) > 60 and v in joined_src for v in (main, joined)))
     x[10:14] = share_src, cover_src, share_any, share_ask
     margin, known, judged = profiles.fit(want, have, in_src)
     sure = min(1.0, judged / 12)
@@ -225,8 +248,7 @@ def features(asked: str, source: str, response: str | None, profiles: Profiles)
     x[34], x[35], x[36], x[37], x[38] = sure * (margin < 1), sure * (margin < 2), sure * (known < 0.97), sure * (known < 0.9), sure * (known < 0.75)
     x[39] = judged > 20 and (margin < 2 or known < 0.9)
     x[18], x[19], x[20] = 0 < n < 12, 0 < n < 45, n and len(src) > 20 and n < 0.35 * len(src)
-    hard = [w for w in src if len(w) > 6 or any(c.isdigit() for c in w)]
-    if hard:  # names, numbers and identifiers, which sound answers keep
+    if hard:
         held = [w in have for w in hard]
         k = max(2, len(hard) // 8)
         x[21], x[22], x[23], x[24] = np.mean(held), not any(held), not any(held[-k:]), not any(held[:k])
@@ -242,7 +264,7 @@ def features(asked: str, source: str, response: str | None, profiles: Profiles)
 
 @lru_cache(200_000)
 def _word_hash(w: str) -> int:
-    return zlib.crc32(b"#" if any(c.isdigit() for c in w) else w.encode("utf-8", "surrogatepass"))
+    return zlib.crc32(b"#" if not w.isalpha() and any(c.isdigit() for c in w) else w.encode("utf-8", "surrogatepass"))
 
 
 def hashed(words: list[str]) -> np.ndarray:
@@ -274,6 +296,17 @@ def _mass(table: np.ndarray, lists: list[np.ndarray], power: float) -> np.ndarra
     return np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None] ** power, 0)
 
 
+def _shares(lists: list[np.ndarray], buckets: int, power: float) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets that occur in the lists, and how often in each list, over its length to ``power``."""
+    size = np.array([len(x) for x in lists])
+    flat, at = np.concatenate(lists), np.zeros(buckets, np.int64)
+    at[flat] = 1
+    u = np.flatnonzero(at)
+    at[u] = np.arange(len(u))
+    n = np.bincount(np.repeat(np.arange(len(lists)) * len(u), size) + at[flat], minlength=len(lists) * len(u)).reshape(len(lists), len(u))
+    return u, n.astype(np.float32) / (np.maximum(size, 1)[:, None] ** power).astype(np.float32)
+
+
 class Linear:
     """One logistic unit a label over dense features, mean n-grams and shapes of ends, trained by adaptive gradient steps."""
 
@@ -301,21 +334,20 @@ class Linear:
             for s in range(0, len(y), 64):
                 pick = order[s:s + 64]
                 u = r.random(len(pick))
-                some = (dense[pick] * (u > 0.15)[:, None], [grams[i] if v < 0.6 else none for i, v in zip(pick, u)], [ends[i] for i in pick])
-                d = (self.probabilities(some) - y[pick]) / len(pick)
+                x = dense[pick] * (u > 0.15)[:, None]
+                parts = []
+                for name, table, lists, power, seen in (("W", self.W, [grams[i] if v < 0.6 else none for i, v in zip(pick, u)], 0.5, SEEN_W), ("V", self.V, [ends[i] for i in pick], 0.0, SEEN_V)):
+                    parts.append((name, table, seen, *_shares(lists, len(table), power)))
+                z = x @ self.D + sum(share @ table[at] for _, table, _, at, share in parts)
+                d = (1 / (1 + np.exp(-z)) - y[pick]) / len(pick)
                 d[y[pick][:, [LABELS.index("refusal"), LABELS.index("copy")]].any(axis=1), LABELS.index("wrong_language")] = 0  # their language is not judged
-                g = (some[0].T @ d + 1e-4 * self.D) * SEEN_D
+                g = (x.T @ d + 1e-4 * self.D) * SEEN_D
                 sums["D"] += g * g
                 self.D -= 0.3 * g / np.sqrt(sums["D"])
-                for name, table, lists, power, rate, seen in (("W", self.W, some[1], 0.5, 0.1, SEEN_W), ("V", self.V, some[2], 0.0, 0.1, SEEN_V)):
-                    size = np.array([len(x) for x in lists])
-                    u, inv = np.unique(np.concatenate(lists), return_inverse=True)
-                    if not len(u):
-                        continue
-                    each, at = np.repeat(d / np.maximum(size, 1)[:, None] ** power, size, axis=0), np.argsort(inv, kind="stable")
-                    g = (np.add.reduceat(each[at], np.searchsorted(inv[at], np.arange(len(u))), axis=0) + 1e-4 * table[u]) * seen
-                    sums[name][u] += g * g
-                    table[u] -= rate * g / np.sqrt(sums[name][u])
+                for name, table, seen, at, share in parts:
+                    g = (share.T @ d + 1e-4 * table[at]) * seen
+                    sums[name][at] += g * g
+                    table[at] -= 0.1 * g / np.sqrt(sums[name][at])
 
     def decide(self, made: Made) -> tuple[list[str | None], np.ndarray]:
         """The defect of each pair, the likeliest of those over their thresholds, and its probability.
@@ -429,26 +461,24 @@ def synthetic(rows: list[tuple[str, str, str | None]]) -> tuple[list[tuple[str,
     return out, np.array(y, np.float32).reshape(-1, len(LABELS)), np.array(given, bool)
 
 
-def train(rows: list[tuple[str, str, str | None]]) -> Linear:
-    """Classifier with thresholds that do best on held-out pairs; without any answer it stays at its start, with thresholds out of reach.
+def learned(rows: list[tuple[str, str, str | None]], profiles: Profiles) -> np.ndarray:
+    """What a block of pairs teaches, as numbers that add up over blocks: weights, where they were learned, and costs of thresholds on held-out pairs.
 
     Given answers count as sound at first. Those that a classifier trained on the other half holds for surely defective take that
     label for the last training, doubtful ones are left out: so it learns from real defects too.
     """
-    model = Linear()
     pairs, y, given = synthetic(rows)
-    if len(y) == 0:
-        model.limit[:] = 1.1
-        return model
-    model.profiles = Profiles([(want, WORD.findall((payload(t)[0]).lower())) for a, _, t in rows if (want := _asked(a)[1])])
+    model = Linear()
+    model.profiles = profiles
     dense, grams, ends = model.made(pairs)
+    times = lambda n: max(1, round(n * min(1, ENOUGH / len(y))))
     some = lambda at: (dense[at], [grams[i] for i in at], [ends[i] for i in at])
     fold, use = np.arange(len(y)) // 4 % 2, np.ones(len(y), bool)
     for _ in range(3):
         p = np.zeros_like(y)
         for k in range(2):
             half = Linear()
-            half.fit(some(np.flatnonzero((fold != k) & use)), y[(fold != k) & use], 8)
+            half.fit(some(np.flatnonzero((fold != k) & use)), y[(fold != k) & use], times(8))
             mine = np.flatnonzero(fold == k)
             if len(mine):
                 p[mine] = half.probabilities(some(mine))
@@ -458,19 +488,33 @@ def train(rows: list[tuple[str, str, str | None]]) -> Linear:
         told = np.where(p[:, [LABELS.index("refusal"), LABELS.index("copy")]].max(axis=1, keepdims=True) >= 0.5, p * (np.array(LABELS) != "wrong_language"), p)
         y[sure, told[sure].argmax(axis=1)] = 1
         use = ~given | (most < 0.1) | (most >= 0.5)
-    model.fit(some(np.flatnonzero(use)), y[use])
-    grid = np.linspace(0.5, 0.8, 13)
+    model.fit(some(np.flatnonzero(use)), y[use], times(12))
     sound, doubtful = given & (y.sum(axis=1) == 0) & use, ~use
-    for k in range(len(LABELS)):
-        # a false alarm over an answer held for sound weighs more than a miss, as most answers are sound; doubtful ones count as much as misses
-        cost = [10 * (p[sound, k] >= t).sum() + (p[doubtful, k] >= t).sum() + ((p[:, k] < t) & (y[:, k] == 1)).sum() for t in grid]
-        # of thresholds that cost about the same, within a hundredth of what there is to find, the middle
-        model.limit[k] = grid[np.flatnonzero(np.array(cost) <= min(cost) + 0.01 * y[:, k].sum())].mean()
+    # a false alarm over an answer held for sound weighs more than a miss, as most answers are sound; doubtful ones count as much as misses
+    cost = [[10 * (p[sound, k] >= t).sum() + (p[doubtful, k] >= t).sum() + ((p[:, k] < t) & (y[:, k] == 1)).sum() for t in GRID] for k in range(len(LABELS))]
     refusal, wrong = LABELS.index("refusal"), LABELS.index("wrong_language")
-    other = use & (p[:, wrong] >= model.limit[wrong])
-    grid = np.linspace(0.1, 0.95, 35)
-    cost = [((p[:, refusal] >= t) & (y[:, wrong] == 1) & other).sum() + ((p[:, refusal] < t) & (y[:, refusal] == 1) & other).sum() for t in grid]
-    model.foreign = grid[np.flatnonzero(np.array(cost) == min(cost))].mean()
+    foreign = []
+    for limit in GRID:
+        other = use & (p[:, wrong] >= limit)
+        foreign.append([((p[:, refusal] >= t) & (y[:, wrong] == 1) & other).sum() + ((p[:, refusal] < t) & (y[:, refusal] == 1) & other).sum() for t in FOREIGN])
+    table = np.concatenate([model.D, model.W, model.V])
+    return np.concatenate([table.ravel(), table.any(axis=1), y.sum(axis=0), np.ravel(cost), np.ravel(foreign)]).astype(np.float32)
+
+
+def settled(total: np.ndarray, profiles: Profiles) -> Linear:
+    """Classifier from the sums of ``learned`` over all blocks: each weight is the mean over the blocks that learned it, thresholds do best on all held-out pairs."""
+    model, k = Linear(), len(LABELS)
+    model.profiles = profiles
+    rows = DENSE + BUCKETS + SHAPES
+    table, blocks, y, cost, foreign = np.split(total, np.cumsum([rows * k, rows, k, k * len(GRID)]))
+    table = table.reshape(rows, k) / np.maximum(blocks, 1)[:, None]
+    model.D, model.W, model.V = (x.astype(np.float32) for x in np.split(table, [DENSE, DENSE + BUCKETS]))
+    for i, c in enumerate(cost.reshape(k, -1)):
+        # of thresholds that cost about the same, within a hundredth of what there is to find, the middle
+        model.limit[i] = GRID[np.flatnonzero(c <= c.min() + 0.01 * y[i])].mean()
+    at = np.searchsorted(GRID, model.limit[LABELS.index("wrong_language")] + 1e-9) - 1
+    c = foreign.reshape(len(GRID), -1)[at]
+    model.foreign = FOREIGN[np.flatnonzero(c <= c.min() + 0.01 * y[LABELS.index("refusal")])].mean()
     return model
 
 
@@ -509,14 +553,84 @@ def bounded_sample(rows: DataFrame, most: int, *key: str) -> DataFrame:
     return rows.where(spot < int((1 << 40) * most / n)).limit(most + most // 2)
 
 
+def profiles_of(pairs: DataFrame) -> Profiles:
+    """Profiles of the languages, from the words of all answers."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: dict[str, Counter] = {}
+        held: dict[str, Counter] = {}
+        answers: Counter = Counter()
+
+        def told() -> pa.RecordBatch:
+            rows = [(g, w, k, held[g][w]) for g, of in n.items() for w, k in of.items() if w.isalpha()] + [(g, None, 0, k) for g, k in answers.items()]
+            for x in (n, held, answers):
+                x.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], ["lang", "word", "n", "held"])
+
+        for b in batches:
+            for a, s, t in zip(*(b.column(c).to_pylist() for c in ("asked", "source", "response"))):
+                if lang := _asked(_split(a, s)[0])[1]:
+                    words = WORD.findall(payload(t)[0].lower())
+                    n.setdefault(lang, Counter()).update(words)
+                    held.setdefault(lang, Counter()).update(set(words))
+                    answers[lang] += 1
+            if sum(map(len, n.values())) > 300_000:
+                yield told()
+        yield told()
+
+    words = pairs.select("asked", "source", "response").mapInArrow(count, "lang string, word string, n bigint, held bigint")
+    words = materialize(words.groupBy("lang", "word").agg(F.sum("n").alias("n"), F.sum("held").alias("held")), "words")
+    answers = {r.lang: r.held for r in words.where("word is null").collect()}  # at most the languages of NAMES
+    by = {}
+    for lang, n in answers.items():  # at most the mean number of words in an answer, over ``SEEN``
+        rows = words.where((F.col("lang") == lang) & F.col("word").isNotNull() & (F.col("held") >= Profiles.least_held(n))).collect()
+        by[lang] = {r.word: r.n for r in sorted(rows, key=lambda r: r.word)}
+    out = Profiles()
+    out.learn(by)
+    return out
+
+
+def trained(pairs: DataFrame) -> Linear:
+    """Classifier learned from all answers, equal pairs once; without any answer it stays at its start, with thresholds out of reach.
+
+    Hashes of the pairs part them into blocks, each block is trained on by itself, and what the blocks teach is summed up by parts of the weights,
+    so that neither a task nor the driver holds more as the tables grow.
+    """
+    signs = F.coalesce(F.length("response"), F.lit(0)) + F.coalesce(F.length("source"), F.lit(0))
+    n, size = pairs.agg(F.count("*"), F.sum(signs)).first()
+    if not n:
+        model = Linear()
+        model.limit[:] = 1.1
+        return model
+    blocks = max(-(-n // BLOCK), -(-size // BLOCK_SIGNS))
+    spark = pairs.sparkSession
+    shared = spark.sparkContext.broadcast(profiles_of(pairs))
+
+    def learn(key: tuple, rows: pa.Table) -> pa.Table:
+        given = sorted(zip(*(rows.column(c).to_pylist() for c in ("asked", "source", "response"))), key=lambda r: tuple((x is not None, x or "") for x in r))
+        given = [given[i] for i in np.random.default_rng(SEED).permutation(len(given))]
+        parts = np.array_split(learned([(*_split(a, s), t) for a, s, t in given], shared.value), PARTS)
+        return pa.table({"part": pa.array(range(PARTS), pa.int32()), "block": pa.array([key[0].as_py()] * PARTS, pa.int64()), "value": pa.array([x.tobytes() for x in parts], pa.binary())})
+
+    def add(key: tuple, rows: pa.Table) -> pa.Table:
+        told = sorted(zip(rows.column("block").to_pylist(), rows.column("value").to_pylist()))
+        total = sum((np.frombuffer(v, np.float32).astype(float) for _, v in told), start=0.0)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "value": pa.array([total.tobytes()], pa.binary())})
+
+    block = F.pmod(F.xxhash64(F.lit(SEED), "asked", "source", "response"), F.lit(blocks))
+    rows = pairs.select("asked", "source", "response", block.alias("block")).repartition(min(blocks, MOST_TASKS), "block").dropDuplicates()
+    told = rows.groupBy("block").applyInArrow(learn, "part int, block bigint, value binary").groupBy("part").applyInArrow(add, "part int, value binary")
+    total = np.concatenate([np.frombuffer(r.value) for r in sorted(told.collect(), key=lambda r: r.part)])
+    return settled(total, shared.value)
+
+
 def defects(pairs: DataFrame) -> DataFrame:
     """(record_kind, record_id, source_name, defect, score) of each pair, defect null where the answer is sound.
 
     Each key counts once. Null and blank answers are ``empty``; a null instruction or source is an empty text, and
-    without a language asked for none is wrong. Whole texts are read, of JSON answers all values, nested ones too. An empty table gives an empty result.
+    without a language asked for none is wrong. All answers are learned from. Whole texts are read, of JSON answers all values, nested ones too. An empty table gives an empty result.
     """
-    rows = bounded_sample(pairs, MAX_TRAIN, "record_kind", "record_id").select("asked", "source", "response").collect()
-    model = train([(*_split(r.asked, r.source), r.response) for r in rows])
+    model = trained(pairs)
     shared = pairs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -258,6 +258,22 @@ def test_defects(spark):
     assert answers.defects(answers.pairs_of(spark, df.limit(0), None, None)).count() == 0
 
 
+def test_all_answers_teach(spark, monkeypatch):
+    """A language that few of many answers are asked for has a profile, and blocks that are trained on apart serve as one."""
+    r, rows = random.Random(8), []
+    es = "El servidor reinicia la cola con el módulo de la red y las fichas están en la base."
+    for i in range(4_000):
+        text = lambda x: " ".join(f"{x[:-1]} {k}." for k in r.sample(range(1000), 2))  # noqa: E731, B023
+        want = "es" if i % 50 == 0 else "fr" if i % 2 else "en"
+        rows.append((i, {"es": "Translate the document above from French into Spanish.", "fr": ASK_FR, "en": ASK_EN}[want], text(EN if want == "fr" else FR), text({"es": es, "fr": FR, "en": EN}[want]), "s", 1.0))
+    wrong = {50 * k + 450: text(EN) for k in range(3)}
+    rows = [(*x[:3], wrong.get(x[0], x[3]), *x[4:]) for x in rows]
+    df = spark.createDataFrame(rows, "example_id bigint, instruction string, context string, response string, source string, defect double")
+    monkeypatch.setattr(answers, "BLOCK", 1_000, raising=False)
+    got = {int(x.record_id): x.defect for x in answers.defects(answers.pairs_of(spark, df, None, None)).collect()}
+    assert {k for k, v in got.items() if v == "wrong_language"} == set(wrong) and sum(v is not None for v in got.values()) <= 8
+
+
 BASE = "result_id bigint, modele string, prompt string, reponse string"
 EVAL = "run_id string, modele string, baseline_test array<struct<id:string, categorie:string, prompt:string, response:string, duree:double>>"
 
