@@ -297,3 +297,17 @@ def test_truncation_with_a_hard_limit(spark):
     assert truncation.rates(found).count() == 3
     assert truncation.truncated(base.limit(0), runs.limit(0)).count() == 0
     assert got["eval", "r/a"].truncated
+
+
+def test_truncation_learns_from_all_answers(spark, monkeypatch):
+    r = random.Random(9)
+    rows = []
+    for i in range(3_000):
+        fr = " ".join(f"{FR[:-1]} {k}." for k in r.sample(range(1000), 1 + i % 3))
+        rows.append((i, "m", f"Traduis en français : '{EN}'", fr[:-7] if i % 100 == 7 else fr))
+    base, runs = spark.createDataFrame(rows, BASE), spark.createDataFrame([], EVAL)
+    whole = answers.Profiles([("fr", answers.WORD.findall(t.lower())) for _, _, _, t in rows])
+    monkeypatch.setattr(answers, "BLOCK", 800, raising=False)
+    assert answers.trained(answers.pairs_of(spark, None, base, runs)).profiles.log == whole.log
+    got = {int(x.record_id) for x in truncation.truncated(base, runs).where("truncated").collect()}
+    assert got == set(range(7, 3_000, 100))
