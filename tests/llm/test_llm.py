@@ -125,6 +125,17 @@ def test_topics_part_documents_by_their_words():
     assert model.of(["fr", "xx", "fr"], ["", "clouda", None], {}) == ["none"] * 3 and mixing.Topics([]).of(["fr"], ["a text"], {}) == ["none"]
 
 
+def test_topics_come_from_all_documents(spark):
+    """A language that a sample of 2,000 documents would hardly hold gets its topics, whatever the order of the documents."""
+    r = random.Random(3)
+    docs = [(i, " ".join(passage(r, 8) + ["alpha", "gamma"][i % 2:][:1] * 4).replace("w", "word"), "en", "s") for i in range(40_000)]
+    docs += [(50_000 + i, "palabra fila", "es", "s") for i in range(2)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string")
+    got = {x.doc_id: (x.topic, x.tokens) for x in mixing.with_tokens(df, vocabulary=None).collect()}
+    assert len(got) == 40_002 and {v[0] for k, v in got.items() if k >= 50_000} <= {"es0", "es1"} and not {v[0] for k, v in got.items() if k % 2 and k < 40_000} & {v[0] for k, v in got.items() if k % 2 == 0 and k < 40_000}
+    assert got == {x.doc_id: (x.topic, x.tokens) for x in mixing.with_tokens(df.repartition(7, "text"), vocabulary=None).collect()}
+
+
 def test_mix(spark):
     docs = [(i, "some words of text " * (1 + i % 7), ("fr", "EN", None, "de-DE")[i % 4], "big" if i % 4 else "small", 1) for i in range(800)]
     docs += [(900, None, None, "big", 1), (901, " ", "fr", None, 1), docs[0]]
