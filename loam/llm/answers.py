@@ -541,18 +541,6 @@ def _split(asked: str | None, source: str | None) -> tuple[str, str]:
     return (asked or "", source) if source is not None else quoted(asked or "")
 
 
-def bounded_sample(rows: DataFrame, most: int, *key: str) -> DataFrame:
-    """About ``most`` rows, at most 1.5 times as many, drawn by a hash of ``key``; all rows where there are no more.
-
-    The hash bound follows from the number of rows, so each task gives only its part of the sample.
-    """
-    n = rows.count()
-    if n <= most:
-        return rows
-    spot = F.pmod(F.xxhash64(F.lit(SEED), *key), F.lit(1 << 40))
-    return rows.where(spot < int((1 << 40) * most / n)).limit(most + most // 2)
-
-
 def profiles_of(pairs: DataFrame) -> Profiles:
     """Profiles of the languages, from the words of all answers."""
 

@@ -201,6 +201,17 @@ def test_abuse_behind_and_inside_a_table_is_found(spark):
     assert got == {300: True, 301: True, 302: True, 303: False}
 
 
+def test_all_labels_and_documents_teach(spark, monkeypatch):
+    plain = [f"the {a} {b} the {c}" for a in ("cluster", "queue", "index", "gateway") for b in ("locks", "checks", "moves") for c in ("table", "disk", "token")]
+    bad, r = ["you are a stupid moron", "shut up you filthy idiot", "nobody likes you, pathetic loser"], random.Random(6)
+    docs = [(i, ". ".join(r.sample(plain, 2) + [bad[i % 3]] * (i % 10 == 0)), "en", "s") for i in range(9_000)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string")
+    lab = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(8_000)], "doc_id bigint, abusive int")
+    monkeypatch.setattr(abuse, "BLOCK", 3_000, raising=False)
+    told = abuse.quality(df, lab).collect()
+    assert [(x.lang, x.abusive_labels, x.ordinary_labels) for x in told] == [("en", 800, 7_200)] and told[0].recall > 0.97 and told[0].precision > 0.97
+
+
 FR, EN = "Le serveur redémarre la file d'attente avec le module du réseau et les jetons sont dans la base.", "The server restarts the queue with the module of the network and the tokens are in the base."
 ASK_FR, ASK_EN = "Traduis ce document de l'anglais vers le français.", "Translate the document above from French into English."
 
