@@ -14,6 +14,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ NAMES = {"fr": r"fran[çc]ais(?:e|es)?|french", "en": r"anglais(?:e|es)?|english
 _ANY = "|".join(NAMES.values())
 ASKED = re.compile(rf"(?:\b(?:in)?to|\ben|\bin|\bvers l[e'’]?\s*|\bvers|\bversion|\btranslation)\s*(?:l['’]|le |la )?\b({_ANY})\b", re.I)
 FROM = re.compile(rf"(?:\bfrom|\bde l['’]|\bdu|\bde)\s*({_ANY})\b", re.I)
-WORD = re.compile(r"[^\W_]+")
+WORD, STOP, PAUSE = re.compile(r"[^\W_]+"), re.compile(r"[.!?](?=\s|\Z)"), re.compile(r"[,;:]")
 
 #: Refusals that training makes: how they begin, what they decline, and their reasons.
 REFUSE = {
@@ -170,8 +171,10 @@ class Profiles:
 
 
 @lru_cache(50_000)
-def _asked(asked: str) -> tuple[list[str], str | None]:
-    return WORD.findall(asked.lower()), asked_language(asked)
+def _asked(asked: str) -> tuple[list[str], str | None, str]:
+    """Words of an instruction, the language it asks for, and the words in one."""
+    words = WORD.findall(asked.lower())
+    return words, asked_language(asked), "".join(words)
 
 
 def quoted(prompt: str) -> tuple[str, str]:
@@ -180,97 +183,185 @@ def quoted(prompt: str) -> tuple[str, str]:
     return (prompt[:m.start()], m[2]) if m else (prompt, "")
 
 
+@lru_cache(50_000)
 def shape(text: str) -> str:
     """``text`` with letters as a or A, digits as 0; signs and line feeds stay."""
     return "".join("\n" if c == "\n" else " " if c.isspace() else "0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in text)
 
 
+@lru_cache(50_000)
+def _tails(end: str) -> list[str]:
+    return [f"{k}{end[-k:]}" for k in range(1, 7)]
+
+
 def ending(text: str) -> tuple[list[float], list[str]]:
     """How a text ends: what is open (a fence, a backtick, a table row), no punctuation at all; and names of its shape, from the last signs inwards."""
     bare = text.rstrip(" \t\n\r\f\v\xa0\u200b\ufeff")
-    lines = bare.split("\n")
-    last = lines[-1].strip()
+    last = bare.rpartition("\n")[2].strip()
     fences = bare.count("```")
     code = fences % 2 == 0 and bare.endswith("```")
     row = last.startswith("|")
-    header = next((x for x in lines if x.strip().startswith("|")), "")
-    open_row = row and (not last.endswith("|") or last.count("|") < header.count("|"))
+    open_row = row and (not last.endswith("|") or last.count("|") < next(x for x in bare.split("\n") if x.strip().startswith("|")).count("|"))
     odd_tick = not code and fences % 2 == 0 and last.count("`") % 2 == 1
-    plain = len(text) > 200 and not re.search(r"[.!?](?=\s|\Z)", text) and not re.search(r"[,;:]", bare[-400:])
+    plain = len(text) > 200 and not STOP.search(text) and not PAUSE.search(bare[-400:])
     kind = "code" if code else "row" if row else "fence" if fences % 2 else "head" if last.startswith("#") else "item" if last[:2] in ("- ", "* ") else "text"
-    alone = "alone" if len(lines) == 1 else "more"
+    alone = "more" if "\n" in bare else "alone"
     end = shape(bare[-6:])
-    names = [f"{k}{end[-k:]}" for k in range(1, 7)] + [f"c{bare[-1:]}", f"w{bare[-12:].split()[-1].lower() if bare.split() else ''}", f"k{kind}{alone}", f"k{kind}{end[-1:]}{alone}", f"p{plain}{end[-1:]}"]
+    names = [*_tails(end), f"c{bare[-1:]}", f"w{bare[-12:].split()[-1].lower() if bare.split() else ''}", f"k{kind}{alone}", f"k{kind}{end[-1:]}{alone}", f"p{plain}{end[-1:]}"]
     return [float(fences % 2), float(odd_tick), float(open_row), float(plain)], names
 
 
 DENSE = 40
 
 
-@lru_cache(16)
-def _source(source: str) -> tuple[list[str], Counter, str, list[str]]:
-    """Words of a source, their counts, the words in one, and the names, numbers and identifiers, which sound answers keep."""
-    src = WORD.findall(source.lower())
-    return src, Counter(src), "".join(src), [w for w in src if len(w) > 6 or not w.isalpha() and any(c.isdigit() for c in w)]
+@lru_cache(50_000)
+def numbered(word: str) -> bool:
+    return any(c.isdigit() for c in word)
 
 
-def features(asked: str, source: str, response: str | None, profiles: Profiles) -> tuple[np.ndarray, list[str], list[str]]:
-    """Features of a pair, the answer's words, those of all its JSON fields, and the shape of its end; emptiness and ending are those of its content."""
-    text, others, is_json, damaged = contents(response)
-    main = "".join(WORD.findall(text.lower()))
-    whole = "\n".join([text, *others])
-    words = WORD.findall(whole.lower())
-    joined = "".join(words)
-    x = np.zeros(DENSE, np.float32)
-    nothing = not main or text.strip().strip(".`'\"«» -_*").lower() in NOTHING or main in NOTHING
-    x[0] = nothing
-    x[1] = is_json
-    n = len(words)
-    ask, want = _asked(asked)
-    src, in_src, joined_src, hard = _source(source)
-    have, in_ask = Counter(words), Counter(ask)
-    common, from_ask, from_any = 0, 0, 0
-    for w, k in have.items():
-        i, j = in_src.get(w, 0), in_ask.get(w, 0)
-        common += min(k, i)
-        from_ask += min(k, j)
-        from_any += k if i or j else 0
-    share_ask, cover_ask = from_ask / max(1, n), from_ask / max(1, len(ask))
-    share_src, cover_src, share_any = common / max(1, n), common / max(1, len(src)), from_any / max(1, n)
-    x[2], x[3], x[4] = share_ask > 0.7, share_ask > 0.9, cover_ask > 0.85 and n < 3 * len(ask) + 3
-    x[5], x[6], x[7] = share_any > 0.8, share_any > 0.92, share_any > 0.92 and cover_src > 0.3
-    x[8] = n >= 3 and any(len(v) > 15 and v in "".join(ask) for v in (main, joined)) or n >= 3 and len(joined) > 15 and "".join(ask) in joined and len(ask) > 4 and n < 1.5 * len(ask)
-    x[9] = len(src) > 4 and n and (joined_src in joined or any(len(v) > 60 and v in joined_src for v in (main, joined)))
-    x[10:14] = share_src, cover_src, share_any, share_ask
-    margin, known, judged = profiles.fit(want, have, in_src)
-    sure = min(1.0, judged / 12)
-    x[14], x[15], x[16], x[17] = sure * float(np.clip(margin, -4, 4)) / 2, sure * (margin < 0), sure * (1 - known), sure * (margin < 0) * (share_any < 0.8)
-    x[34], x[35], x[36], x[37], x[38] = sure * (margin < 1), sure * (margin < 2), sure * (known < 0.97), sure * (known < 0.9), sure * (known < 0.75)
-    x[39] = judged > 20 and (margin < 2 or known < 0.9)
-    x[18], x[19], x[20] = 0 < n < 12, 0 < n < 45, n and len(src) > 20 and n < 0.35 * len(src)
-    if hard:
-        held = [w in have for w in hard]
-        k = max(2, len(hard) // 8)
-        x[21], x[22], x[23], x[24] = np.mean(held), not any(held), not any(held[-k:]), not any(held[:k])
-    x[25] = damaged
-    opened, names = ending(text) if not nothing else ([0.0] * 4, ["nothing"])
-    x[26:30] = opened
-    x[30] = x[29] and x[23]
-    x[31] = 0 < n < 60 and share_any < 0.5 and (x[22] or not hard)
-    x[32] = x[29] == 0 and x[23]
-    x[33] = 1
-    return x, words, names
+class Words(dict):
+    """Numbers of words, and by number the word's hash, whether it has letters only, and its place in each language's profile."""
 
+    def __init__(self, profiles: Profiles):
+        super().__init__()
+        self.profiles, self.new, n = profiles, [], len(profiles.log)
+        self.told = np.empty(0, np.uint32), np.empty(0, bool), np.empty((n, 0)), np.empty((n, 0), bool)
 
-@lru_cache(200_000)
-def _word_hash(w: str) -> int:
-    return zlib.crc32(b"#" if not w.isalpha() and any(c.isdigit() for c in w) else w.encode("utf-8", "surrogatepass"))
+    def __missing__(self, w: str) -> int:
+        plain = w.isalpha()
+        hash_ = zlib.crc32(b"#" if not plain and numbered(w) else w.encode("utf-8", "surrogatepass"))
+        self.new.append((hash_, plain, *[of.get(w, 1.0) for of in self.profiles.log.values()]))  # logarithms of frequencies are below 0
+        self[w] = at = len(self)
+        return at
+
+    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes, whether words have letters only, and by language the logarithm of their frequency and whether the profile has them."""
+        if self.new:
+            new = np.array(self.new, float).T
+            log, none = new[2:], np.array([self.profiles.none[k] for k in self.profiles.log]).reshape(-1, 1)
+            parts = new[0].astype(np.uint32), new[1] > 0, np.where(log <= 0, log, none), log <= 0
+            self.told = tuple(np.concatenate(x, axis=-1) for x in zip(self.told, parts))
+            self.new = []
+        return self.told
+
+    def numbers(self, lists: list[list[str]]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, chain.from_iterable(lists)), np.int64, sum(map(len, lists)))
+
+
+_words = lru_cache(1)(Words)
+
+
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order, and how often each occurs."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][:len(keys)])
+    return keys[first], np.diff(np.r_[first, len(keys)])
 
 
-def hashed(words: list[str]) -> np.ndarray:
-    """Buckets of the words and of pairs of neighbours; words with digits count as one."""
-    h = np.fromiter(map(_word_hash, words), np.uint32, len(words))
-    return (np.concatenate([h, (h[:-1] * np.uint32(0x9E3779B1)) ^ h[1:]]) % np.uint32(BUCKETS)).astype(np.int32)
+def _looked_up(keys: np.ndarray, counted: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How often each key occurs among those counted."""
+    of, n = counted
+    if not len(of):
+        return np.zeros(len(keys), np.int64)
+    at = np.minimum(np.searchsorted(of, keys), len(of) - 1)
+    return np.where(of[at] == keys, n[at], 0)
+
+
+def features(asked: str, source: str, response: str | None, profiles: Profiles) -> tuple[np.ndarray, list[str], list[str]]:
+    """Features of a pair, the answer's words, those of all its JSON fields, and the shape of its end; emptiness and ending are those of its content."""
+    x, words, names, _, _ = featured([(asked, source, response)], profiles)
+    return x[0], words[0], names[0]
+
+
+def featured(rows: list[tuple[str, str, str | None]], profiles: Profiles) -> tuple[np.ndarray, list[list[str]], list[list[str]], np.ndarray, np.ndarray]:
+    """What ``features`` has of each of some pairs, and the buckets of all n-grams with their pairs."""
+    x = np.zeros((len(rows), DENSE))
+    texts, names, spoken, langs = [], [], [], list(profiles.log)
+    asks: dict[str, int] = {}
+    sources: dict[str, int] = {}
+    src, hard, joined_src, in_asks = [], [], [], []
+    of_ask, of_src, want = (np.empty(len(rows), np.int64) for _ in range(3))
+    for i, (asked, source, response) in enumerate(rows):
+        text, others, is_json, damaged = contents(response)
+        words = WORD.findall(text.lower())
+        main = joined = "".join(words)
+        if others:
+            words += WORD.findall("\n".join(others).lower())
+            joined = "".join(words)
+        texts.append(words)
+        n = len(words)
+        # no word for nothing has 16 signs
+        nothing = not main or len(main) < 16 and (text.strip().strip(".`'\"«» -_*").lower() in NOTHING or main in NOTHING)
+        ask, lang, joined_ask = _asked(asked)
+        if (k := asks.get(asked)) is None:
+            k = asks[asked] = len(asks)
+            in_asks.append(ask)
+        if (j := sources.get(source)) is None:
+            j = sources[source] = len(sources)
+            src.append(own := WORD.findall(source.lower()))
+            joined_src.append("".join(own))
+            hard.append([w for w in own if len(w) > 6 or not w.isalpha() and numbered(w)])  # names, numbers and identifiers, which sound answers keep
+        of_ask[i], of_src[i], want[i] = k, j, langs.index(lang) if lang in profiles.log else -1
+        copied = n >= 3 and any(len(v) > 15 and v in joined_ask for v in (main, joined)) or n >= 3 and len(joined) > 15 and joined_ask in joined and len(ask) > 4 and n < 1.5 * len(ask)
+        whole = len(src[j]) > 4 and n > 0 and (joined_src[j] in joined or any(len(v) > 60 and v in joined_src[j] for v in (main, joined)))
+        opened, end = ending(text) if not nothing else ([0.0] * 4, ["nothing"])
+        names.append(end)
+        spoken.append((nothing, is_json, copied, whole, damaged, *opened))
+    x[:, [0, 1, 8, 9, 25, 26, 27, 28, 29]] = spoken
+    if len(_words(profiles)) > 200_000:
+        _words.cache_clear()
+    ids = _words(profiles)  # kept for words that come again
+    size, ask_size, src_size, hard_size = (np.array([len(v) for v in lists], np.int64) for lists in (texts, in_asks, src, hard))
+    flat, flat_ask, flat_src, flat_hard = (ids.numbers(v) for v in (texts, in_asks, src, hard))
+    hashes, plain, log, knows = ids.table()
+    k = max(1, len(ids))
+    row = np.repeat(np.arange(len(rows)), size)
+    have = _counted(row * k + flat)
+    at, word, times = have[0] // k, have[0] % k, have[1]
+    total = lambda v: np.bincount(at, v, len(rows))
+    in_src = _looked_up(of_src[at] * k + word, _counted(np.repeat(np.arange(len(src)), src_size) * k + flat_src))
+    in_ask = _looked_up(of_ask[at] * k + word, _counted(np.repeat(np.arange(len(in_asks)), ask_size) * k + flat_ask))
+    n, m, a = size, src_size[of_src], ask_size[of_ask]
+    common, from_ask, from_any = total(np.minimum(times, in_src)), total(np.minimum(times, in_ask)), total(times * ((in_src > 0) | (in_ask > 0)))
+    share_ask, cover_ask = from_ask / np.maximum(1, n), from_ask / np.maximum(1, a)
+    share_src, cover_src, share_any = common / np.maximum(1, n), common / np.maximum(1, m), from_any / np.maximum(1, n)
+    x[:, 2], x[:, 3], x[:, 4] = share_ask > 0.7, share_ask > 0.9, (cover_ask > 0.85) & (n < 3 * a + 3)
+    x[:, 5], x[:, 6], x[:, 7] = share_any > 0.8, share_any > 0.92, (share_any > 0.92) & (cover_src > 0.3)
+    x[:, 10], x[:, 11], x[:, 12], x[:, 13] = share_src, cover_src, share_any, share_ask
+    # how well the words fit the language asked for, as in ``Profiles.fit``
+    own = plain[word] & (in_src == 0)
+    own = np.where(total(own)[at] > 0, own, plain[word]) & (want[at] >= 0)
+    judged = total(times * own)
+    some = np.maximum(judged, 1)
+    margin, known = np.zeros(len(rows)), np.ones(len(rows))
+    if langs:
+        fits = np.stack([total(times * own * of[word]) / some for of in log])
+        mine = fits[want, np.arange(len(rows))]
+        fits[want, np.arange(len(rows))] = -np.inf
+        if len(langs) > 1:
+            margin = np.where(judged > 0, mine - fits.max(axis=0), 0.0)
+        known = np.where(judged > 0, total(times * (own & knows[want[at], word])) / some, 1.0)
+    sure = np.minimum(1.0, judged / 12)
+    x[:, 14], x[:, 15], x[:, 16], x[:, 17] = sure * np.clip(margin, -4, 4) / 2, sure * (margin < 0), sure * (1 - known), sure * (margin < 0) * (share_any < 0.8)
+    x[:, 34], x[:, 35], x[:, 36], x[:, 37], x[:, 38] = sure * (margin < 1), sure * (margin < 2), sure * (known < 0.97), sure * (known < 0.9), sure * (known < 0.75)
+    x[:, 39] = (judged > 20) & ((margin < 2) | (known < 0.9))
+    x[:, 18], x[:, 19], x[:, 20] = (0 < n) & (n < 12), (0 < n) & (n < 45), (n > 0) & (m > 20) & (n < 0.35 * m)
+    h = hard_size[of_src]
+    begin = np.r_[0, np.cumsum(h)]
+    each = np.repeat(np.arange(len(rows)), h)
+    place = np.arange(begin[-1]) - begin[each]
+    held = _looked_up(each * k + flat_hard[(np.r_[0, np.cumsum(hard_size)][of_src])[each] + place], have) > 0
+    part = np.maximum(2, h // 8)
+    kept, last, first = (np.bincount(each, held & v, len(rows)) for v in (True, place >= (h - part)[each], place < part[each]))
+    x[:, 21], x[:, 22], x[:, 23], x[:, 24] = kept / np.maximum(1, h), (h > 0) & (kept == 0), (h > 0) & (last == 0), (h > 0) & (first == 0)
+    x[:, 30] = np.where(x[:, 29] != 0, x[:, 23], 0)
+    x[:, 31] = (0 < n) & (n < 60) & (share_any < 0.5) & ((x[:, 22] > 0) | (h == 0))
+    x[:, 32] = (x[:, 29] == 0) & (x[:, 23] > 0)
+    x[:, 33] = 1
+    # words and pairs of neighbours; words with digits count as one
+    one = hashes[flat]
+    two = ((one[:-1] * np.uint32(0x9E3779B1)) ^ one[1:])[row[1:] == row[:-1]]
+    return x.astype(np.float32), texts, names, (np.concatenate([one, two]) % np.uint32(BUCKETS)).astype(np.int64), np.concatenate([row, row[1:][row[1:] == row[:-1]]])
 
 
 #: Which features speak for which label: profiles alone tell the language, how an answer ends tells only a cut, and the language says nothing about a refusal.
@@ -280,31 +371,49 @@ SEEN_D[_LANGUAGE, LABELS.index("refusal")] = 0
 SEEN_D[[*range(1, 10), *range(18, 33)], LABELS.index("wrong_language")] = 0
 
 
-def shaped(names: list[str]) -> np.ndarray:
-    return np.fromiter((zlib.crc32(x.encode("utf-8", "surrogatepass")) % SHAPES for x in names), np.int32, len(names))
+@lru_cache(200_000)
+def _shape_bucket(name: str) -> int:
+    return zlib.crc32(name.encode("utf-8", "surrogatepass")) % SHAPES
 
 
-Made = tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]
+class Bags:
+    """Buckets of many lists, each list's different ones in a row from ``starts``, and how often it has them, over its length to a power."""
 
+    def __init__(self, starts: np.ndarray, at: np.ndarray, share: np.ndarray):
+        self.starts, self.at, self.share = starts, at, share
 
-def _mass(table: np.ndarray, lists: list[np.ndarray], power: float) -> np.ndarray:
-    """Sum of the table's rows for each list, over its length to ``power``."""
-    size = np.array([len(g) for g in lists])
-    if not size.sum():
-        return np.zeros((len(lists), table.shape[1]), np.float32)
-    sums = np.add.reduceat(table[np.concatenate(lists)], np.minimum(np.r_[0, np.cumsum(size)[:-1]], size.sum() - 1), axis=0)
-    return np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None] ** power, 0)
+    @classmethod
+    def of(cls, flat: np.ndarray, rows: np.ndarray, n: int, buckets: int, power: float) -> Bags:
+        """From the buckets of ``n`` lists, with each one's list."""
+        key, times = _counted(rows * buckets + flat)
+        row = key // buckets
+        share = times.astype(np.float32) / (np.maximum(np.bincount(rows, minlength=n), 1) ** power).astype(np.float32)[row]
+        return cls(np.searchsorted(row, np.arange(n + 1)), (key % buckets).astype(np.int32), share)
 
+    @classmethod
+    def joined(cls, parts: list[Bags]) -> Bags:
+        ends = np.cumsum([0, *(p.starts[-1] for p in parts)])
+        return cls(np.concatenate([*(p.starts[:-1] + e for p, e in zip(parts, ends)), ends[-1:]]), np.concatenate([p.at for p in parts]), np.concatenate([p.share for p in parts]))
 
-def _shares(lists: list[np.ndarray], buckets: int, power: float) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets that occur in the lists, and how often in each list, over its length to ``power``."""
-    size = np.array([len(x) for x in lists])
-    flat, at = np.concatenate(lists), np.zeros(buckets, np.int64)
-    at[flat] = 1
-    u = np.flatnonzero(at)
-    at[u] = np.arange(len(u))
-    n = np.bincount(np.repeat(np.arange(len(lists)) * len(u), size) + at[flat], minlength=len(lists) * len(u)).reshape(len(lists), len(u))
-    return u, n.astype(np.float32) / (np.maximum(size, 1)[:, None] ** power).astype(np.float32)
+    def take(self, pick: np.ndarray, filled: np.ndarray | None = None) -> Bags:
+        """The picked lists in their order; those not ``filled`` are empty."""
+        size = self.starts[pick + 1] - self.starts[pick]
+        if filled is not None:
+            size = size * filled
+        starts = np.r_[0, np.cumsum(size)]
+        flat = np.arange(starts[-1]) + np.repeat(self.starts[pick] - starts[:-1], size)
+        return Bags(starts, self.at.take(flat), self.share.take(flat))
+
+    def rows(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
+
+    def mass(self, table: np.ndarray) -> np.ndarray:
+        """Sum of the table's rows for each list, weighted by the shares."""
+        rows, at, n = self.rows(), self.at.astype(np.intp), len(self.starts) - 1
+        return np.stack([np.bincount(rows, c.take(at) * self.share, n) if c.any() else np.zeros(n) for c in np.ascontiguousarray(table.T)], axis=1)
+
+
+Made = tuple[np.ndarray, Bags, Bags]
 
 
 class Linear:
@@ -316,38 +425,60 @@ class Linear:
         self.limit, self.foreign, self.profiles = np.full(k, 0.5), 0.5, Profiles()
 
     def made(self, rows: list[tuple[str, str, str | None]]) -> Made:
-        f = [features(*r, self.profiles) for r in rows]
-        return np.stack([x for x, _, _ in f]), [hashed(w) for _, w, _ in f], [shaped(e) for _, _, e in f]
+        dense, grams, ends = [], [], []
+        for s in range(0, len(rows), 1_000):
+            x, _, names, flat, at = featured(rows[s:s + 1_000], self.profiles)
+            dense.append(x)
+            grams.append(Bags.of(flat, at, len(x), BUCKETS, 0.5))
+            size = [len(v) for v in names]
+            ends.append(Bags.of(np.fromiter(map(_shape_bucket, chain.from_iterable(names)), np.int64, sum(size)), np.repeat(np.arange(len(x)), size), len(x), SHAPES, 0.0))
+        return np.concatenate(dense), Bags.joined(grams), Bags.joined(ends)
 
     def probabilities(self, made: Made) -> np.ndarray:
         dense, grams, ends = made
-        return 1 / (1 + np.exp(-(dense @ self.D + _mass(self.W, grams, 0.5) + _mass(self.V, ends, 0.0))))
+        return 1 / (1 + np.exp(-(dense @ self.D + grams.mass(self.W) + ends.mass(self.V))))
 
     def fit(self, made: Made, y: np.ndarray, epochs: int = 12) -> None:
         """Gradient steps; at random a pair goes without its n-grams or without its dense features, so that neither rests on the other."""
         r = np.random.default_rng(SEED)
-        sums = {"D": np.full_like(self.D, 1e-2), "W": np.full_like(self.W, 1e-5), "V": np.full_like(self.V, 1e-3)}
+        sums = np.full_like(self.D, 1e-2)
         dense, grams, ends = made
-        none = np.empty(0, np.int32)
+        # of each table only the columns of the labels that it speaks for
+        tables = [(np.ascontiguousarray(table[:, seen > 0]), np.full((len(table), int(seen.sum())), least, np.float32), np.flatnonzero(seen), np.zeros(len(table), bool), np.empty(len(table), np.int64)) for table, seen, least in ((self.W, SEEN_W, 1e-5), (self.V, SEEN_V, 1e-3))]
+        count = np.arange(max(BUCKETS, SHAPES))
         for _ in range(epochs):
-            order = r.permutation(len(y))
+            order, u = r.permutation(len(y)), r.random(len(y))
+            xs, ys = dense[order] * (u > 0.15)[:, None], y[order]
+            free = ys[:, [LABELS.index("refusal"), LABELS.index("copy")]].any(axis=1)  # their language is not judged
+            bags = [(b, b.rows()) for b in (grams.take(order, u < 0.6), ends.take(order))]
             for s in range(0, len(y), 64):
-                pick = order[s:s + 64]
-                u = r.random(len(pick))
-                x = dense[pick] * (u > 0.15)[:, None]
-                parts = []
-                for name, table, lists, power, seen in (("W", self.W, [grams[i] if v < 0.6 else none for i, v in zip(pick, u)], 0.5, SEEN_W), ("V", self.V, [ends[i] for i in pick], 0.0, SEEN_V)):
-                    parts.append((name, table, seen, *_shares(lists, len(table), power)))
-                z = x @ self.D + sum(share @ table[at] for _, table, _, at, share in parts)
-                d = (1 / (1 + np.exp(-z)) - y[pick]) / len(pick)
-                d[y[pick][:, [LABELS.index("refusal"), LABELS.index("copy")]].any(axis=1), LABELS.index("wrong_language")] = 0  # their language is not judged
-                g = (x.T @ d + 1e-4 * self.D) * SEEN_D
-                sums["D"] += g * g
-                self.D -= 0.3 * g / np.sqrt(sums["D"])
-                for name, table, seen, at, share in parts:
-                    g = (share.T @ d + 1e-4 * table[at]) * seen
-                    sums[name][at] += g * g
-                    table[at] -= 0.1 * g / np.sqrt(sums[name][at])
+                x = xs[s:s + 64]
+                z, parts = x @ self.D, []
+                for (bag, rows), (table, _, labels, seen, place) in zip(bags, tables):
+                    cut = slice(bag.starts[s], bag.starts[min(s + 64, len(y))])
+                    buckets = bag.at[cut]
+                    seen[buckets] = True
+                    at = np.flatnonzero(seen)
+                    seen[at] = False
+                    place[at] = count[:len(at)]
+                    share = np.zeros((len(x), len(at)), np.float32)
+                    share.reshape(-1)[(rows[cut] - s) * len(at) + place.take(buckets)] = bag.share[cut]
+                    now = table.take(at, axis=0)
+                    z[:, labels] += share @ now
+                    parts.append((at, share, now))
+                d = (1 / (1 + np.exp(-z)) - ys[s:s + 64]) / np.float32(len(x))
+                d[free[s:s + 64], LABELS.index("wrong_language")] = 0
+                g = (x.T @ d + np.float32(1e-4) * self.D) * SEEN_D
+                sums += g * g
+                self.D -= np.float32(0.3) * g / np.sqrt(sums)
+                for (at, share, now), (table, squares, labels, _, _) in zip(parts, tables):
+                    g = share.T @ d[:, labels] + np.float32(1e-4) * now
+                    root = squares.take(at, axis=0) + g * g
+                    whole = f"V{4 * len(labels)}"  # a row at a time
+                    squares.view(whole)[at, 0] = root.view(whole)[:, 0]
+                    table.view(whole)[at, 0] = (now - np.float32(0.1) * g / np.sqrt(root)).view(whole)[:, 0]
+        for whole, (table, _, labels, _, _) in zip((self.W, self.V), tables):
+            whole[:, labels] = table
 
     def decide(self, made: Made) -> tuple[list[str | None], np.ndarray]:
         """The defect of each pair, the likeliest of those over their thresholds, and its probability.
@@ -364,8 +495,12 @@ class Linear:
         return [LABELS[k] if a else None for k, a in zip(pick, any_)], np.where(any_, p[np.arange(len(p)), pick], 1 - p.max(axis=1, initial=0))
 
 
+def _one(some, r: np.random.Generator):
+    return some[int(r.integers(0, len(some)))]
+
+
 def _refusal(r: np.random.Generator) -> str:
-    return " ".join(x for x in (str(r.choice(part)) for part in REFUSE[str(r.choice(["en", "en", "fr", "fr", "es", "de", "en, of the task", "fr, of the task"]))]) if x)
+    return " ".join(x for x in [_one(part, r) for part in REFUSE[_one(("en", "en", "fr", "fr", "es", "de", "en, of the task", "fr, of the task"), r)]] if x)
 
 
 def _cut(text: str, r: np.random.Generator) -> str | None:
@@ -427,7 +562,7 @@ def synthetic(rows: list[tuple[str, str, str | None]]) -> tuple[list[tuple[str,
         want = _asked(a)[1]
         wrap = lambda v: json.dumps({"translated_title": "Document", "translated_content": v, "preserved_elements": []}, ensure_ascii=False)
         if i % 4 == 0 and not damaged:
-            text = body + str(r.choice(BEHIND))
+            text = body + _one(BEHIND, r)
             add((a, s, wrap(text) if is_json and r.random() < 0.5 else text))
         if i % 4 == 2 and len(part := _part(body, r)) > 60 and part.rstrip().endswith((".", "!", "?")):
             add((a, s, part))  # short, but whole
@@ -451,13 +586,13 @@ def synthetic(rows: list[tuple[str, str, str | None]]) -> tuple[list[tuple[str,
                     text = _foreign(_part(text, r) if r.random() < 0.5 else text, s, r)
                     add((a, s, wrap(text) if is_json and r.random() < 0.7 else text), "wrong_language")
                 elif others:  # the answer to another text, or the same answer to an instruction that asks for another language
-                    other = str(r.choice(others))
+                    other = _one(others, r)
                     if way < 0.6:
                         add((a, s, by[other][int(r.integers(0, len(by[other])))][1]), "wrong_language")
                     else:
                         add((asks[other][int(r.integers(0, len(asks[other])))], s, t), "wrong_language")
             else:
-                add((a, s, str(r.choice(["", " ", "\n\n", "N/A", "null", "[]", "{}", "...", "-", "« »", "None", "```\n```", '{"translated_content": ""}']))), "empty")
+                add((a, s, _one(("", " ", "\n\n", "N/A", "null", "[]", "{}", "...", "-", "« »", "None", "```\n```", '{"translated_content": ""}'), r)), "empty")
     return out, np.array(y, np.float32).reshape(-1, len(LABELS)), np.array(given, bool)
 
 
@@ -472,7 +607,7 @@ def learned(rows: list[tuple[str, str, str | None]], profiles: Profiles) -> np.n
     model.profiles = profiles
     dense, grams, ends = model.made(pairs)
     times = lambda n: max(1, round(n * min(1, ENOUGH / len(y))))
-    some = lambda at: (dense[at], [grams[i] for i in at], [ends[i] for i in at])
+    some = lambda at: (dense[at], grams.take(at), ends.take(at))
     fold, use = np.arange(len(y)) // 4 % 2, np.ones(len(y), bool)
     for _ in range(3):
         p = np.zeros_like(y)

@@ -296,6 +296,27 @@ def test_all_answers_teach(spark, monkeypatch):
     assert {k for k, v in got.items() if v == "wrong_language"} == set(wrong) and sum(v is not None for v in got.values()) <= 8
 
 
+def test_pairs_taken_together_have_the_features_of_each():
+    r = random.Random(11)
+    p = answers.Profiles([("fr", answers.WORD.findall(FR.lower()))] * 200 + [("en", answers.WORD.findall(EN.lower()))] * 200)
+    mixed = lambda n: " ".join(r.choice((FR + EN + " a1 b_2 ½ ²").split()) for _ in range(n))
+    rows = [(r.choice([ASK_FR, ASK_EN, "x"]), r.choice(["", EN, mixed(30)]), r.choice([None, "", "n/a", FR, EN, mixed(25), json.dumps({"title": "a", "text": mixed(9)}), "| a | b |\n| 1"])) for _ in range(300)]
+    model = answers.Linear()
+    model.profiles = p
+    dense, grams, ends = model.made(rows)
+    table = np.random.default_rng(1).random((answers.BUCKETS, 5))
+    for i, (row, mass) in enumerate(zip(rows, grams.mass(table))):
+        x, words, names = answers.features(*row, p)
+        assert (dense[i] == x).all()
+        src, have = answers.Counter(answers.WORD.findall(row[1].lower())), answers.Counter(words)
+        margin, known, n = p.fit(answers.asked_language(row[0]), have, src)
+        assert x[10] == pytest.approx((have & src).total() / max(1, len(words))) and x[14] == pytest.approx(min(1, n / 12) * max(-4, min(4, margin)) / 2, abs=1e-6) and x[16] == pytest.approx(min(1, n / 12) * (1 - known), abs=1e-6)
+        h = [answers.zlib.crc32(b"#" if not w.isalpha() and any(c.isdigit() for c in w) else w.encode()) for w in words]
+        h += [(a * 0x9E3779B1 & 0xFFFFFFFF) ^ b for a, b in zip(h, h[1:])]
+        assert mass == pytest.approx(sum((table[v % answers.BUCKETS] for v in h), start=np.zeros(5)) / max(1, len(h)) ** 0.5)
+        assert sorted(ends.at[ends.starts[i]:ends.starts[i + 1]]) == sorted({answers.zlib.crc32(v.encode()) % answers.SHAPES for v in names})
+
+
 BASE = "result_id bigint, modele string, prompt string, reponse string"
 EVAL = "run_id string, modele string, baseline_test array<struct<id:string, categorie:string, prompt:string, response:string, duree:double>>"
 
