@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
+from struct import pack
+from sys import byteorder
 
 import numpy as np
 import pandas as pd
@@ -20,6 +23,8 @@ BLOCK, BLOCK_SIGNS, PARTS = 25_000, 50_000_000, 64
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 16, (1, 2, 3), 16
 #: Epochs of the networks that look for slips among the labels, of those that score held-out labels, and of the last one.
 EPOCHS, RATE, SEED = (3, 5, 6), 0.06, 5
+#: Words that are scored at once.
+CELLS = 15_000
 #: Weight of an unlabelled document, a weak example of ordinary text; less where in an epoch there are more of them than labelled ones.
 WEAK = 0.5
 #: Scores that may become thresholds.
@@ -105,11 +110,34 @@ def units(word: str) -> list[int]:
     return [_hash(p) for p in parts]
 
 
+class _Numbers(dict):
+    """Buckets of each word, packed into one number; words of one plain spelling share them."""
+
+    def __init__(self):
+        super().__init__()
+        self.plain: dict[str, int] = {}
+
+    def __missing__(self, word: str) -> int:
+        plain = _plain(word)
+        if plain != word and plain in self.plain:
+            n = self.plain[plain]
+        else:
+            u = units(STRETCHED.sub(r"\1", plain))
+            n = self.plain[plain] = int.from_bytes(pack("4h", *u, *[-1] * (4 - len(u))), byteorder, signed=True)
+        self[word] = n
+        return n
+
+    def clear(self) -> None:
+        super().clear()
+        self.plain.clear()
+
+
 class Encoder:
     """Word embeddings' buckets by word, kept for words that come again: prose first, then behind a gap all the rest."""
 
     def __init__(self):
         self.cache: dict[str, list[int]] = {}
+        self.numbers = _Numbers()
 
     def __call__(self, text: str) -> list[list[int]]:
         if len(self.cache) > 200_000:
@@ -122,6 +150,17 @@ class Encoder:
             out += [get(w) or new(w) for w in rest]
         return out
 
+    def packed(self, text: str) -> bytes:
+        """The same, four numbers of 16 bits a word, -1 for none."""
+        if len(self.numbers) > 200_000:
+            self.numbers.clear()
+        prose, rest = _parted(text)
+        words = array("q", map(self.numbers.__getitem__, prose))
+        if rest:
+            words.extend([-1] * (max(WIDTHS) - 1))
+            words.extend(map(self.numbers.__getitem__, rest))
+        return words.tobytes()
+
     def _new(self, word: str) -> list[int]:
         plain = _plain(word)
         u = self.cache.get(plain) or units(STRETCHED.sub(r"\1", plain))
@@ -153,19 +192,28 @@ class Network:
         self.v = np.abs(r.normal(0, 0.1, len(WIDTHS) * FILTERS)).astype(np.float32)
         self.b = np.float32(-2)
 
-    def forward(self, ids: np.ndarray, table: np.ndarray | None = None) -> tuple:
-        x = self.E[ids].sum(axis=2)
+    def filtered(self, x: np.ndarray) -> list[np.ndarray]:
+        """What words, as sums of their embeddings, add to the filters at each place of their windows: an array for each of these places."""
+        return [x @ k[i * DIM:(i + 1) * DIM] for w, k in zip(WIDTHS, self.K) for i in range(w)]
+
+    def forward(self, ids: np.ndarray) -> tuple:
+        """Words' embeddings, the filters' largest values and where they are, and what comes out, for buckets as from ``_padded``."""
+        x = self.E.take(ids[:, :, 0], axis=0)
+        for i in range(1, ids.shape[2]):
+            x += self.E.take(ids[:, :, i], axis=0)
         n, t, _ = x.shape
-        pooled, at, wins = [], [], []
-        for w, k, c in zip(WIDTHS, self.K, self.c):
-            win = np.concatenate([x[:, i:t - w + 1 + i] for i in range(w)], axis=2)
-            h = win @ k + c
+        added = [h.reshape(n, t, FILTERS) for h in self.filtered(x.reshape(n * t, DIM))]
+        pooled, at, first = [], [], 0
+        for w, c in zip(WIDTHS, self.c):
+            h = added[first][:, :t - w + 1]
+            for i in range(1, w):
+                h = h + added[first + i][:, i:t - w + 1 + i]
             a = h.argmax(axis=1)
-            pooled.append(np.take_along_axis(h, a[:, None], 1)[:, 0])
+            pooled.append(np.take_along_axis(h, a[:, None], 1)[:, 0] + c)
             at.append(a)
-            wins.append(win)
+            first += w
         p = np.concatenate(pooled, axis=1)
-        return x, p, at, wins, np.maximum(p, 0) @ self.v + self.b
+        return x, p, at, np.maximum(p, 0) @ self.v + self.b
 
     def fit(self, docs: list[np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int, state: dict[str, np.ndarray], seed: int = SEED) -> None:
         """Adaptive gradient steps over documents as from ``_ids``, each with its label and weight; ``state`` holds the squares so far."""
@@ -184,34 +232,42 @@ class Network:
             for s in starts:
                 pick = order[s:s + 32]
                 ids = _padded([docs[i] for i in pick])
-                ids[r.random(ids.shape, np.float32) < 0.1] = -1
-                x, p, at, wins, z = self.forward(ids)
+                np.putmask(ids, r.random(ids.shape, np.float32) < 0.1, -1)
+                x, p, at, z = self.forward(ids)
                 d = ((1 / (1 + np.exp(-z)) - y[pick]) * weight[pick] / len(pick)).astype(np.float32)
                 act = np.maximum(p, 0)
                 keep = r.random(act.shape, np.float32) >= 0.2
                 gp = np.outer(d, self.v).astype(np.float32) * (p > 0) * keep
-                gx = np.zeros_like(x)
-                rows = np.arange(len(pick))[:, None]
+                t = x.shape[1]
+                x, rows = x.reshape(-1, DIM), np.arange(len(pick))[:, None] * t
+                spots, grads = [], []  # words that a filter's largest value comes from, and the gradients there
                 for j, w in enumerate(WIDTHS):
                     g = gp[:, j * FILTERS:(j + 1) * FILTERS]
-                    best = wins[j][rows, at[j]]
-                    gk = np.einsum("nf,nfd->df", g, best)
-                    back = np.einsum("nf,df->nfd", g, self.K[j])
+                    some, filters = np.nonzero(g)
+                    of, first = g[some, filters][:, None], rows[some, 0] + at[j][some, filters]
+                    gk = np.empty_like(self.K[j])
+                    hit = np.zeros((len(some), FILTERS), np.float32)
+                    hit[np.arange(len(some)), filters] = of[:, 0]
                     for i in range(w):
-                        np.add.at(gx, (rows, at[j] + i), back[:, :, i * DIM:(i + 1) * DIM])
+                        cut = slice(i * DIM, (i + 1) * DIM)
+                        spots.append(first + i)
+                        gk[cut] = x.take(first + i, axis=0).T @ hit
+                        grads.append(hit @ self.K[j][cut].T)
                     step(f"K{j}", self.K[j], gk)
                     step(f"c{j}", self.c[j], g.sum(axis=0))
                 step("v", self.v, act.T @ d)
                 np.maximum(self.v, 0, out=self.v)  # ordinary text around abuse must not speak against it
                 self.b -= np.float32(RATE) * d.sum()
-                touched = np.abs(gx).sum(axis=2) > 0
-                flat, grads = ids[touched].ravel(), np.repeat(gx[touched], 4, axis=0)
-                u, inv = np.unique(flat[flat >= 0], return_inverse=True)
-                order_, ok = np.argsort(inv, kind="stable"), flat >= 0
-                ge = np.add.reduceat(grads[ok][order_], np.searchsorted(inv[order_], np.arange(len(u))), axis=0) if len(u) else np.zeros((0, DIM), np.float32)
-                g = state["E"]
-                g[u] += ge * ge
-                self.E[u] -= RATE * ge / np.sqrt(g[u])
+                flat = ids.reshape(-1, 4)[np.concatenate(spots)].astype(np.int16).ravel()
+                order_ = np.argsort(flat, kind="stable")
+                order_ = order_[np.searchsorted(flat[order_], 0):]
+                if len(order_):
+                    begin = np.flatnonzero(np.r_[True, np.diff(flat[order_]) != 0])
+                    ge = np.add.reduceat(np.concatenate(grads).take(order_ // 4, axis=0), begin, axis=0)
+                    u = flat[order_[begin]].astype(np.intp)
+                    squares = state["E"].take(u, axis=0) + ge * ge
+                    state["E"][u] = squares
+                    self.E[u] -= RATE * ge / np.sqrt(squares)
 
     def start(self) -> dict[str, np.ndarray]:
         """Squares of the gradients before the first step."""
@@ -234,28 +290,18 @@ class Network:
         self.b = np.float32(flat[at])
         return state
 
-    def projected(self, words: list[list[int]]) -> np.ndarray:
-        """What each word adds to the filters at each place of their windows: (sum of ``WIDTHS``, words, filters)."""
-        x = self.E[_ids(words)].sum(axis=1)
-        return np.stack([x @ k[i * DIM:(i + 1) * DIM] for w, k in zip(WIDTHS, self.K) for i in range(w)])
+    def score(self, docs: list[list[list[int]]]) -> np.ndarray:
+        """Probabilities of documents as from ``Encoder``."""
+        return _scored(self, [_ids(d).astype(np.int16).tobytes() for d in docs])
 
-    def score(self, docs: list[list[list[int]]], cells: int = 60_000) -> np.ndarray:
-        """Probabilities; documents of like length go together, and long ones in overlapping stretches, none cut off.
+    def pooled(self, docs: list[np.ndarray], words: np.ndarray, cells: int = CELLS) -> np.ndarray:
+        """Probabilities of documents, given the numbers of their words in ``words``, of which 0 is none; each word there goes through the filters once.
 
-        Each different word, told apart by its list of buckets, is sent through the filters once; 0 stands for none.
+        Documents of like length go together, and long ones in overlapping stretches, none cut off.
         """
-        number: dict[int, int] = {}
-        words: list[list[int]] = [[]]
-
-        def new(u: list[int]) -> int:
-            words.append(u)
-            number[id(u)] = len(words) - 1
-            return len(words) - 1
-
-        numbered = [[number.get(id(u)) or new(u) for u in d] for d in docs]
-        added = self.projected(words)
+        added = self.filtered(self.E[words].sum(axis=1))
         stretch, back = 512, max(WIDTHS) - 1
-        parts = [(i, d[s:s + stretch]) for i, d in enumerate(numbered) for s in range(0, max(1, len(d) - back), stretch - back)]
+        parts = [(i, d[s:s + stretch]) for i, d in enumerate(docs) for s in range(0, max(1, len(d) - back), stretch - back)]
         parts.sort(key=lambda x: len(x[1]))
         out = np.full(len(docs), -np.inf)
         at = 0
@@ -263,7 +309,9 @@ class Network:
             n = max(1, cells // max(8, len(parts[min(len(parts) - 1, at + 255)][1])))
             some = parts[at:at + min(n, 256)]
             t = max(max(WIDTHS), len(some[-1][1]))
-            ids = np.array([d + [0] * (t - len(d)) for _, d in some], np.int32)
+            ids = np.zeros((len(some), t), np.intp)
+            for k, (_, d) in enumerate(some):
+                ids[k, :len(d)] = d
             pooled, first = [], 0
             for w, c in zip(WIDTHS, self.c):
                 h = added[first].take(ids[:, :t - w + 1], axis=0)
@@ -283,17 +331,16 @@ def language(lang: str | None, text: str | None = None) -> str:
     return code if code in ("fr", "en", "es", "de") else "other"
 
 
-def _scored(net: Network, words: list[bytes]) -> np.ndarray:
+def _scored(net: Network, words: list[bytes | None]) -> np.ndarray:
     """Scores of documents whose words' buckets are packed, four numbers of 16 bits a word."""
-    if not any(words):
-        return net.score([[] for _ in words])
+    words = [w or b"" for w in words]
     different, at = np.unique(np.frombuffer(b"".join(words), np.int64), return_inverse=True)
-    buckets = [[x for x in row if x >= 0] for row in different.view(np.int16).reshape(-1, 4).tolist()]
-    return net.score([[buckets[i] for i in d] for d in np.split(at, np.cumsum([len(w) // 8 for w in words])[:-1])])
+    buckets = np.concatenate([np.full((1, 4), -1, np.int32), different.view(np.int16).reshape(-1, 4).astype(np.int32)])
+    return net.pooled(np.split(at + 1, np.cumsum([len(w) // 8 for w in words])[:-1]) if words else [], buckets)
 
 
 SEEDS = [_ids(Encoder()(t)) for t in ABUSIVE + HARSH]
-TRAINING = ["block", "doc_id", "lang", "y", "n", "fold", "turn", "held", "words"]
+TRAINING = ["block", "doc_id", "source", "lang", "y", "n", "fold", "turn", "held", "words"]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
@@ -327,16 +374,17 @@ def _epoch(rows: DataFrame, nets: list[np.ndarray], usual: float | None, weigh:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = [np.zeros(len(x) + BUCKETS + 2) for x in shared.value]
         for block in _blocks(batches):
-            y, n, fold, turn, held = (block[c].to_numpy(float) for c in ("y", "n", "fold", "turn", "held"))
+            y, n, fold, held = (block[c].to_numpy(float) for c in ("y", "n", "fold", "held"))
+            ids = block["ids"].to_list()
             labelled = ~np.isnan(y)
             fits = np.where(labelled & (y > 0.5), held >= (usual or 0), held < 0.5) if usual is not None else np.ones(len(y), bool)
             for k, flat in enumerate(shared.value):
-                use = np.flatnonzero(fits & ((fold != k) | (len(shared.value) == 1)) & (labelled | (turn % epochs == epoch)))
+                use = np.flatnonzero(fits & ((fold != k) | (len(shared.value) == 1)))
                 abusive = np.where(labelled[use], y[use], 0) > 0.5
                 weight = np.where(labelled[use], np.where(abusive, weigh[k][0], 1.0) * np.sqrt(np.nan_to_num(n[use])), weigh[k][1])
                 net = Network()
                 state = net.put(flat)
-                net.fit([block["ids"].iloc[i] for i in use] + SEEDS, np.r_[abusive, np.ones(len(ABUSIVE)), np.zeros(len(HARSH))].astype(float), np.r_[weight, np.ones(len(SEEDS))], 1, state, SEED + epoch)
+                net.fit([ids[i] for i in use] + SEEDS, np.r_[abusive, np.ones(len(ABUSIVE)), np.zeros(len(HARSH))].astype(float), np.r_[weight, np.ones(len(SEEDS))], 1, state, SEED + epoch)
                 change = net.flat(state).astype(float) - flat
                 sums[k] += np.concatenate([change, change[wide:2 * wide].reshape(-1, DIM).any(axis=1), [1.0]])
         out = [(k, p, x.astype(np.float32).tobytes()) for k, total in enumerate(sums) for p, x in enumerate(np.array_split(total, PARTS))]
@@ -346,7 +394,8 @@ def _epoch(rows: DataFrame, nets: list[np.ndarray], usual: float | None, weigh:
         total = sum(np.frombuffer(v, np.float32).astype(float) for v in sorted(told.column("value").to_pylist()))
         return pa.table({"net": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "value": pa.array([total.tobytes()], pa.binary())})
 
-    told = rows.mapInArrow(run, "net int, part int, value binary").groupBy("net", "part").applyInArrow(add, "net int, part int, value binary").collect()
+    due = rows.select("block", "y", "n", "fold", "held", "words").where(F.col("y").isNotNull() | (F.col("turn") % epochs == epoch))
+    told = due.mapInArrow(run, "net int, part int, value binary").groupBy("net", "part").applyInArrow(add, "net int, part int, value binary").collect()
     out = []
     for k, flat in enumerate(nets):
         total = np.concatenate([np.frombuffer(r.value) for r in sorted(told, key=lambda r: r.part) if r.net == k])
@@ -364,8 +413,8 @@ def _delete(written: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, False)
 
 
-def train(documents: DataFrame, labels: DataFrame) -> tuple[Network, DataFrame]:
-    """Network, and its held-out labels (lang, y, held, slip).
+def train(documents: DataFrame, labels: DataFrame) -> tuple[Network, DataFrame, DataFrame]:
+    """Network, its held-out labels (lang, y, held, slip), and all documents with their words' buckets, null for no text.
 
     It learns from all labelled documents, the seed sentences and all unlabelled documents as ordinary text, in blocks that hashes
     of the ids part them into. Labels of one document are averaged; annotators who disagree teach nothing. Annotators err: networks trained on the
@@ -373,39 +422,40 @@ def train(documents: DataFrame, labels: DataFrame) -> tuple[Network, DataFrame]:
     are left out as slips of the last training, never of the held-out scores.
     """
     votes = labels.where("doc_id is not null and abusive is not null").groupBy("doc_id").agg(F.avg("abusive").alias("y"), F.count("*").cast("double").alias("n")).where("y <> 0.5")
-    docs = documents.where("doc_id is not null and text is not null").select("doc_id", "text", "lang")
-    count, signs = docs.agg(F.count("*"), F.sum(F.length("text"))).first()
+    docs = documents.where("doc_id is not null").select("doc_id", "source", "text", "lang")
+    count, signs = docs.agg(F.count("text"), F.sum(F.length("text"))).first()
     blocks = max(1, -(-count // BLOCK), -(-(signs or 0) // BLOCK_SIGNS))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder()
         for b in batches:
-            words = [_ids(encode(t)).astype(np.int16).tobytes() for t in b.column("text").to_pylist()]
+            words = [None if t is None else encode.packed(t) for t in b.column("text").to_pylist()]
             langs = [language(x) for x in b.column("lang").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(langs, pa.string()), pa.array(words, pa.binary())], ["doc_id", "lang", "words"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(langs, pa.string()), pa.array(words, pa.binary())], ["doc_id", "source", "lang", "words"])
 
     spot = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 40))
     key = f"doc_id {dict(docs.dtypes)['doc_id']}"
-    rows = docs.mapInArrow(encoded, f"{key}, lang string, words binary").dropDuplicates(["doc_id"]).join(votes, "doc_id", "left").select(
-        (spot % blocks).cast("int").alias("block"), "doc_id", "lang", "y", "n", F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id"), F.lit(2)).cast("int").alias("fold"),
+    once = docs.mapInArrow(encoded, f"{key}, source string, lang string, words binary").groupBy("doc_id").agg(F.first("source").alias("source"), F.first("lang").alias("lang"), F.first("words", ignorenulls=True).alias("words"))
+    rows = once.join(votes, "doc_id", "left").select(
+        (spot % blocks).cast("int").alias("block"), "doc_id", "source", "lang", "y", "n", F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id"), F.lit(2)).cast("int").alias("fold"),
         F.pmod(F.xxhash64(F.lit(SEED + 2), "doc_id"), F.lit(60)).cast("int").alias("turn"), F.lit(0.0).alias("held"), "words")
     rows = materialize(rows.repartitionById(blocks, "block").sortWithinPartitions("block", "doc_id"), "training")
-    told = rows.where("y is not null").select("lang", (F.col("y") > 0.5).alias("y"), "held", F.lit(False).alias("slip"))
+    told = rows.where("y is not null and words is not null").select("lang", (F.col("y") > 0.5).alias("y"), "held", F.lit(False).alias("slip"))
     if not told.where("y").limit(1).count():
-        return Network(), told
+        return Network(), told, rows
     usual = None
 
     def fitted(halves: int, epochs: int) -> list[Network]:
         fits = F.lit(True) if usual is None else F.when(F.col("y") > 0.5, F.col("held") >= usual).otherwise(F.col("held") < 0.5)
         kinds = F.when(F.col("y").isNull(), 2).when(F.col("y") > 0.5, 1).otherwise(0)
-        n = {(r.fold, r.kind): r.n for r in rows.where(fits).groupBy("fold", kinds.alias("kind")).agg(F.count("*").alias("n")).collect()}
+        n = {(r.fold, r.kind): r.n for r in rows.where(fits).where("words is not null").groupBy("fold", kinds.alias("kind")).agg(F.count("*").alias("n")).collect()}
         weigh = []
         for k in range(halves):
             ordinary, abusive, weak = (sum(n.get((f, kind), 0) for f in range(2) if f != k or halves == 1) for kind in range(3))
             weigh.append((min(6.0, max(1.0, ordinary / max(1, abusive) / 2)), WEAK * min(1.0, epochs * (ordinary + abusive) / max(1, weak))))
         nets = [Network().flat(Network().start())] * halves
         for epoch in range(epochs):
-            nets = _epoch(rows, nets, usual, weigh, epoch, epochs)
+            nets = _epoch(rows.where("words is not null"), nets, usual, weigh, epoch, epochs)
         out = [Network() for _ in nets]
         for net, flat in zip(out, nets):
             net.put(flat)
@@ -425,10 +475,10 @@ def train(documents: DataFrame, labels: DataFrame) -> tuple[Network, DataFrame]:
 
         before, rows = rows, materialize(rows.mapInArrow(hold, rows.schema), "held")
         _delete(before)
-        most = rows.where("y < 0.5").agg(F.percentile("held", 0.97)).first()[0]
+        most = rows.where("y < 0.5 and words is not null").agg(F.percentile("held", 0.97)).first()[0]
         usual = min(0.5, most) if most is not None else 0.0
     slip = ~F.when(F.col("y") > 0.5, F.col("held") >= usual).otherwise(F.col("held") < 0.5)
-    return fitted(1, EPOCHS[2])[0], rows.where("y is not null").select("lang", (F.col("y") > 0.5).alias("y"), "held", slip.alias("slip"))
+    return fitted(1, EPOCHS[2])[0], rows.where("y is not null and words is not null").select("lang", (F.col("y") > 0.5).alias("y"), "held", slip.alias("slip")), rows
 
 
 def placed(told: DataFrame) -> pd.DataFrame:
@@ -473,20 +523,18 @@ def thresholds(told: pd.DataFrame, counts: pd.DataFrame) -> dict[str, float]:
 
 def judged(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[str, float], DataFrame]:
     """(doc_id, source, lang, score, place) of every document, the thresholds by language, and the held-out labels."""
-    net, told = train(documents, labels)
+    net, told, rows = train(documents, labels)
     shared = documents.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, encode = shared.value, Encoder()
         for b in batches:
-            docs = [encode(t) if t else [] for t in b.column("text").to_pylist()]
-            p = np.where([len(d) == 0 for d in docs], 0.0, model.score(docs)) if docs else np.empty(0)
-            langs = [language(x) for x in b.column("lang").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(langs), pa.array(p, pa.float64()), pa.array(np.searchsorted(GRID, p, "right"), pa.int32())], ["doc_id", "source", "lang", "score", "place"])
+            words = b.column("words").to_pylist()
+            p = np.where([not w for w in words], 0.0, _scored(shared.value, words))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), b.column("lang"), pa.array(p, pa.float64()), pa.array(np.searchsorted(GRID, p, "right"), pa.int32())], ["doc_id", "source", "lang", "score", "place"])
 
-    docs = documents.where("doc_id is not null").select("doc_id", "source", "lang", "text")
+    docs = rows.select("doc_id", "source", "lang", "words")
     scored = docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, source string, lang string, score double, place int")
-    scored = materialize(scored.dropDuplicates(["doc_id"]), "scored")
+    scored = materialize(scored, "scored")
     counts = scored.groupBy("lang", "place").agg(F.count("*").alias("n")).toPandas()  # at most languages x places
     return scored, thresholds(placed(told), counts), told
 

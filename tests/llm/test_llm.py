@@ -212,6 +212,54 @@ def test_all_labels_and_documents_teach(spark, monkeypatch):
     assert [(x.lang, x.abusive_labels, x.ordinary_labels) for x in told] == [("en", 800, 7_200)] and told[0].recall > 0.97 and told[0].precision > 0.97
 
 
+def test_packed_words_are_those_of_the_encoder():
+    r, encode = random.Random(7), abuse.Encoder()
+    texts = ["", " ", "1d10t 1D10T idiooot i d i o t", "| a |", "```\nx-y `b`\n```\n{{c}} #1 é", *("".join(r.choice("ab1é_*@$!.- |`\n") for _ in range(60)) for _ in range(300))]
+    assert [encode.packed(t) for t in texts] == [abuse._ids(abuse.Encoder()(t)).astype(np.int16).tobytes() for t in texts]
+
+
+def test_steps_follow_the_gradient(monkeypatch):
+    """One step without anything left out, against differences of the loss."""
+
+    class Still:
+        random = staticmethod(lambda n, kind=float: np.full(n, 0.5, kind))
+        shuffle = staticmethod(lambda x: None)
+
+    net, words = abuse.Network(), passage(random.Random(2), 30)
+    docs = [abuse._ids(abuse.Encoder()(" ".join(words[4 * i:4 * i + 12]))) for i in range(5)]
+    y, weight = np.array([1.0, 0, 1, 0, 1]), np.array([1.0, 2, 1, 0.5, 1])
+
+    exact = abuse.Network()
+    exact.E, exact.K, exact.c, exact.v = exact.E.astype(float), [k.astype(float) for k in exact.K], [c.astype(float) for c in exact.c], exact.v.astype(float)
+
+    def loss(name, at, by):
+        part = dict(exact.named())[name]
+        part[at] += by
+        z = exact.forward(abuse._padded(docs))[-1]
+        part[at] -= by
+        return (weight * (np.log1p(np.exp(z)) - y * z)).mean()
+
+    u = np.unique(docs[3][docs[3] >= 0])
+    spots = [("K0", (3, 4)), ("K1", (20, 2)), ("K2", (40, 9)), ("K2", (1, 0)), ("c1", 3), ("v", 7), *(("E", (b, 5)) for b in u[:12])]
+    want = [(loss(n, at, 1e-6) - loss(n, at, -1e-6)) / 2e-6 for n, at in spots]
+    before = {n: x.copy() for n, x in net.named()}
+    state = net.start()
+    monkeypatch.setattr(abuse.np.random, "default_rng", lambda seed: Still)
+    net.fit(docs, y, weight, 1, state)
+    for (n, at), g in zip(spots, want):
+        step = (before[n][at] - dict(net.named())[n][at]) * np.sqrt(state[n][at]) / abuse.RATE
+        assert step == pytest.approx(g, rel=1e-2, abs=1e-6), (n, at)
+    assert sum(abs(g) > 1e-5 for g in want) > 5
+
+
+def test_a_repeated_id_without_text_hides_no_text(spark):
+    docs = [(i, f"the queue {w} the disk" + (", you stupid moron" if i % 4 == 0 else ""), "en", "s") for i, w in enumerate(WORDS[:120])] + [(i, None, "en", "s") for i in range(120)]
+    lab = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(120)], "doc_id bigint, abusive int")
+    told = abuse.quality(spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string").coalesce(1), lab).collect()
+    got = abuse.scores(spark.createDataFrame(docs[::-1], "doc_id bigint, text string, lang string, source string").coalesce(1), lab).collect()
+    assert [(x.abusive_labels, x.ordinary_labels) for x in told] == [(30, 90)] and len(got) == 120 and all(x.flagged == (x.doc_id % 4 == 0) for x in got)
+
+
 FR, EN = "Le serveur redémarre la file d'attente avec le module du réseau et les jetons sont dans la base.", "The server restarts the queue with the module of the network and the tokens are in the base."
 ASK_FR, ASK_EN = "Traduis ce document de l'anglais vers le français.", "Translate the document above from French into English."
 
