@@ -105,10 +105,15 @@ def contents(response: str | None) -> tuple[str, list[str], bool, bool]:
 
     In JSON the longest field named as content answers, even if it is blank, else the longest text of all.
     """
-    text, is_json, damaged = payload(response)
-    if not is_json or damaged:
+    s = response or ""
+    t = s.strip()
+    if t[:1] not in ("{", "["):
+        return s, [], False, False
+    try:
+        found = list(strings(json.loads(t)))
+    except ValueError:
+        text, is_json, damaged = payload(response)
         return text, [], is_json, damaged
-    found = list(strings(json.loads(response.strip())))
     named = [i for i, (k, v) in enumerate(found) if CONTENT.search(k)]
     main = max(named or range(len(found)), key=lambda i: len(found[i][1]))
     return found[main][1], [v for i, (_, v) in enumerate(found) if i != main], True, False
@@ -206,8 +211,8 @@ def ending(text: str) -> tuple[list[float], list[str]]:
     plain = len(text) > 200 and not STOP.search(text) and not PAUSE.search(bare[-400:])
     kind = "code" if code else "row" if row else "fence" if fences % 2 else "head" if last.startswith("#") else "item" if last[:2] in ("- ", "* ") else "text"
     alone = "more" if "\n" in bare else "alone"
-    end = shape(bare[-6:])
-    names = [*_tails(end), f"c{bare[-1:]}", f"w{bare[-12:].split()[-1].lower() if bare.split() else ''}", f"k{kind}{alone}", f"k{kind}{end[-1:]}{alone}", f"p{plain}{end[-1:]}"]
+    end, near = shape(bare[-6:]), bare[-12:].split()
+    names = [*_tails(end), f"c{bare[-1:]}", f"w{near[-1].lower() if near else ''}", f"k{kind}{alone}", f"k{kind}{end[-1:]}{alone}", f"p{plain}{end[-1:]}"]
     return [float(fences % 2), float(odd_tick), float(open_row), float(plain)], names
 
 
@@ -219,33 +224,91 @@ def numbered(word: str) -> bool:
     return any(c.isdigit() for c in word)
 
 
+#: Whether a code point is part of a word, 2 where not looked at so far; a number whose powers tell words apart, signs that are taken together.
+_INSIDE, _BASE, SIGNS = np.full(0x110000, 2, np.uint8), 0x2545F4914F6CDD1D, 1 << 20
+
+
+@lru_cache(2)
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a number, and of its inverse, modulo 2 ** 64."""
+    return tuple(np.multiply.accumulate(np.r_[np.uint64(1), np.full((1 << bits) - 1, b, np.uint64)]) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+
+class Spoken:
+    """Words of lowered texts as ``WORD`` finds them: a number of 64 bits for each, the first word of each text, and the letters of all in a row."""
+
+    def __init__(self, texts: list[str]):
+        points = np.frombuffer("\n".join(["", *texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        inside = _INSIDE.take(points)
+        if len(new := points[inside == 2]):
+            for p in np.unique(new).tolist():
+                _INSIDE[p] = chr(p).isalnum()
+            inside = _INSIDE.take(points)
+        edges = np.flatnonzero(inside[1:] != inside[:-1])  # the signs before words, and their last ones
+        begin, end = edges[::2], edges[1::2]
+        power, inverse = _powers(max(18, len(points).bit_length()))
+        total = np.cumsum(points * power[:len(points)])
+        self.words = (total[end] - total[begin]) * inverse[begin]
+        self.at = np.r_[0, np.cumsum(end - begin)]
+        self.letters = points[inside.view(bool)].tobytes().decode("utf-32-le", "surrogatepass")
+        self.starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        self.first, self.begin = np.searchsorted(begin, self.starts), begin
+
+    def word(self, i: int) -> str:
+        return self.letters[self.at[i]:self.at[i + 1]]
+
+    def numbers(self) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each word among the different ones, and a place of each of these."""
+        order = np.argsort(self.words)
+        of = self.words[order]
+        first = np.r_[True, of[1:] != of[:-1]][:len(of)]
+        out = np.empty(len(of), np.int64)
+        out[order] = np.cumsum(first) - 1
+        return out, order[first]
+
+
+def _together(rows: list, signs: list[int]) -> Iterator[list]:
+    """Rows in turn, up to 1,000 at once, fewer where they are long."""
+    some, held = [], 0
+    for row, n in zip(rows, signs):
+        if some and (len(some) == 1_000 or held + n > SIGNS):
+            yield some
+            some, held = [], 0
+        some.append(row)
+        held += n
+    if some:
+        yield some
+
+
 class Words(dict):
-    """Numbers of words, and by number the word's hash, whether it has letters only, and its place in each language's profile."""
+    """Words by their numbers of 64 bits, and of each its hash, whether it has letters only, whether sound answers keep it, and its place in each language's profile."""
 
     def __init__(self, profiles: Profiles):
         super().__init__()
         self.profiles, self.new, n = profiles, [], len(profiles.log)
-        self.told = np.empty(0, np.uint32), np.empty(0, bool), np.empty((n, 0)), np.empty((n, 0), bool)
+        self.told = np.empty(0, np.uint32), np.empty(0, bool), np.empty(0, bool), np.empty((n, 0)), np.empty((n, 0), bool)
 
-    def __missing__(self, w: str) -> int:
+    def add(self, number: int, w: str) -> None:
         plain = w.isalpha()
-        hash_ = zlib.crc32(b"#" if not plain and numbered(w) else w.encode("utf-8", "surrogatepass"))
-        self.new.append((hash_, plain, *[of.get(w, 1.0) for of in self.profiles.log.values()]))  # logarithms of frequencies are below 0
-        self[w] = at = len(self)
-        return at
-
-    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes, whether words have letters only, and by language the logarithm of their frequency and whether the profile has them."""
+        digits = not plain and numbered(w)
+        hash_ = zlib.crc32(b"#" if digits else w.encode("utf-8", "surrogatepass"))
+        self.new.append((hash_, plain, len(w) > 6 or digits, *[of.get(w, 1.0) for of in self.profiles.log.values()]))  # logarithms of frequencies are below 0
+        self[number] = len(self)
+
+    def table(self, spoken: Spoken, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the words at these places: hashes, whether they have letters only, whether they are names, numbers or identifiers, which sound answers keep, and by language the logarithm of their frequency and whether the profile has them."""
+        numbers = spoken.words[places].tolist()
+        for i, x in enumerate(numbers):
+            if x not in self:
+                self.add(x, spoken.word(places[i]))
         if self.new:
             new = np.array(self.new, float).T
-            log, none = new[2:], np.array([self.profiles.none[k] for k in self.profiles.log]).reshape(-1, 1)
-            parts = new[0].astype(np.uint32), new[1] > 0, np.where(log <= 0, log, none), log <= 0
+            log, none = new[3:], np.array([self.profiles.none[k] for k in self.profiles.log]).reshape(-1, 1)
+            parts = new[0].astype(np.uint32), new[1] > 0, new[2] > 0, np.where(log <= 0, log, none), log <= 0
             self.told = tuple(np.concatenate(x, axis=-1) for x in zip(self.told, parts))
             self.new = []
-        return self.told
-
-    def numbers(self, lists: list[list[str]]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, chain.from_iterable(lists)), np.int64, sum(map(len, lists)))
+        at = np.fromiter(map(self.__getitem__, numbers), np.int64, len(numbers))
+        return tuple(x[..., at] for x in self.told)
 
 
 _words = lru_cache(1)(Words)
@@ -253,7 +316,7 @@ _words = lru_cache(1)(Words)
 
 def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Different keys in order, and how often each occurs."""
-    keys = np.sort(keys)
+    keys = np.sort(keys.astype(np.int32) if keys.max(initial=0) < 1 << 31 else keys)  # the narrower, the faster
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][:len(keys)])
     return keys[first], np.diff(np.r_[first, len(keys)])
 
@@ -269,58 +332,65 @@ def _looked_up(keys: np.ndarray, counted: tuple[np.ndarray, np.ndarray]) -> np.n
 
 def features(asked: str, source: str, response: str | None, profiles: Profiles) -> tuple[np.ndarray, list[str], list[str]]:
     """Features of a pair, the answer's words, those of all its JSON fields, and the shape of its end; emptiness and ending are those of its content."""
-    x, words, names, _, _ = featured([(asked, source, response)], profiles)
-    return x[0], words[0], names[0]
+    x, names, _, _ = featured([(asked, source, response)], profiles)
+    text, others, _, _ = contents(response)
+    return x[0], WORD.findall("\n".join([text, *others]).lower()), names[0]
 
 
-def featured(rows: list[tuple[str, str, str | None]], profiles: Profiles) -> tuple[np.ndarray, list[list[str]], list[list[str]], np.ndarray, np.ndarray]:
-    """What ``features`` has of each of some pairs, and the buckets of all n-grams with their pairs."""
+def featured(rows: list[tuple[str, str, str | None]], profiles: Profiles) -> tuple[np.ndarray, list[list[str]], np.ndarray, np.ndarray]:
+    """Features of each of some pairs, the shapes of their ends, and the buckets of all n-grams with their pairs."""
     x = np.zeros((len(rows), DENSE))
-    texts, names, spoken, langs = [], [], [], list(profiles.log)
+    names, flags, langs = [], [], list(profiles.log)
     asks: dict[str, int] = {}
     sources: dict[str, int] = {}
-    src, hard, joined_src, in_asks = [], [], [], []
-    of_ask, of_src, want = (np.empty(len(rows), np.int64) for _ in range(3))
-    for i, (asked, source, response) in enumerate(rows):
+    of_ask, of_src, want = [], [], []
+    told, texts, ends = [], [], []
+    for asked, source, response in rows:
         text, others, is_json, damaged = contents(response)
-        words = WORD.findall(text.lower())
-        main = joined = "".join(words)
-        if others:
-            words += WORD.findall("\n".join(others).lower())
-            joined = "".join(words)
-        texts.append(words)
-        n = len(words)
+        low = text.lower()
+        told.append((text, is_json, damaged))
+        texts.append("\n".join([low, *others]).lower() if others else low)
+        ends.append(len(low))
+        of_ask.append(asks.setdefault(asked, len(asks)))
+        of_src.append(sources.setdefault(source, len(sources)))
+        lang = _asked(asked)[1]
+        want.append(langs.index(lang) if lang in profiles.log else -1)
+    of_ask, of_src, want = (np.array(v, np.int64) for v in (of_ask, of_src, want))
+    spoken = Spoken([*texts, *(a.lower() for a in asks), *(s.lower() for s in sources)])
+    first, letters = spoken.first, spoken.letters
+    until = spoken.at[first]
+    main_until = spoken.at[np.searchsorted(spoken.begin, spoken.starts[:len(rows)] + ends)].tolist()
+    joined_src = [letters[i:j] for i, j in zip(until[len(rows) + len(asks):].tolist(), until[len(rows) + len(asks) + 1:].tolist())]
+    size, ask_size, src_size = np.split(np.diff(first), [len(rows), len(rows) + len(asks)])
+    until = until.tolist()
+    for i, (text, is_json, damaged), n, m, j, (asked, _, _) in zip(range(len(rows)), told, size.tolist(), src_size[of_src].tolist(), of_src.tolist(), rows):
+        joined = letters[until[i]:until[i + 1]]
+        main = joined if main_until[i] == until[i + 1] else letters[until[i]:main_until[i]]
         # no word for nothing has 16 signs
         nothing = not main or len(main) < 16 and (text.strip().strip(".`'\"«» -_*").lower() in NOTHING or main in NOTHING)
-        ask, lang, joined_ask = _asked(asked)
-        if (k := asks.get(asked)) is None:
-            k = asks[asked] = len(asks)
-            in_asks.append(ask)
-        if (j := sources.get(source)) is None:
-            j = sources[source] = len(sources)
-            src.append(own := WORD.findall(source.lower()))
-            joined_src.append("".join(own))
-            hard.append([w for w in own if len(w) > 6 or not w.isalpha() and numbered(w)])  # names, numbers and identifiers, which sound answers keep
-        of_ask[i], of_src[i], want[i] = k, j, langs.index(lang) if lang in profiles.log else -1
-        copied = n >= 3 and any(len(v) > 15 and v in joined_ask for v in (main, joined)) or n >= 3 and len(joined) > 15 and joined_ask in joined and len(ask) > 4 and n < 1.5 * len(ask)
-        whole = len(src[j]) > 4 and n > 0 and (joined_src[j] in joined or any(len(v) > 60 and v in joined_src[j] for v in (main, joined)))
+        ask, _, joined_ask = _asked(asked)
+        copied = n >= 3 and (len(main) > 15 and main in joined_ask or len(joined) > 15 and (joined in joined_ask or joined_ask in joined and len(ask) > 4 and n < 1.5 * len(ask)))
+        src = joined_src[j]
+        whole = m > 4 and n > 0 and (src in joined or len(main) > 60 and main in src or len(joined) > 60 and joined in src)
         opened, end = ending(text) if not nothing else ([0.0] * 4, ["nothing"])
         names.append(end)
-        spoken.append((nothing, is_json, copied, whole, damaged, *opened))
-    x[:, [0, 1, 8, 9, 25, 26, 27, 28, 29]] = spoken
+        flags.append((nothing, is_json, copied, whole, damaged, *opened))
+    x[:, [0, 1, 8, 9, 25, 26, 27, 28, 29]] = flags
     if len(_words(profiles)) > 200_000:
         _words.cache_clear()
     ids = _words(profiles)  # kept for words that come again
-    size, ask_size, src_size, hard_size = (np.array([len(v) for v in lists], np.int64) for lists in (texts, in_asks, src, hard))
-    flat, flat_ask, flat_src, flat_hard = (ids.numbers(v) for v in (texts, in_asks, src, hard))
-    hashes, plain, log, knows = ids.table()
-    k = max(1, len(ids))
+    numbers, places = spoken.numbers()
+    hashes, plain, kept_ones, log, knows = ids.table(spoken, places)
+    flat, flat_ask, flat_src = np.split(numbers, first[[len(rows), len(rows) + len(asks)]])
+    hard = np.flatnonzero(kept_ones[flat_src])
+    flat_hard, hard_size = flat_src[hard], np.bincount(np.repeat(np.arange(len(sources)), src_size)[hard], minlength=len(sources))
+    k = max(1, len(places))
     row = np.repeat(np.arange(len(rows)), size)
     have = _counted(row * k + flat)
     at, word, times = have[0] // k, have[0] % k, have[1]
     total = lambda v: np.bincount(at, v, len(rows))
-    in_src = _looked_up(of_src[at] * k + word, _counted(np.repeat(np.arange(len(src)), src_size) * k + flat_src))
-    in_ask = _looked_up(of_ask[at] * k + word, _counted(np.repeat(np.arange(len(in_asks)), ask_size) * k + flat_ask))
+    in_src = _looked_up(of_src[at] * k + word, _counted(np.repeat(np.arange(len(sources)), src_size) * k + flat_src))
+    in_ask = _looked_up(of_ask[at] * k + word, _counted(np.repeat(np.arange(len(asks)), ask_size) * k + flat_ask))
     n, m, a = size, src_size[of_src], ask_size[of_ask]
     common, from_ask, from_any = total(np.minimum(times, in_src)), total(np.minimum(times, in_ask)), total(times * ((in_src > 0) | (in_ask > 0)))
     share_ask, cover_ask = from_ask / np.maximum(1, n), from_ask / np.maximum(1, a)
@@ -361,7 +431,7 @@ def featured(rows: list[tuple[str, str, str | None]], profiles: Profiles) -> tup
     # words and pairs of neighbours; words with digits count as one
     one = hashes[flat]
     two = ((one[:-1] * np.uint32(0x9E3779B1)) ^ one[1:])[row[1:] == row[:-1]]
-    return x.astype(np.float32), texts, names, (np.concatenate([one, two]) % np.uint32(BUCKETS)).astype(np.int64), np.concatenate([row, row[1:][row[1:] == row[:-1]]])
+    return x.astype(np.float32), names, (np.concatenate([one, two]) % np.uint32(BUCKETS)).astype(np.int64), np.concatenate([row, row[1:][row[1:] == row[:-1]]])
 
 
 #: Which features speak for which label: profiles alone tell the language, how an answer ends tells only a cut, and the language says nothing about a refusal.
@@ -379,8 +449,12 @@ def _shape_bucket(name: str) -> int:
 class Bags:
     """Buckets of many lists, each list's different ones in a row from ``starts``, and how often it has them, over its length to a power."""
 
+    CELL = np.dtype([("at", np.int32), ("share", np.float32)])
+
     def __init__(self, starts: np.ndarray, at: np.ndarray, share: np.ndarray):
-        self.starts, self.at, self.share = starts, at, share
+        self.starts, self.cells = starts, np.empty(len(at), self.CELL)
+        self.at, self.share = self.cells["at"], self.cells["share"]
+        self.at[:], self.share[:] = at, share
 
     @classmethod
     def of(cls, flat: np.ndarray, rows: np.ndarray, n: int, buckets: int, power: float) -> Bags:
@@ -388,21 +462,26 @@ class Bags:
         key, times = _counted(rows * buckets + flat)
         row = key // buckets
         share = times.astype(np.float32) / (np.maximum(np.bincount(rows, minlength=n), 1) ** power).astype(np.float32)[row]
-        return cls(np.searchsorted(row, np.arange(n + 1)), (key % buckets).astype(np.int32), share)
+        return cls(np.searchsorted(row, np.arange(n + 1)), key % buckets, share)
 
     @classmethod
     def joined(cls, parts: list[Bags]) -> Bags:
         ends = np.cumsum([0, *(p.starts[-1] for p in parts)])
         return cls(np.concatenate([*(p.starts[:-1] + e for p, e in zip(parts, ends)), ends[-1:]]), np.concatenate([p.at for p in parts]), np.concatenate([p.share for p in parts]))
 
-    def take(self, pick: np.ndarray, filled: np.ndarray | None = None) -> Bags:
-        """The picked lists in their order; those not ``filled`` are empty."""
-        size = self.starts[pick + 1] - self.starts[pick]
-        if filled is not None:
-            size = size * filled
-        starts = np.r_[0, np.cumsum(size)]
-        flat = np.arange(starts[-1]) + np.repeat(self.starts[pick] - starts[:-1], size)
-        return Bags(starts, self.at.take(flat), self.share.take(flat))
+    def take(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the picked lists start, each with its cells, in their order."""
+        starts = self.starts.take(pick)
+        size = self.starts.take(pick + 1) - starts
+        ends = size.cumsum()
+        flat = (starts - ends + size).repeat(size)
+        flat += np.arange(len(flat))
+        return np.r_[0, ends], self.cells.view(np.int64).take(flat).view(self.CELL), size
+
+    def some(self, pick: np.ndarray) -> Bags:
+        """The picked lists in their order."""
+        starts, cells, _ = self.take(pick)
+        return Bags(starts, cells["at"], cells["share"])
 
     def rows(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
@@ -426,8 +505,8 @@ class Linear:
 
     def made(self, rows: list[tuple[str, str, str | None]]) -> Made:
         dense, grams, ends = [], [], []
-        for s in range(0, len(rows), 1_000):
-            x, _, names, flat, at = featured(rows[s:s + 1_000], self.profiles)
+        for some in _together(rows, [len(source) + len(response or "") for _, source, response in rows]):
+            x, names, flat, at = featured(some, self.profiles)
             dense.append(x)
             grams.append(Bags.of(flat, at, len(x), BUCKETS, 0.5))
             size = [len(v) for v in names]
@@ -438,47 +517,63 @@ class Linear:
         dense, grams, ends = made
         return 1 / (1 + np.exp(-(dense @ self.D + grams.mass(self.W) + ends.mass(self.V))))
 
-    def fit(self, made: Made, y: np.ndarray, epochs: int = 12) -> None:
-        """Gradient steps; at random a pair goes without its n-grams or without its dense features, so that neither rests on the other."""
+    def fit(self, made: Made, y: np.ndarray, epochs: int = 12, of: np.ndarray | None = None) -> None:
+        """Gradient steps over pairs, or those ``of`` them; at random a pair goes without its n-grams or without its dense features, so that neither rests on the other."""
         r = np.random.default_rng(SEED)
         sums = np.full_like(self.D, 1e-2)
         dense, grams, ends = made
-        # of each table only the columns of the labels that it speaks for
-        tables = [(np.ascontiguousarray(table[:, seen > 0]), np.full((len(table), int(seen.sum())), least, np.float32), np.flatnonzero(seen), np.zeros(len(table), bool), np.empty(len(table), np.int64)) for table, seen, least in ((self.W, SEEN_W, 1e-5), (self.V, SEEN_V, 1e-3))]
-        count = np.arange(max(BUCKETS, SHAPES))
+        of = np.arange(len(y)) if of is None else of
+        # n-grams and, behind them, shapes in one table, only of the labels that n-grams speak for; shapes speak for some of these
+        labels = np.flatnonzero(SEEN_W)
+        table = np.ascontiguousarray(np.concatenate([self.W, self.V])[:, labels])
+        squares = np.repeat(np.array([1e-5, 1e-3], np.float32), [BUCKETS, SHAPES])[:, None] * np.ones((1, len(labels)), np.float32)
+        whole = f"V{4 * len(labels)}"  # a row at a time
+        seen, place, count = np.zeros(len(table), bool), np.empty(len(table), np.intp), np.arange(len(table))
+        refusal_copy, wrong = [LABELS.index("refusal"), LABELS.index("copy")], LABELS.index("wrong_language")
         for _ in range(epochs):
-            order, u = r.permutation(len(y)), r.random(len(y))
-            xs, ys = dense[order] * (u > 0.15)[:, None], y[order]
-            free = ys[:, [LABELS.index("refusal"), LABELS.index("copy")]].any(axis=1)  # their language is not judged
-            bags = [(b, b.rows()) for b in (grams.take(order, u < 0.6), ends.take(order))]
-            for s in range(0, len(y), 64):
-                x = xs[s:s + 64]
-                z, parts = x @ self.D, []
-                for (bag, rows), (table, _, labels, seen, place) in zip(bags, tables):
-                    cut = slice(bag.starts[s], bag.starts[min(s + 64, len(y))])
-                    buckets = bag.at[cut]
+            order, u = r.permutation(len(of)), r.random(len(of))
+            pick = of[order]
+            xs, ys = dense[pick] * (u > 0.15)[:, None], y[pick]
+            free = ys[:, refusal_copy].any(axis=1)  # their language is not judged
+            bags = []
+            for bag, own, behind in ((grams, np.flatnonzero(u < 0.6), 0), (ends, np.arange(len(pick)), BUCKETS)):
+                starts, cells, size = bag.take(pick[own])
+                bags.append((starts[np.searchsorted(own, np.arange(0, len(pick) + 64, 64))].tolist(), cells, (own % 64).repeat(size), behind))
+            for s in range(0, len(pick), 64):
+                x, parts = xs[s:s + 64], []
+                for starts, cells, rows, behind in bags:
+                    cut = slice(starts[s // 64], starts[s // 64 + 1])
+                    buckets = cells["at"][cut].astype(np.intp)
+                    buckets += behind
                     seen[buckets] = True
-                    at = np.flatnonzero(seen)
-                    seen[at] = False
-                    place[at] = count[:len(at)]
-                    share = np.zeros((len(x), len(at)), np.float32)
-                    share.reshape(-1)[(rows[cut] - s) * len(at) + place.take(buckets)] = bag.share[cut]
-                    now = table.take(at, axis=0)
-                    z[:, labels] += share @ now
-                    parts.append((at, share, now))
+                    parts.append((buckets, cells["share"][cut], rows[cut]))
+                at = seen.nonzero()[0]
+                seen[at] = False
+                place[at] = count[:len(at)]
+                shares = np.zeros((len(x), len(at)), np.float32)
+                for buckets, share, rows in parts:
+                    spots = rows * len(at)
+                    spots += place.take(buckets)
+                    shares.reshape(-1)[spots] = share
+                now = table.take(at, axis=0)
+                z = x @ self.D
+                z[:, labels] += shares @ now
                 d = (1 / (1 + np.exp(-z)) - ys[s:s + 64]) / np.float32(len(x))
-                d[free[s:s + 64], LABELS.index("wrong_language")] = 0
+                d[free[s:s + 64], wrong] = 0
                 g = (x.T @ d + np.float32(1e-4) * self.D) * SEEN_D
                 sums += g * g
                 self.D -= np.float32(0.3) * g / np.sqrt(sums)
-                for (at, share, now), (table, squares, labels, _, _) in zip(parts, tables):
-                    g = share.T @ d[:, labels] + np.float32(1e-4) * now
-                    root = squares.take(at, axis=0) + g * g
-                    whole = f"V{4 * len(labels)}"  # a row at a time
-                    squares.view(whole)[at, 0] = root.view(whole)[:, 0]
-                    table.view(whole)[at, 0] = (now - np.float32(0.1) * g / np.sqrt(root)).view(whole)[:, 0]
-        for whole, (table, _, labels, _, _) in zip((self.W, self.V), tables):
-            whole[:, labels] = table
+                g = shares.T @ d[:, labels]
+                g[at.searchsorted(BUCKETS):] *= SEEN_V[labels]
+                g += np.float32(1e-4) * now
+                root = squares.take(at, axis=0)
+                root += g * g
+                squares.view(whole)[at, 0] = root.view(whole)[:, 0]
+                g *= np.float32(0.1)
+                g /= np.sqrt(root, out=root)
+                now -= g
+                table.view(whole)[at, 0] = now.view(whole)[:, 0]
+        self.W[:, labels], self.V[:, labels] = np.split(table, [BUCKETS])
 
     def decide(self, made: Made) -> tuple[list[str | None], np.ndarray]:
         """The defect of each pair, the likeliest of those over their thresholds, and its probability.
@@ -606,14 +701,17 @@ def learned(rows: list[tuple[str, str, str | None]], profiles: Profiles) -> np.n
     model = Linear()
     model.profiles = profiles
     dense, grams, ends = model.made(pairs)
+    often = np.argsort(-np.bincount(grams.at, minlength=BUCKETS), kind="stable")  # here buckets are numbered by how many pairs have them, which keeps together what steps go over
+    rank = np.argsort(often)
+    grams = Bags(grams.starts, rank[grams.at], grams.share)
     times = lambda n: max(1, round(n * min(1, ENOUGH / len(y))))
-    some = lambda at: (dense[at], grams.take(at), ends.take(at))
+    some = lambda at: (dense[at], grams.some(at), ends.some(at))
     fold, use = np.arange(len(y)) // 4 % 2, np.ones(len(y), bool)
     for _ in range(3):
         p = np.zeros_like(y)
         for k in range(2):
             half = Linear()
-            half.fit(some(np.flatnonzero((fold != k) & use)), y[(fold != k) & use], times(8))
+            half.fit((dense, grams, ends), y, times(8), np.flatnonzero((fold != k) & use))
             mine = np.flatnonzero(fold == k)
             if len(mine):
                 p[mine] = half.probabilities(some(mine))
@@ -623,7 +721,7 @@ def learned(rows: list[tuple[str, str, str | None]], profiles: Profiles) -> np.n
         told = np.where(p[:, [LABELS.index("refusal"), LABELS.index("copy")]].max(axis=1, keepdims=True) >= 0.5, p * (np.array(LABELS) != "wrong_language"), p)
         y[sure, told[sure].argmax(axis=1)] = 1
         use = ~given | (most < 0.1) | (most >= 0.5)
-    model.fit(some(np.flatnonzero(use)), y[use], times(12))
+    model.fit((dense, grams, ends), y, times(12), np.flatnonzero(use))
     sound, doubtful = given & (y.sum(axis=1) == 0) & use, ~use
     # a false alarm over an answer held for sound weighs more than a miss, as most answers are sound; doubtful ones count as much as misses
     cost = [[10 * (p[sound, k] >= t).sum() + (p[doubtful, k] >= t).sum() + ((p[:, k] < t) & (y[:, k] == 1)).sum() for t in GRID] for k in range(len(LABELS))]
@@ -632,7 +730,7 @@ def learned(rows: list[tuple[str, str, str | None]], profiles: Profiles) -> np.n
     for limit in GRID:
         other = use & (p[:, wrong] >= limit)
         foreign.append([((p[:, refusal] >= t) & (y[:, wrong] == 1) & other).sum() + ((p[:, refusal] < t) & (y[:, refusal] == 1) & other).sum() for t in FOREIGN])
-    table = np.concatenate([model.D, model.W, model.V])
+    table = np.concatenate([model.D, model.W[rank], model.V])
     return np.concatenate([table.ravel(), table.any(axis=1), y.sum(axis=0), np.ravel(cost), np.ravel(foreign)]).astype(np.float32)
 
 
@@ -685,18 +783,28 @@ def profiles_of(pairs: DataFrame) -> Profiles:
         answers: Counter = Counter()
 
         def told() -> pa.RecordBatch:
-            rows = [(g, w, k, held[g][w]) for g, of in n.items() for w, k in of.items() if w.isalpha()] + [(g, None, 0, k) for g, k in answers.items()]
+            rows = [(g, w, k, held[g][w]) for g, of in n.items() for w, k in of.items()] + [(g, None, 0, k) for g, k in answers.items()]
             for x in (n, held, answers):
                 x.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], ["lang", "word", "n", "held"])
 
         for b in batches:
-            for a, s, t in zip(*(b.column(c).to_pylist() for c in ("asked", "source", "response"))):
-                if lang := _asked(_split(a, s)[0])[1]:
-                    words = WORD.findall(payload(t)[0].lower())
-                    n.setdefault(lang, Counter()).update(words)
-                    held.setdefault(lang, Counter()).update(set(words))
-                    answers[lang] += 1
+            answered = [(lang, t) for a, s, t in zip(*(b.column(c).to_pylist() for c in ("asked", "source", "response"))) if (lang := _asked(_split(a, s)[0])[1])]
+            for some in _together(answered, [len(t or "") for _, t in answered]):
+                langs = sorted({lang for lang, _ in some})
+                answers.update(lang for lang, _ in some)
+                spoken = Spoken([payload(t)[0].lower() for _, t in some])
+                numbers, places = spoken.numbers()
+                words, k = [spoken.word(i) for i in places], max(1, len(places))
+                of = np.array([langs.index(lang) for lang, _ in some])
+                pairs_, times = _counted(np.repeat(np.arange(len(some)), np.diff(spoken.first)) * k + numbers)
+                spoken_by = of[pairs_ // k] * k + pairs_ % k
+                total, hold = (np.bincount(spoken_by, v, len(langs) * k).astype(np.int64) for v in (times, None))
+                for i in np.flatnonzero(hold).tolist():
+                    lang, w = langs[i // k], words[i % k]
+                    if w.isalpha():
+                        n.setdefault(lang, Counter())[w] += int(total[i])
+                        held.setdefault(lang, Counter())[w] += int(hold[i])
             if sum(map(len, n.values())) > 300_000:
                 yield told()
         yield told()

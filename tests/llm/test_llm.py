@@ -365,6 +365,23 @@ def test_pairs_taken_together_have_the_features_of_each():
         assert sorted(ends.at[ends.starts[i]:ends.starts[i + 1]]) == sorted({answers.zlib.crc32(v.encode()) % answers.SHAPES for v in names})
 
 
+def test_words_of_many_texts_at_once_are_those_of_the_pattern():
+    r, signs = random.Random(4), "aAbéÉ İΣσß_ ½²9-'\n\t.\ud800𝒳漢 "
+    texts = ["", "a", "_", "İΣ", *("".join(r.choice(signs) for _ in range(r.randrange(40))) for _ in range(300)), f"{FR} {EN}"]
+    spoken = answers.Spoken([t.lower() for t in texts])
+    numbers, places = spoken.numbers()
+    words = [answers.WORD.findall(t.lower()) for t in texts]
+    assert [[spoken.word(i) for i in range(a, b)] for a, b in zip(spoken.first, spoken.first[1:])] == words
+    assert [spoken.word(places[i]) for i in numbers] == sum(words, []) and len(places) == len({w for of in words for w in of})
+    assert answers.Spoken([]).numbers()[0].size == answers.Spoken(["", "."]).numbers()[0].size == 0
+
+
+def test_pairs_are_taken_together_by_number_and_signs():
+    sizes = [1] * 2_500 + [answers.SIGNS] * 3 + [5]
+    got = list(answers._together(list(range(len(sizes))), sizes))
+    assert sum(got, []) == list(range(len(sizes))) and list(map(len, got)) == [1_000, 1_000, 500, 1, 1, 1, 1]
+
+
 BASE = "result_id bigint, modele string, prompt string, reponse string"
 EVAL = "run_id string, modele string, baseline_test array<struct<id:string, categorie:string, prompt:string, response:string, duree:double>>"
 
