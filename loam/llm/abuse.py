@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from array import array
 from collections.abc import Iterator
 from struct import pack
 from sys import byteorder
@@ -16,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loam.llm.answers import numbered_apart, powers, together
 from loam.session import materialize
 
 #: Documents, and signs of them, that one task trains on, in the mean; all are trained on, in as many blocks as that takes. Parts that weights are summed up in.
@@ -51,6 +51,7 @@ HARSH = (
 #: Signs that stand for letters in disguised spelling.
 DISGUISE = str.maketrans("013457@$€!", "oieastasei")
 SPACED = re.compile(r"(?=[\w@$*][ .\-_*])(?<![^\W\d_])((?:[^\W\d_]|[@$0-9*])(?:[ .\-_*]+(?:[^\W\d_]|[@$0-9*])(?![^\W_])){2,})")
+SINGLES = re.compile(r"[ .\-_*](?:[^\W\d_]|[@$0-9*])[ .\-_*]+(?:[^\W\d_]|[@$0-9*])(?![^\W_])")
 HIDDEN = re.compile("[​-‏⁠﻿\xad]")
 WORD = re.compile(r"[^\W_](?:[\w*@$!.\-]*[\w*@$])?|[@$*][\w@$*!.\-]*[\w@$]")
 #: What is not prose: code, placeholders and table rows, each row up to its line's end.
@@ -58,8 +59,15 @@ ASIDE = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`|\{\{[^}]*\}\}|^[^\S\n]*\|[^\n]*$
 STRETCHED = re.compile(r"(.)\1{2,}")
 
 
+def _lowered(text: str) -> str:
+    """``text`` without the blanks inside of spaced words, which end with their line; a line where no two single signs stand side by side has none."""
+    if SINGLES.search(text):
+        text = "\n".join([SPACED.sub(lambda m: re.sub(r"[ .\-_]+", "", m[0]), x) if SINGLES.search(x) else x for x in text.split("\n")])
+    return text.replace("_", " ").lower()
+
+
 def _tokens(text: str) -> list[str]:
-    return WORD.findall(SPACED.sub(lambda m: re.sub(r"[ .\-_]+", "", m[0]), text).replace("_", " ").lower())
+    return WORD.findall(_lowered(text))
 
 
 def _plain(w: str) -> str:
@@ -74,13 +82,19 @@ def _plain(w: str) -> str:
     return w
 
 
-def _parted(text: str) -> tuple[list[str], list[str]]:
-    """Words as they stand, without hidden characters, of the prose, and of all the rest: code, table cells and placeholders."""
+def _sides(text: str) -> tuple[str, str]:
+    """The prose of a text, without hidden characters, and all the rest: code, table cells and placeholders."""
     if not text.isascii():
         text = HIDDEN.sub("", unicodedata.normalize("NFKC", text))
     rest: list[str] = []
     prose = ASIDE.sub(lambda m: rest.append(m[0]) or " ", text)
-    return _tokens(prose), _tokens("\n".join(rest)) if rest else []
+    return prose, "\n".join(rest)
+
+
+def _parted(text: str) -> tuple[list[str], list[str]]:
+    """Words as they stand of the prose, and of all the rest."""
+    prose, rest = _sides(text)
+    return _tokens(prose), _tokens(rest) if rest else []
 
 
 def split(text: str) -> tuple[list[str], list[str]]:
@@ -110,6 +124,41 @@ def units(word: str) -> list[int]:
     return [_hash(p) for p in parts]
 
 
+#: What a code point is to ``WORD``: nothing, inside of words only, at their ends too if they begin with a letter or digit, at both ends, a letter or digit; 9 where not looked at so far.
+_KINDS = np.full(0x110000, 9, np.uint8)
+
+
+def _marked(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words that ``WORD`` finds in a text that is framed by line feeds and holds no ``_``: a number of 64 bits for each, where it begins and ends.
+
+    A run of signs that words may hold has one word at most, from the first sign that may begin one to the last that may end it.
+    """
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds = _KINDS.take(points)
+    if kinds.max(initial=0) == 9:
+        for p in np.unique(points[kinds == 9]).tolist():
+            _KINDS[p] = 4 if chr(p).isalnum() else {"!": 1, ".": 1, "-": 1, "*": 2, "@": 3, "$": 3}.get(chr(p), 0)
+        kinds = _KINDS.take(points)
+    inside = kinds > 0
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    begin, last = edges[::2] + 1, edges[1::2].copy()
+    ends, both = np.flatnonzero(kinds >= 2), np.flatnonzero(kinds >= 3)
+    if len(late := np.flatnonzero(kinds[begin] == 1)):
+        begin[late] = np.r_[ends, len(points)][np.searchsorted(ends, begin[late])]
+    found = begin <= last
+    begin, last = begin[found], last[found]
+    if len(early := np.flatnonzero(kinds[last] == 1)):
+        last[early] = ends[np.searchsorted(ends, last[early], "right") - 1]
+    if len(signs := np.flatnonzero(kinds[begin] < 4)):  # those end in a letter, digit, @ or $ behind the first sign
+        last[signs] = np.r_[both, -1][np.searchsorted(both, last[signs], "right") - 1]
+        found = np.ones(len(begin), bool)
+        found[signs] = last[signs] > begin[signs]
+        begin, last = begin[found], last[found]
+    power, inverse = powers(max(18, len(points).bit_length()))
+    total = np.cumsum(points * power[:len(points)])
+    return (total[last] - total[begin - 1]) * inverse[begin], begin, last + 1
+
+
 class _Numbers(dict):
     """Buckets of each word, packed into one number; words of one plain spelling share them."""
 
@@ -137,7 +186,7 @@ class Encoder:
 
     def __init__(self):
         self.cache: dict[str, list[int]] = {}
-        self.numbers = _Numbers()
+        self.numbers, self.known = _Numbers(), {}
 
     def __call__(self, text: str) -> list[list[int]]:
         if len(self.cache) > 200_000:
@@ -152,14 +201,28 @@ class Encoder:
 
     def packed(self, text: str) -> bytes:
         """The same, four numbers of 16 bits a word, -1 for none."""
-        if len(self.numbers) > 200_000:
-            self.numbers.clear()
-        prose, rest = _parted(text)
-        words = array("q", map(self.numbers.__getitem__, prose))
-        if rest:
-            words.extend([-1] * (max(WIDTHS) - 1))
-            words.extend(map(self.numbers.__getitem__, rest))
-        return words.tobytes()
+        return next(self.packed_all([text]))
+
+    def packed_all(self, texts: list[str]) -> Iterator[bytes]:
+        """What ``packed`` has of each text, many taken together."""
+        gap = np.full(max(WIDTHS) - 1, -1, np.int64).tobytes()
+        for some in together(texts, list(map(len, texts))):
+            if len(self.known) > 200_000:
+                self.known.clear()
+                self.numbers.clear()
+            parts = [_lowered(x) for t in some for x in _sides(t)]
+            whole = "\n".join(["", *parts, ""])
+            keys, begin, end = _marked(whole)
+            at, places = numbered_apart(keys)
+            different = keys[places].tolist()
+            told = list(map(self.known.get, different))
+            for i, x in enumerate(told):
+                if x is None:
+                    told[i] = self.known[different[i]] = self.numbers[whole[begin[places[i]]:end[places[i]]]]
+            words = np.array(told, np.int64).take(at) if told else np.empty(0, np.int64)
+            first = np.searchsorted(begin, np.cumsum([0, *(len(x) + 1 for x in parts)])).tolist()
+            for prose, rest, after in zip(first[::2], first[1::2], first[2::2]):
+                yield words[prose:rest].tobytes() + (gap + words[rest:after].tobytes() if after > rest else b"")
 
     def _new(self, word: str) -> list[int]:
         plain = _plain(word)
@@ -202,15 +265,16 @@ class Network:
         for i in range(1, ids.shape[2]):
             x += self.E.take(ids[:, :, i], axis=0)
         n, t, _ = x.shape
-        added = [h.reshape(n, t, FILTERS) for h in self.filtered(x.reshape(n * t, DIM))]
+        # by filter, so that the largest values are looked for along neighbouring numbers
+        added = (np.concatenate([k[i * DIM:(i + 1) * DIM] for w, k in zip(WIDTHS, self.K) for i in range(w)], axis=1).T @ x.reshape(n * t, DIM).T).reshape(-1, FILTERS, n, t)
         pooled, at, first = [], [], 0
         for w, c in zip(WIDTHS, self.c):
-            h = added[first][:, :t - w + 1]
+            h = added[first][:, :, :t - w + 1]
             for i in range(1, w):
-                h = h + added[first + i][:, i:t - w + 1 + i]
-            a = h.argmax(axis=1)
-            pooled.append(np.take_along_axis(h, a[:, None], 1)[:, 0] + c)
-            at.append(a)
+                h = h + added[first + i][:, :, i:t - w + 1 + i]
+            a = h.argmax(axis=2)
+            pooled.append(np.take_along_axis(h, a[:, :, None], 2)[:, :, 0].T + c)
+            at.append(a.T)
             first += w
         p = np.concatenate(pooled, axis=1)
         return x, p, at, np.maximum(p, 0) @ self.v + self.b
@@ -317,7 +381,7 @@ class Network:
                 h = added[first].take(ids[:, :t - w + 1], axis=0)
                 for i in range(1, w):
                     h += added[first + i].take(ids[:, i:t - w + 1 + i], axis=0)
-                pooled.append(h.max(axis=1) + c)
+                pooled.append(_largest(h) + c)
                 first += w
             z = np.maximum(np.concatenate(pooled, axis=1), 0) @ self.v + self.b
             np.maximum.at(out, [i for i, _ in some], z)
@@ -333,10 +397,23 @@ def language(lang: str | None, text: str | None = None) -> str:
 
 def _scored(net: Network, words: list[bytes | None]) -> np.ndarray:
     """Scores of documents whose words' buckets are packed, four numbers of 16 bits a word."""
-    words = [w or b"" for w in words]
-    different, at = np.unique(np.frombuffer(b"".join(words), np.int64), return_inverse=True)
-    buckets = np.concatenate([np.full((1, 4), -1, np.int32), different.view(np.int16).reshape(-1, 4).astype(np.int32)])
-    return net.pooled(np.split(at + 1, np.cumsum([len(w) // 8 for w in words])[:-1]) if words else [], buckets)
+    out = [np.empty(0)]
+    for some in together([w or b"" for w in words], [len(w or b"") for w in words]):
+        keys = np.frombuffer(b"".join(some), np.int64)
+        at, places = numbered_apart(keys)
+        buckets = np.concatenate([np.full((1, 4), -1, np.int32), keys[places].view(np.int16).reshape(-1, 4).astype(np.int32)])
+        ends = np.cumsum([0, *(len(w) // 8 for w in some)]).tolist()
+        at += 1
+        out.append(net.pooled([at[i:j] for i, j in zip(ends, ends[1:])], buckets))
+    return np.concatenate(out)
+
+
+def _largest(h: np.ndarray) -> np.ndarray:
+    """The largest values along the second of three dimensions; ``h`` is used up."""
+    while (n := h.shape[1]) > 1:
+        half = (n + 1) // 2
+        h = np.maximum(h[:, :half], h[:, n - half:], out=h[:, :half])
+    return h[:, 0]
 
 
 SEEDS = [_ids(Encoder()(t)) for t in ABUSIVE + HARSH]
@@ -429,17 +506,23 @@ def train(documents: DataFrame, labels: DataFrame) -> tuple[Network, DataFrame,
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder()
         for b in batches:
-            words = [None if t is None else encode.packed(t) for t in b.column("text").to_pylist()]
+            texts = b.column("text").to_pylist()
+            told = encode.packed_all([t for t in texts if t is not None])
+            words = [None if t is None else next(told) for t in texts]
             langs = [language(x) for x in b.column("lang").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(langs, pa.string()), pa.array(words, pa.binary())], ["doc_id", "source", "lang", "words"])
 
     spot = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 40))
     key = f"doc_id {dict(docs.dtypes)['doc_id']}"
-    once = docs.mapInArrow(encoded, f"{key}, source string, lang string, words binary").groupBy("doc_id").agg(F.first("source").alias("source"), F.first("lang").alias("lang"), F.first("words", ignorenulls=True).alias("words"))
-    rows = once.join(votes, "doc_id", "left").select(
-        (spot % blocks).cast("int").alias("block"), "doc_id", "source", "lang", "y", "n", F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id"), F.lit(2)).cast("int").alias("fold"),
+    texts = docs.mapInArrow(encoded, f"{key}, source string, lang string, words binary")
+    # labels go along in the one shuffle that words go through, and join there
+    own = votes.withColumn("doc_id", F.col("doc_id").try_cast(dict(docs.dtypes)["doc_id"])).where("doc_id is not null")
+    both = texts.withColumn("told", F.lit(True)).unionByName(own, allowMissingColumns=True).withColumn("block", (spot % blocks).cast("int")).repartitionById(blocks, "block")
+    once = both.groupBy("block", "doc_id").agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("source", "lang", "y", "n", "words", "told"))).where("told")
+    rows = once.select(
+        "block", "doc_id", "source", "lang", "y", "n", F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id"), F.lit(2)).cast("int").alias("fold"),
         F.pmod(F.xxhash64(F.lit(SEED + 2), "doc_id"), F.lit(60)).cast("int").alias("turn"), F.lit(0.0).alias("held"), "words")
-    rows = materialize(rows.repartitionById(blocks, "block").sortWithinPartitions("block", "doc_id"), "training")
+    rows = materialize(rows.sortWithinPartitions("block", "doc_id"), "training")
     told = rows.where("y is not null and words is not null").select("lang", (F.col("y") > 0.5).alias("y"), "held", F.lit(False).alias("slip"))
     if not told.where("y").limit(1).count():
         return Network(), told, rows

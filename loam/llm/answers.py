@@ -229,7 +229,7 @@ _INSIDE, _BASE, SIGNS = np.full(0x110000, 2, np.uint8), 0x2545F4914F6CDD1D, 1 <<
 
 
 @lru_cache(2)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of a number, and of its inverse, modulo 2 ** 64."""
     return tuple(np.multiply.accumulate(np.r_[np.uint64(1), np.full((1 << bits) - 1, b, np.uint64)]) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
 
@@ -240,13 +240,13 @@ class Spoken:
     def __init__(self, texts: list[str]):
         points = np.frombuffer("\n".join(["", *texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
         inside = _INSIDE.take(points)
-        if len(new := points[inside == 2]):
-            for p in np.unique(new).tolist():
+        if inside.max() == 2:
+            for p in np.unique(points[inside == 2]).tolist():
                 _INSIDE[p] = chr(p).isalnum()
             inside = _INSIDE.take(points)
         edges = np.flatnonzero(inside[1:] != inside[:-1])  # the signs before words, and their last ones
         begin, end = edges[::2], edges[1::2]
-        power, inverse = _powers(max(18, len(points).bit_length()))
+        power, inverse = powers(max(18, len(points).bit_length()))
         total = np.cumsum(points * power[:len(points)])
         self.words = (total[end] - total[begin]) * inverse[begin]
         self.at = np.r_[0, np.cumsum(end - begin)]
@@ -259,15 +259,20 @@ class Spoken:
 
     def numbers(self) -> tuple[np.ndarray, np.ndarray]:
         """The number of each word among the different ones, and a place of each of these."""
-        order = np.argsort(self.words)
-        of = self.words[order]
-        first = np.r_[True, of[1:] != of[:-1]][:len(of)]
-        out = np.empty(len(of), np.int64)
-        out[order] = np.cumsum(first) - 1
-        return out, order[first]
+        return numbered_apart(self.words)
 
 
-def _together(rows: list, signs: list[int]) -> Iterator[list]:
+def numbered_apart(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each key among the different ones, and a place of each of these."""
+    order = np.argsort(keys)
+    of = keys[order]
+    first = np.r_[True, of[1:] != of[:-1]][:len(of)]
+    out = np.empty(len(of), np.int64)
+    out[order] = np.cumsum(first) - 1
+    return out, order[first]
+
+
+def together(rows: list, signs: list[int]) -> Iterator[list]:
     """Rows in turn, up to 1,000 at once, fewer where they are long."""
     some, held = [], 0
     for row, n in zip(rows, signs):
@@ -288,27 +293,28 @@ class Words(dict):
         self.profiles, self.new, n = profiles, [], len(profiles.log)
         self.told = np.empty(0, np.uint32), np.empty(0, bool), np.empty(0, bool), np.empty((n, 0)), np.empty((n, 0), bool)
 
-    def add(self, number: int, w: str) -> None:
+    def add(self, number: int, w: str) -> int:
         plain = w.isalpha()
         digits = not plain and numbered(w)
         hash_ = zlib.crc32(b"#" if digits else w.encode("utf-8", "surrogatepass"))
         self.new.append((hash_, plain, len(w) > 6 or digits, *[of.get(w, 1.0) for of in self.profiles.log.values()]))  # logarithms of frequencies are below 0
-        self[number] = len(self)
+        self[number] = at = len(self)
+        return at
 
     def table(self, spoken: Spoken, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the words at these places: hashes, whether they have letters only, whether they are names, numbers or identifiers, which sound answers keep, and by language the logarithm of their frequency and whether the profile has them."""
         numbers = spoken.words[places].tolist()
-        for i, x in enumerate(numbers):
-            if x not in self:
-                self.add(x, spoken.word(places[i]))
+        known = list(map(self.get, numbers))
+        for i, at in enumerate(known):
+            if at is None:
+                known[i] = self.add(numbers[i], spoken.word(places[i]))
         if self.new:
             new = np.array(self.new, float).T
             log, none = new[3:], np.array([self.profiles.none[k] for k in self.profiles.log]).reshape(-1, 1)
             parts = new[0].astype(np.uint32), new[1] > 0, new[2] > 0, np.where(log <= 0, log, none), log <= 0
             self.told = tuple(np.concatenate(x, axis=-1) for x in zip(self.told, parts))
             self.new = []
-        at = np.fromiter(map(self.__getitem__, numbers), np.int64, len(numbers))
-        return tuple(x[..., at] for x in self.told)
+        return tuple(x.take(known, axis=-1) for x in self.told)
 
 
 _words = lru_cache(1)(Words)
@@ -505,7 +511,7 @@ class Linear:
 
     def made(self, rows: list[tuple[str, str, str | None]]) -> Made:
         dense, grams, ends = [], [], []
-        for some in _together(rows, [len(source) + len(response or "") for _, source, response in rows]):
+        for some in together(rows, [len(source) + len(response or "") for _, source, response in rows]):
             x, names, flat, at = featured(some, self.profiles)
             dense.append(x)
             grams.append(Bags.of(flat, at, len(x), BUCKETS, 0.5))
@@ -778,34 +784,32 @@ def profiles_of(pairs: DataFrame) -> Profiles:
     """Profiles of the languages, from the words of all answers."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: dict[str, Counter] = {}
-        held: dict[str, Counter] = {}
+        by: dict[str, dict[str, int]] = {}  # how often answers have a word, times 2 ** 32, and how many have it
         answers: Counter = Counter()
 
         def told() -> pa.RecordBatch:
-            rows = [(g, w, k, held[g][w]) for g, of in n.items() for w, k in of.items()] + [(g, None, 0, k) for g, k in answers.items()]
-            for x in (n, held, answers):
+            rows = [(g, w, k >> 32, k & 0xFFFFFFFF) for g, of in by.items() for w, k in of.items() if w.isalpha()] + [(g, None, 0, k) for g, k in answers.items()]
+            for x in (by, answers):
                 x.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], ["lang", "word", "n", "held"])
 
         for b in batches:
             answered = [(lang, t) for a, s, t in zip(*(b.column(c).to_pylist() for c in ("asked", "source", "response"))) if (lang := _asked(_split(a, s)[0])[1])]
-            for some in _together(answered, [len(t or "") for _, t in answered]):
+            for some in together(answered, [len(t or "") for _, t in answered]):
                 langs = sorted({lang for lang, _ in some})
                 answers.update(lang for lang, _ in some)
                 spoken = Spoken([payload(t)[0].lower() for _, t in some])
                 numbers, places = spoken.numbers()
-                words, k = [spoken.word(i) for i in places], max(1, len(places))
-                of = np.array([langs.index(lang) for lang, _ in some])
-                pairs_, times = _counted(np.repeat(np.arange(len(some)), np.diff(spoken.first)) * k + numbers)
-                spoken_by = of[pairs_ // k] * k + pairs_ % k
-                total, hold = (np.bincount(spoken_by, v, len(langs) * k).astype(np.int64) for v in (times, None))
-                for i in np.flatnonzero(hold).tolist():
-                    lang, w = langs[i // k], words[i % k]
-                    if w.isalpha():
-                        n.setdefault(lang, Counter())[w] += int(total[i])
-                        held.setdefault(lang, Counter())[w] += int(hold[i])
-            if sum(map(len, n.values())) > 300_000:
+                words, k = [spoken.word(i) for i in places.tolist()], max(1, len(places))
+                at, times = _counted(np.repeat(np.arange(len(some)), np.diff(spoken.first)) * k + numbers)
+                speaks = np.array([langs.index(lang) for lang, _ in some])[at // k]
+                for i, lang in enumerate(langs):
+                    word, n = at[speaks == i] % k, times[speaks == i]
+                    total = np.bincount(word, n, k).astype(np.int64) * (1 << 32) + np.bincount(word, minlength=k)
+                    of = by.setdefault(lang, {})
+                    for j in np.flatnonzero(total).tolist():
+                        of[words[j]] = of.get(words[j], 0) + int(total[j])
+            if sum(map(len, by.values())) > 300_000:
                 yield told()
         yield told()
 

@@ -218,6 +218,25 @@ def test_packed_words_are_those_of_the_encoder():
     assert [encode.packed(t) for t in texts] == [abuse._ids(abuse.Encoder()(t)).astype(np.int16).tobytes() for t in texts]
 
 
+def test_words_packed_together_are_those_of_each_text():
+    r, signs = random.Random(9), "aAbé1 9_-.*@$!|`\n\t{}İΣ½漢𝒳\u200b i d"
+    texts = ["", "*", "*a", "@$!", "a.-", "I D I O T a b", "x\n| a b c |\n`d`", *("".join(r.choice(signs) for _ in range(r.randrange(50))) for _ in range(2_000))]
+    got = list(abuse.Encoder().packed_all(texts))
+    assert got == [abuse._ids(abuse.Encoder()(t)).astype(np.int16).tobytes() for t in texts]
+    unspaced = lambda t: abuse.SPACED.sub(lambda m: abuse.re.sub(r"[ .\-_]+", "", m[0]), t).replace("_", " ").lower()
+    assert [abuse._lowered(t) for t in texts] == list(map(unspaced, texts)) and sum(abuse.SINGLES.search(t) is not None for t in texts) > 100
+    h = np.random.default_rng(2).normal(size=(3, 13, 2))
+    assert all((abuse._largest(h[:, :n].copy()) == h[:, :n].max(axis=1)).all() for n in range(1, 14))
+
+
+def test_labels_of_other_documents_add_none(spark):
+    docs = spark.createDataFrame([(i, f"the queue {w} the disk" + (", you stupid moron" if i % 4 == 0 else ""), None, "s") for i, w in enumerate(WORDS[:80])], "doc_id int, text string, lang string, source string")
+    lab = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(500)] + [(1 << 40, 1), (None, 1)], "doc_id bigint, abusive int")
+    got = abuse.scores(docs, lab)
+    assert dict(got.dtypes)["doc_id"] == "int" and sorted(x.doc_id for x in got.collect()) == list(range(80))
+    assert [(x.abusive_labels, x.ordinary_labels) for x in abuse.quality(docs, lab).collect()] == [(20, 60)]
+
+
 def test_steps_follow_the_gradient(monkeypatch):
     """One step without anything left out, against differences of the loss."""
 
@@ -378,7 +397,7 @@ def test_words_of_many_texts_at_once_are_those_of_the_pattern():
 
 def test_pairs_are_taken_together_by_number_and_signs():
     sizes = [1] * 2_500 + [answers.SIGNS] * 3 + [5]
-    got = list(answers._together(list(range(len(sizes))), sizes))
+    got = list(answers.together(list(range(len(sizes))), sizes))
     assert sum(got, []) == list(range(len(sizes))) and list(map(len, got)) == [1_000, 1_000, 500, 1, 1, 1, 1]
 
 
