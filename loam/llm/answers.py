@@ -291,13 +291,16 @@ class Words(dict):
     def __init__(self, profiles: Profiles):
         super().__init__()
         self.profiles, self.new, n = profiles, [], len(profiles.log)
+        self.digits = (zlib.crc32(b"#"), False, True, *[1.0] * n)  # profiles have words of letters only
         self.told = np.empty(0, np.uint32), np.empty(0, bool), np.empty(0, bool), np.empty((n, 0)), np.empty((n, 0), bool)
 
     def add(self, number: int, w: str) -> int:
         plain = w.isalpha()
-        digits = not plain and numbered(w)
-        hash_ = zlib.crc32(b"#" if digits else w.encode("utf-8", "surrogatepass"))
-        self.new.append((hash_, plain, len(w) > 6 or digits, *[of.get(w, 1.0) for of in self.profiles.log.values()]))  # logarithms of frequencies are below 0
+        digits = not plain and (w.isascii() or numbered(w))  # a word of ASCII signs that are not all letters has a digit
+        if digits:
+            self.new.append(self.digits)
+        else:
+            self.new.append((zlib.crc32(w.encode("utf-8", "surrogatepass")), plain, len(w) > 6, *[of.get(w, 1.0) for of in self.profiles.log.values()]))  # logarithms of frequencies are below 0
         self[number] = at = len(self)
         return at
 
@@ -627,7 +630,8 @@ def _foreign(text: str, source: str, r: np.random.Generator) -> str:
         if w in kept or not w.isalpha():
             return m[0]
         if w not in new:
-            new[w] = "".join(r.permutation(list(w + w[:2]))) if r.random() < often else w
+            signs = w + w[:2]
+            new[w] = "".join([signs[i] for i in r.permutation(len(signs)).tolist()]) if r.random() < often else w
         return new[w]
 
     return WORD.sub(spelled, text)
@@ -713,14 +717,15 @@ def learned(rows: list[tuple[str, str, str | None]], profiles: Profiles) -> np.n
     times = lambda n: max(1, round(n * min(1, ENOUGH / len(y))))
     some = lambda at: (dense[at], grams.some(at), ends.some(at))
     fold, use = np.arange(len(y)) // 4 % 2, np.ones(len(y), bool)
+    halves = [(mine, some(mine)) for mine in (np.flatnonzero(fold == k) for k in range(2))]
     for _ in range(3):
         p = np.zeros_like(y)
         for k in range(2):
             half = Linear()
             half.fit((dense, grams, ends), y, times(8), np.flatnonzero((fold != k) & use))
-            mine = np.flatnonzero(fold == k)
+            mine, its = halves[k]
             if len(mine):
-                p[mine] = half.probabilities(some(mine))
+                p[mine] = half.probabilities(its)
         most = p.max(axis=1)
         y[given] = 0
         sure = given & (most >= 0.5)
@@ -788,7 +793,7 @@ def profiles_of(pairs: DataFrame) -> Profiles:
         answers: Counter = Counter()
 
         def told() -> pa.RecordBatch:
-            rows = [(g, w, k >> 32, k & 0xFFFFFFFF) for g, of in by.items() for w, k in of.items() if w.isalpha()] + [(g, None, 0, k) for g, k in answers.items()]
+            rows = [(g, w, k >> 32, k & 0xFFFFFFFF) for g, of in by.items() for w, k in of.items()] + [(g, None, 0, k) for g, k in answers.items()]
             for x in (by, answers):
                 x.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], ["lang", "word", "n", "held"])
@@ -807,8 +812,10 @@ def profiles_of(pairs: DataFrame) -> Profiles:
                     word, n = at[speaks == i] % k, times[speaks == i]
                     total = np.bincount(word, n, k).astype(np.int64) * (1 << 32) + np.bincount(word, minlength=k)
                     of = by.setdefault(lang, {})
-                    for j in np.flatnonzero(total).tolist():
-                        of[words[j]] = of.get(words[j], 0) + int(total[j])
+                    place = np.flatnonzero(total)
+                    for j, v in zip(place.tolist(), total[place].tolist()):
+                        if (w := words[j]).isalpha():
+                            of[w] = of.get(w, 0) + v
             if sum(map(len, by.values())) > 300_000:
                 yield told()
         yield told()
